@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, rans, secrets, sharding
+from . import exact_dedup, mixing, packing, quality, rans, secrets, sharding, token_counts
 from .common import load_documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -35,12 +35,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(load_documents(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(token_counts.with_middle_edit(load_documents(spark, sf_dir)))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(load_documents(spark, sf_dir).select("doc_id", "text"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_exact_dedup, op6_token_files, op7_secret_scan, op9_sharding)
+    f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_exact_dedup, op6_token_files, op7_secret_scan, op8_token_counts, op9_sharding, op10_packing)
 }
 
 ORACLE_SQL = {
