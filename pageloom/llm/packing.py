@@ -59,19 +59,31 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, width: int = WIDTH) ->
     return cuts[::-1], cost
 
 
+def merged(*sorted_places: np.ndarray) -> np.ndarray:
+    """The distinct places of several arrays, ascending."""
+    places = np.sort(np.concatenate(sorted_places), kind="stable")
+    return places[np.diff(places, prepend=-1) > 0]
+
+
+def is_among(places: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which places are among ``those``; both ascend."""
+    at = np.searchsorted(those, places)
+    return np.append(those, -1)[at] == places
+
+
 def cut_places(sentence_ends: np.ndarray, document_ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """All cut places of a stream and their penalties; the stream ends with the last document."""
-    places = np.union1d(sentence_ends[sentence_ends > 0], document_ends)
+    places = merged(sentence_ends[sentence_ends > 0], document_ends)
     gaps = np.diff(places, prepend=0)
     wide = np.flatnonzero(gaps > stride)
     if len(wide):
         begin = places[wide] - gaps[wide]
         k = (gaps[wide] - 1) // stride
         within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + 1
-        places = np.union1d(places, np.repeat(begin, k) + within * stride)
+        places = merged(places, np.repeat(begin, k) + within * stride)
     penalties = np.full(len(places), INSIDE)
-    penalties[np.isin(places, sentence_ends, assume_unique=False)] = AT_SENTENCE
-    penalties[np.isin(places, document_ends)] = 0.0
+    penalties[is_among(places, sentence_ends)] = AT_SENTENCE
+    penalties[is_among(places, document_ends)] = 0.0
     return places, penalties
 
 
@@ -104,7 +116,7 @@ class _Stream:
         ends = np.array([*cuts], np.int64)
         done = int(ends[-1]) if len(ends) else 0
         out = []
-        marks = np.union1d(ends, documents[documents <= done])
+        marks = merged(ends, documents[documents <= done])
         doc_of = np.searchsorted(documents, marks, side="left")
         seq_of = np.searchsorted(ends, marks, side="left")
         begin = 0
@@ -165,7 +177,7 @@ def pack(documents: DataFrame, width: int = WIDTH, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([part] * len(out), types[0]), *(pa.array([r[k] for r in out], types[k + 1]) for k in range(7))], names)
 
         for batch in batches:
-            for table, text in text_slices(batch, limit=1 << 20):
+            for table, text in text_slices(batch):
                 part = table["part"][0].as_py()
                 stream.add(*stream_ids(encoder.pieces(text), end_id), table["doc_id"].to_pylist())
                 if stream.n >= SPAN:
