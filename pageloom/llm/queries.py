@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, packing, quality, rans, secrets, sharding, token_counts
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, quality, rans, secrets, sharding, token_counts
 from .common import load_documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -31,6 +31,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(load_documents(spark, sf_dir))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(load_documents(spark, sf_dir), shingle=2)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(load_documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_exact_dedup, op4_fingerprints, op6_token_files, op7_secret_scan, op8_token_counts, op9_sharding, op10_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_exact_dedup, op4_fingerprints, op5_near_dedup, op6_token_files, op7_secret_scan, op8_token_counts, op9_sharding, op10_packing)
 }
 
 ORACLE_SQL = {
