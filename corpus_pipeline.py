@@ -4,23 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import exact_dedup, mixing, quality
+from pageloom.llm import exact_dedup, mixing, near_dedup, packing, quality
 from pageloom.llm.common import load_documents, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.DigestIndex(spark).survivors(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by similar five-word shingles the one with the smallest doc_id stays."""
+    return near_dedup.keep_one(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of documents as the mix takes them, in training order."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality classifier", good_quality), ("exact dedup", without_copies), ("source mixing", mixed)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("source mixing", mixed),
+    ("packing", packed),
+]
 
 #: Floating-point fits and tokenisers are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
