@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import split_words, text_slices
 
@@ -214,7 +215,8 @@ def score(documents: DataFrame, model: QualityModel, keep_all: bool = False) ->
     Null and empty texts are scored by their zero statistics. Whole texts are read; nothing is shuffled.
     """
     kept = documents.drop("score") if keep_all else documents.select("doc_id", "text")
-    schema = kept.schema if keep_all else kept.select("doc_id").schema
+    fields = kept.schema.fields if keep_all else kept.select("doc_id").schema.fields
+    schema = StructType([*fields, StructField("score", DoubleType())])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +225,7 @@ def score(documents: DataFrame, model: QualityModel, keep_all: bool = False) ->
                 got = got.append_column("score", pa.array(model.score(statistics(text))))
                 yield from got.combine_chunks().to_batches()
 
-    return kept.mapInArrow(scores, schema.add("score", "double"))
+    return kept.mapInArrow(scores, schema)
 
 
 def is_held_out():
