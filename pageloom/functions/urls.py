@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 #: Schemes that are never resolved.
 SKIPPED_SCHEMES = ("mailto:", "tel:", "javascript:", "data:")
 #: Characters of a path or query that are percent-encoded.
@@ -27,23 +29,31 @@ def is_http_url(value: Column) -> Column:
 
 
 def _encoded(value: Column, pattern: str) -> Column:
-    each = F.transform(F.split(value, ""), lambda c: F.when(c.rlike(pattern), F.regexp_replace(F.hex(c), "(..)", "%$1")).otherwise(c))
-    return F.when(value.rlike(pattern), F.array_join(each, "")).otherwise(value)
+    def each(v: Column) -> Column:
+        chars = F.transform(F.split(v, ""), lambda c: F.when(c.rlike(pattern), F.regexp_replace(F.hex(c), "(..)", "%$1")).otherwise(c))
+        return F.when(v.rlike(pattern), F.array_join(chars, "")).otherwise(v)
+
+    return bound(value, each)
+
+
+_DOT, _DOTS = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
 
 
 def _without_dots(path: Column) -> Column:
     """A path that starts with a slash, with its dot segments resolved."""
-    parts = F.split(path, "/")
     none = F.array().cast("array<string>")
-    dot, dots = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
-    kept = F.aggregate(
-        F.slice(parts, F.lit(2), F.size(parts)),
-        none,
-        lambda done, s: F.when(s.rlike(dots), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s.rlike(dot), done).otherwise(F.array_append(done, s)),
-    )
-    last = F.element_at(parts, -1)
-    open_end = F.when(last.rlike(dot) | last.rlike(dots), F.array_append(kept, F.lit(""))).otherwise(kept)
-    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(open_end, "/"))).otherwise(path)
+
+    def resolved_parts(parts: Column) -> Column:
+        kept = F.aggregate(
+            F.slice(parts, F.lit(2), F.size(parts)),
+            none,
+            lambda done, s: F.when(s.rlike(_DOTS), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s.rlike(_DOT), done).otherwise(F.array_append(done, s)),
+        )
+        last = F.element_at(parts, -1)
+        end = F.when(last.rlike(_DOT) | last.rlike(_DOTS), F.array(F.lit(""))).otherwise(none)
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+    return bound(path, lambda p: F.when(p.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), bound(F.split(p, "/"), resolved_parts)).otherwise(p))
 
 
 def _cleaned(value: Column) -> Column:
@@ -51,51 +61,60 @@ def _cleaned(value: Column) -> Column:
 
 
 def url_parts(url: Column) -> Column:
-    """Struct of an absolute http(s) URL: ``scheme, userinfo, host, port, path, search, fragment``; null if it is none.
+    """Struct of an absolute http(s) URL: ``scheme, site, host, port, path, search, fragment``; null if it is none.
 
-    port is '' for the scheme's default; path starts with a slash; search has its question mark, fragment its hash.
+    site is scheme, user, host and port; port is '' for the scheme's default; path starts with a slash; search has its
+    question mark (alone if the query is empty), fragment its hash.
     """
-    u = _cleaned(url)
-
-    def group(i: int) -> Column:
-        return F.coalesce(F.regexp_extract(u, _ABSOLUTE, i), F.lit(""))
-
-    scheme, authority = F.lower(group(1)), group(2)
-    userinfo = F.regexp_extract(authority, "^(.*@)?", 0)
-    place = F.substring(authority, F.length(userinfo) + 1, F.length(authority))
-    host = F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1))
-    port = F.regexp_extract(place, r":(\d+)$", 1)
-    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    path = F.regexp_replace(group(3), r"\\", "/")
-    path = _encoded(_without_dots(F.when(path == "", F.lit("/")).otherwise(path)), PATH_ENCODED)
-    search = _encoded(group(4), QUERY_ENCODED)
-    parts = F.struct(
-        scheme.alias("scheme"), userinfo.alias("userinfo"), host.alias("host"), F.when(default, F.lit("")).otherwise(port).alias("port"), path.alias("path"),
-        F.when(search == "?", F.lit("")).otherwise(search).alias("search"), group(5).alias("fragment"),
-    )
-    return F.when(u.rlike(_ABSOLUTE) & (host != "") & ~host.rlike(r"[\x00-\x20#%<>^|]"), parts)
+
+    def pieces(u: Column) -> Column:
+        def group(i: int) -> Column:
+            return F.coalesce(F.regexp_extract(u, _ABSOLUTE, i), F.lit(""))
+
+        path = F.regexp_replace(group(3), r"\\", "/")
+        parts = F.struct(F.lower(group(1)).alias("scheme"), group(2).alias("authority"), path.alias("path"), group(4).alias("search"), group(5).alias("fragment"))
+        return F.when(u.rlike(_ABSOLUTE), bound(parts, place))
+
+    def place(g: Column) -> Column:
+        user = F.regexp_extract(g.authority, "^(.*@)?", 0)
+        rest = F.regexp_replace(g.authority, "^.*@", "")
+        found = F.struct(g.alias("g"), user.alias("user"), F.lower(F.regexp_extract(rest, r"^(\[[^\]]*\]|[^:]*)", 1)).alias("host"), F.regexp_extract(rest, r":(\d+)$", 1).alias("port"))
+        return bound(found, whole)
+
+    def whole(f: Column) -> Column:
+        default = ((f.g.scheme == "http") & (f.port == "80")) | ((f.g.scheme == "https") & (f.port == "443"))
+        port = F.when(default, F.lit("")).otherwise(f.port)
+        site = F.concat(f.g.scheme, F.lit("://"), f.user, f.host, F.when(default | (f.port == ""), F.lit("")).otherwise(F.concat(F.lit(":"), f.port)))
+        path = _encoded(_without_dots(F.when(f.g.path == "", F.lit("/")).otherwise(f.g.path)), PATH_ENCODED)
+        parts = F.struct(
+            f.g.scheme.alias("scheme"), site.alias("site"), f.host.alias("host"), port.alias("port"), path.alias("path"),
+            _encoded(f.g.search, QUERY_ENCODED).alias("search"), f.g.fragment.alias("fragment"),
+        )
+        return F.when((f.host != "") & ~f.host.rlike(r"[\x00-\x20#%<>^|]"), parts)
+
+    return bound(_cleaned(url), pieces)
+
+
+def _query(p: Column) -> Column:
+    return F.when(p.search == "?", F.lit("")).otherwise(p.search)
 
 
 def origin(url: Column) -> Column:
-    p = url_parts(url)
-    return F.concat(p.scheme, F.lit("://"), p.host, F.when(p.port != "", F.concat(F.lit(":"), p.port)).otherwise(""))
+    return bound(url_parts(url), lambda p: F.concat(p.scheme, F.lit("://"), p.host, F.when(p.port != "", F.concat(F.lit(":"), p.port)).otherwise("")))
 
 
 def _stripped(path: Column) -> Column:
-    return F.when((F.length(path) > 1) & path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
+    return F.regexp_replace(path, "(?s)^(.+)/$", "$1")
 
 
 def href(url: Column) -> Column:
     """The URL as parsed: not yet normalised, fragment kept."""
-    p = url_parts(url)
-    bare = F.regexp_extract(_cleaned(url), r"^[^#]*\?$", 0)
-    return F.concat(p.scheme, F.lit("://"), p.userinfo, p.host, F.when(p.port != "", F.concat(F.lit(":"), p.port)).otherwise(""), p.path, F.when((p.search == "") & (bare != ""), F.lit("?")).otherwise(p.search), F.when(p.fragment == "#", F.lit("#")).otherwise(p.fragment))
+    return bound(url_parts(url), lambda p: F.concat(p.site, p.path, p.search, p.fragment))
 
 
 def normalize_url(url: Column) -> Column:
     """URL2: without fragment and one closing slash; null where there is no valid http(s) URL."""
-    p = url_parts(url)
-    return F.concat(p.scheme, F.lit("://"), p.userinfo, p.host, F.when(p.port != "", F.concat(F.lit(":"), p.port)).otherwise(""), _stripped(p.path), p.search)
+    return bound(url_parts(url), lambda p: F.concat(p.site, _stripped(p.path), _query(p)))
 
 
 def display_url(url: Column) -> Column:
@@ -112,29 +131,31 @@ def is_skipped(value: Column) -> Column:
 
 def absolute_url(value: Column, base: Column) -> Column:
     """``value`` resolved against an http(s) URL, fragment kept, not normalised; null if it can't be."""
-    p = url_parts(base)
-    v = _cleaned(value)
-    at = F.concat(p.scheme, F.lit("://"), p.userinfo, p.host, F.when(p.port != "", F.concat(F.lit(":"), p.port)).otherwise(""))
-    folder = F.regexp_replace(p.path, "[^/]*$", "")
-    joined = (
-        F.when(v.rlike(r"(?i)^https?:[/\\]"), v)
-        .when(v.rlike(r"^[/\\]{2}"), F.concat(p.scheme, F.lit(":"), v))
-        .when(v.rlike(r"^[/\\]"), F.concat(at, v))
-        .when(v.startswith("?"), F.concat(at, p.path, v))
-        .when(v.startswith("#"), F.concat(at, p.path, p.search, v))
-        .when(v == "", F.concat(at, p.path, p.search))
-        .when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
-        .otherwise(F.concat(at, folder, v))
-    )
-    return href(joined)
+
+    def joined(both: Column) -> Column:
+        v, p = both.v, both.p
+        folder = F.regexp_replace(p.path, "[^/]*$", "")
+        return (
+            F.when(v.rlike(r"(?i)^https?:[/\\]"), v)
+            .when(v.rlike(r"^[/\\]{2}"), F.concat(p.scheme, F.lit(":"), v))
+            .when(v.rlike(r"^[/\\]"), F.concat(p.site, v))
+            .when(v.startswith("?"), F.concat(p.site, p.path, v))
+            .when((v == "") | v.startswith("#"), F.concat(p.site, p.path, _query(p), v))
+            .when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
+            .otherwise(F.concat(p.site, folder, v))
+        )
+
+    return href(bound(F.struct(_cleaned(value).alias("v"), url_parts(base).alias("p")), joined))
 
 
 def resolve_url(value: Column, base: Column, skip_fragments: bool = True) -> Column:
     """URL4 (or URL5 without ``skip_fragments``): the normalised target of a reference, null for what is skipped."""
-    skip = (value == "") | is_skipped(value)
-    if skip_fragments:
-        skip = skip | value.startswith("#")
-    return F.when(~skip, normalize_url(absolute_url(value, base)))
+
+    def target(v: Column) -> Column:
+        skip = (v == "") | is_skipped(v)
+        return F.when(~(skip | v.startswith("#") if skip_fragments else skip), normalize_url(absolute_url(v, base)))
+
+    return bound(value, target)
 
 
 def url_and_fragment(value: Column) -> Column:
@@ -171,28 +192,36 @@ def hash_value(value: Column) -> Column:
 
 def page_path(url: Column, primary_host: Column | str, root: str = "pages") -> Column:
     """URL10: the page's file, by host (unless it is the primary one), path and query; null for an invalid URL."""
-    p = url_parts(url)
     primary = F.lit(primary_host) if isinstance(primary_host, str) else primary_host
-    host = F.when(p.host != F.lower(primary), F.array(sanitize_segment(p.host))).otherwise(F.array().cast("array<string>"))
-    segments = F.transform(F.filter(F.split(p.path, "/"), lambda s: s != ""), sanitize_segment)
-    query = F.when(p.search != "", F.array(F.concat(F.lit("__q_"), hash_value(p.search)))).otherwise(F.array().cast("array<string>"))
-    return F.when(p.isNotNull(), F.array_join(F.concat(F.array(F.lit(root)), host, segments, query, F.array(F.lit("index.html"))), "/"))
+    none = F.array().cast("array<string>")
+
+    def file(p: Column) -> Column:
+        host = F.when(p.host != F.lower(primary), F.array(sanitize_segment(p.host))).otherwise(none)
+        segments = F.transform(F.filter(F.split(p.path, "/"), lambda s: s != ""), sanitize_segment)
+        query = F.when(_query(p) != "", F.array(F.concat(F.lit("__q_"), hash_value(p.search)))).otherwise(none)
+        return F.when(p.isNotNull(), F.array_join(F.concat(F.array(F.lit(root)), host, segments, query, F.array(F.lit("index.html"))), "/"))
+
+    return bound(url_parts(url), file)
 
 
 def relative_path(from_file: Column, to_file: Column, empty: str = "./") -> Column:
     """URL13: POSIX path from a file's folder to another file; ``empty`` if that is nothing."""
     a = F.filter(F.split(F.regexp_replace(from_file, "[^/]*$", ""), "/"), lambda s: s != "")
     b = F.filter(F.split(to_file, "/"), lambda s: s != "")
-    differ = F.filter(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b))), lambda i: ~F.coalesce(F.get(a, i) == F.get(b, i), F.lit(False)))
-    common = F.get(differ, F.lit(0))
-    path = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - common), F.slice(b, common + 1, F.size(b))), "/")
-    return F.when(path == "", F.lit(empty)).otherwise(path)
+
+    def path(both: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.greatest(F.size(both.a), F.size(both.b)))
+        differ = F.filter(steps, lambda i: ~F.coalesce(F.get(both.a, i) == F.get(both.b, i), F.lit(False)))
+        up = lambda n: F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(both.a) - n), F.slice(both.b, n + 1, F.size(both.b))), "/")
+        return bound(F.get(differ, F.lit(0)), up)
+
+    found = bound(F.struct(a.alias("a"), b.alias("b")), path)
+    return F.coalesce(F.nullif(found, F.lit("")), F.when(found.isNotNull(), F.lit(empty)))
 
 
 def derive_name(url: Column) -> Column:
     """URL14."""
-    host = F.regexp_replace(url_parts(url).host, r"^www\.", "")
-    return F.when(F.coalesce(host, F.lit("")) != "", host).otherwise(url)
+    return F.coalesce(F.nullif(F.regexp_replace(url_parts(url).host, r"^www\.", ""), F.lit("")), url)
 
 
 def normalize_remote_path(value: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from ..functions.options import Options
 from ..functions.urls import Url, is_http_url, origin, url_parts
 
@@ -100,8 +101,7 @@ def in_scope(url: Column, options: Options) -> Column:
     """FLT1 to FLT3 and FLT5: whether a normalised URL belongs to the crawl; never null."""
     base = Url(options.url)
     if options.scope == "subdomains":
-        host = url_parts(url).host
-        inside = (host == base.host) | host.endswith("." + base.host)
+        inside = bound(url_parts(url).host, lambda h: (h == base.host) | h.endswith("." + base.host))
     elif options.scope == "custom":
         inside = (matches_any(url, options.include) if options.include else F.lit(True)) & ~matches_any(url, options.exclude)
     else:
