@@ -56,6 +56,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: A key with at least this share of all rows is hot; there are at most 1/share of them, so they are broadcast.
+HOT_SHARE = 0.002
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with one row per key; keys of many rows (column ``size``) meet theirs by a bounded broadcast,
+    all others by a shuffle. ``total``: rows of both sides' keys in all. Give it ``groups`` that are cheap to read twice.
+    """
+    hot = groups.where(F.col(size) >= max(2.0, total * HOT_SHARE))
+    cold = groups.where(F.col(size) < max(2.0, total * HOT_SHARE))
+    few = rows.join(F.broadcast(hot), key)
+    many = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return few.unionByName(many)
+
+
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,11 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_partitions, text_or_empty, written
-
-#: A digest with at least this share of a batch is hot; there are at most 1/share of them, so they are broadcast.
-HOT_SHARE = 0.002
-
+from .common import join_groups, scratch_path, shuffle_partitions, text_or_empty, written
 
 class DigestIndex:
     """Digests of all texts seen so far: ``digest, keep_id, n, batch``.
@@ -55,18 +51,14 @@ class DigestIndex:
         batch = uuid.uuid4().hex
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"))
         rows = written(rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies")), "digest-rows")
-        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("n"))
+        # written: else the anti-join moves below the aggregation, and a hot digest's rows all meet in one task
+        groups = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("n")), "digest-groups")
         self.add(groups, batch)
-        total = rows.agg(F.sum("copies")).first()[0] or 0
+        here = groups.select("digest", F.col("n").alias("here"))
+        total = here.agg(F.sum("here")).first()[0] or 0
         # an index row counts its own batch; later batches add to that what they brought themselves
-        known = self.rows().select("digest", "keep_id", "n", "batch")
-        hot = F.broadcast(rows.groupBy("digest").agg(F.sum("copies").alias("here")).where(F.col("here") >= max(2.0, total * HOT_SHARE)))
-        hot = F.broadcast(known.join(hot, "digest").select("digest", F.struct("keep_id", "n", "batch", "here").alias("found")))
-        marked = rows.join(hot, "digest", "left")
-        here = rows.groupBy("digest").agg(F.sum("copies").alias("here"))
-        cold = known.join(here, "digest").select("digest", F.struct("keep_id", "n", "batch", "here").alias("of"))
-        cold = marked.where(F.col("found").isNull()).drop("found").join(cold, "digest").withColumnRenamed("of", "found")
-        both = marked.where(F.col("found").isNotNull()).unionByName(cold)
+        found = self.rows().join(here, "digest").select("digest", "here", F.struct("keep_id", "n", "batch", "here").alias("found"))
+        both = join_groups(rows, written(found, "digest-found"), "digest", "here", total)
         new = F.col("found.batch") == batch
         return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
             "doc_id",
