@@ -1,12 +1,15 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, inverted lists, exact Jaccard.
 
 1. Each document's distinct shingles are hashed once; in hash order its least ``K`` values are its sketch.
-2. Inverted lists are kept by runs of ``RUN`` values that follow each other in a sketch. Of the union of two sets with
+2. Inverted lists are kept by runs of 5 values that follow each other in a sketch. Of the union of two sets with
    similarity 0.8 every value is shared with probability 0.8 independently of its place in hash order, so two such
-   sketches of 128 values lack a common run with a probability of some 1e-8; and of sets that the sketch holds whole
-   some run is always shared (a fifth of the union at most lies between runs). Unrelated texts share a run with the
-   fourth power of their similarity, so common words make no long lists.
-3. A short list pairs all its members. In a long one everybody is paired with the list's first member and with its
+   sketches of 192 values lack a common run with a probability of some 1e-8. Sets of up to 160 values lie whole in
+   their sketch and have runs of 4 (3 or 2 if very small), of which one is always shared: a fifth of the union at most
+   lies between runs. Unrelated texts share a run with the fifth power of their similarity, so common words make no
+   long lists.
+   Of the runs the 96 least keys are kept; both texts keep a common one with a failure rate of 1e-9.
+3. A short list pairs all its members whose sizes allow a link. In a long one everybody is paired with the first member
+   and with its
    neighbour by size: as many pairs as members. A slice of documents sends on one member only of a list that is long in
    it, so a list is no longer than a few rows a slice.
 4. Pairs that the union of their sketches puts clearly below the threshold go. What is left are clusters: components of
@@ -26,10 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, split_words, text_slices, written
+from .common import join_groups, mix64, split_words, text_slices, written
 from .components import connected_components
 
-K, RUN, SKETCH = 128, 4, 64
+K, SKETCH = 192, 64
+#: Of a sketch's runs those with the least keys are kept: so many, and so many of them for a first round.
+KEYS, FIRST = 96, 8
+#: Runs by set size: length, least and largest size. Links join sizes that differ by a fifth at most, so classes overlap.
+RUNS = ((5, 128, 1 << 62), (4, 4, 160), (3, 3, 24), (2, 2, 8), (1, 1, 2))
 #: Lists up to this length pair all members.
 SHORT = 8
 #: Estimated similarity below which a pair doesn't join a cluster (links have 0.8).
@@ -72,8 +79,8 @@ def shingle_sets(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def run_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of inverted lists and the row that each is of.
 
-    Runs of RUN values among each row's first K. Sets of 4 to 24 values also have runs of RUN - 1, and of RUN - 2 up to
-    8: the longest run that is certain is shorter there. Smaller sets are linked with equal ones only, and are a key.
+    Runs by ``RUNS`` among each row's first K, of which the KEYS least keys are kept, ascending. The longest run that is
+    certain is shorter in small sets; below 3 values only equal sets are linked.
     """
     sizes = np.diff(ends, prepend=0)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -82,7 +89,7 @@ def run_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     values, doc, rank, n = values[kept], doc[kept], rank[kept], np.minimum(sizes, K)[doc[kept]]
     size = sizes[doc]
     keys, rows = [], []
-    for run, least, most in ((RUN, RUN, 1 << 62), (RUN - 1, RUN - 1, 24), (RUN - 2, RUN - 2, 8), (1, 1, RUN - 2)):
+    for run, least, most in RUNS:
         at = np.flatnonzero((rank + run <= n) & (size >= least) & (size <= most))
         if not len(at):
             continue
@@ -95,26 +102,32 @@ def run_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, rows = np.concatenate(keys), np.concatenate(rows)
-    order = np.argsort(rows, kind="stable")
-    return keys[order], rows[order]
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    counts = np.bincount(rows, minlength=len(sizes))
+    least = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts) < KEYS
+    return keys[least], rows[least]
 
 
-def list_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that lists give: all of a short list; first member and neighbours of a long one."""
+def list_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids with different labels that lists give: all of a short list; first member and neighbours of a long one."""
     order = np.lexsort((ids, sizes, keys))
-    keys, ids = keys[order], ids[order]
+    keys, ids, labels = keys[order], ids[order], labels[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.r_[starts, len(keys)])
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     n = np.repeat(length, length)
     rank = np.arange(len(keys)) - np.repeat(starts, length)
+    sizes = sizes[order]
     for step in range(1, SHORT):
         at = np.flatnonzero((rank >= step) & ((n <= SHORT) | (step == 1)))
+        # sizes ascend within a list; a link needs sizes that differ by a fifth at most
+        at = at[((5 * sizes[at - step] >= 4 * sizes[at]) | (n[at] > SHORT)) & (labels[at - step] != labels[at])]
         a.append(ids[at - step])
         b.append(ids[at])
-    first = np.minimum.reduceat(ids, starts) if len(starts) else ids
-    at = np.flatnonzero(n > SHORT)
-    a.append(np.repeat(first, length)[at])
+    head = np.repeat(starts, length)
+    at = np.flatnonzero((n > SHORT) & (labels[head] != labels)) if len(starts) else starts
+    a.append(ids[head[at]])
     b.append(ids[at])
     return np.concatenate(a), np.concatenate(b)
 
@@ -152,7 +165,7 @@ def describe(documents: DataFrame, shingle: int) -> DataFrame:
                 many = length > SHORT
                 links: list[list[int]] = [[] for _ in digests]
                 if many.any():
-                    a, b = list_pairs(keys[many], known[of[many]], sizes[of[many]])
+                    a, b = list_pairs(keys[many], known[of[many]], sizes[of[many]], known[of[many]])
                     row_of = dict(zip(known[alone].tolist(), np.flatnonzero(alone).tolist(), strict=True))
                     for x, y in set(zip(a.tolist(), b.tolist(), strict=True)):
                         links[row_of[y]].append(x)
@@ -167,29 +180,28 @@ def describe(documents: DataFrame, shingle: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(described, schema)
 
 
-def candidates(described: DataFrame) -> DataFrame:
-    """``a, b``: pairs from inverted lists; each list is met in one task, of which a slice sent a few members at most."""
-    posts = described.select(F.explode("keys").alias("key"), "doc_id", "n").repartition("key")
+def candidates(posts: DataFrame) -> DataFrame:
+    """``a, b``: pairs from inverted lists of postings (``key, doc_id, n, label``): members whose labels differ.
+
+    Each list is met in one task, of which a slice of documents sent a few members at most.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[np.asarray(c) for c in batch.columns] for batch in batches]
         if not parts:
             return
-        keys, ids, sizes = (np.concatenate(c) for c in zip(*parts, strict=True))
+        keys, ids, sizes, labels = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(keys, kind="stable")
-        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        keys, ids, sizes, labels = keys[order], ids[order], sizes[order], labels[order]
         same = np.zeros(len(keys), bool)
         same[1:] = keys[1:] == keys[:-1]
         same[:-1] |= same[1:]  # lists of one go
-        a, b = list_pairs(keys[same], ids[same], sizes[same])
+        a, b = list_pairs(keys[same], ids[same], sizes[same], labels[same])
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        both = both[both[:, 0] != both[:, 1]]
         for i in range(0, len(both), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(both[i : i + 100_000, 0]), pa.array(both[i : i + 100_000, 1])], ["a", "b"])
 
-    found = posts.mapInArrow(pairs, "a bigint, b bigint")
-    local = described.select(F.explode("links").alias("a"), F.col("doc_id").alias("b"))
-    return found.unionByName(local.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return posts.select("key", "doc_id", "n", "label").repartition("key").mapInArrow(pairs, "a bigint, b bigint")
 
 
 def estimate(sketch_a: list[bytes], sketch_b: list[bytes]) -> np.ndarray:
@@ -219,10 +231,9 @@ def estimate(sketch_a: list[bytes], sketch_b: list[bytes]) -> np.ndarray:
 
 def likely(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """Pairs whose estimate reaches MAY_BE."""
-    side = described.select("doc_id", "n", "sketch")
 
     def of(name: str) -> DataFrame:
-        return side.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+        return described.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
     both = pairs.join(of("a"), "a").join(of("b"), "b").where("2 * least(n_a, n_b) >= greatest(n_a, n_b)")
 
@@ -324,15 +335,29 @@ def near_components(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = written(describe(documents, shingle), "near-described")
-    reps = described.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal"))
-    same = described.join(reps.where("n_equal > 1"), "digest").where("doc_id <> rep").select("doc_id", "rep").distinct()
-    same = written(same, "near-same")
+    usable = described.where("n > 0 and doc_id is not null").select("digest", "doc_id")
+    reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal"))
+    reps = written(reps.where("n_equal > 1"), "near-equal")
+    same = join_groups(usable, reps, "digest", "n_equal", described.count()).where("doc_id <> rep").select("doc_id", "rep")
+    same = written(same.distinct(), "near-same")
 
     def by_rep(df: DataFrame, column: str) -> DataFrame:
         return df.join(same.select(F.col("doc_id").alias(column), "rep"), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
 
-    pairs = by_rep(by_rep(candidates(described), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    clusters = written(connected_components(likely(pairs, described.dropDuplicates(["doc_id"]))), "near-clusters")
+    def distinct_pairs(df: DataFrame) -> DataFrame:
+        return by_rep(by_rep(df, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    sides = described.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    # a first round over a few lists puts most of a large group of copies into one cluster ...
+    few = described.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "doc_id", "n", F.col("doc_id").alias("label"))
+    local = described.select(F.explode("links").alias("a"), F.col("doc_id").alias("b"))
+    early = written(likely(distinct_pairs(candidates(few).unionByName(local)), sides), "near-early")
+    labels = written(connected_components(early), "near-labels")
+    # ... and the second, over all lists, looks for pairs of different clusters only
+    labelled = by_rep(described.select("doc_id", "n", "keys", F.col("doc_id").alias("own")), "own")
+    labelled = labelled.join(labels, labelled.own == labels.node, "left").withColumn("label", F.coalesce("component", "own"))
+    late = likely(distinct_pairs(candidates(labelled.select(F.explode("keys").alias("key"), "doc_id", "n", "label"))), sides)
+    clusters = written(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "near-clusters")
     links = connected_components(confirmed(documents, clusters, shingle, percent))
     ids = by_rep(described.select("doc_id", "n", F.col("doc_id").alias("own")), "own")
     ids = ids.join(links, ids.own == links.node, "left").withColumn("component_id", F.coalesce("component", "own"))
