@@ -117,10 +117,10 @@ def mix(documents: DataFrame, **options) -> DataFrame:
 
     A copy that is cut keeps the first ``words`` words with the white space between them. Needs distinct doc_ids.
     """
-    plan = mixing_plan(documents, **options).select(F.col("doc_id").alias("_id"), "size", F.explode("starts").alias("_start"))
+    plan = mixing_plan(documents, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("starts").alias("_start"))
     found = documents.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_start.words").cast("int")), "")
-    text = F.when(F.col("_start.words") < F.col("size"), cut).otherwise(F.col("text"))
+    text = F.when(F.col("_start.words") < F.col("_size"), cut).otherwise(F.col("text"))
     ordered = found.withColumn("text", text).orderBy("_start.position", "doc_id", "_start.copy")
     return ordered.select(*documents.columns)

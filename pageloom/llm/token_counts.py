@@ -59,6 +59,8 @@ class CountTree:
 
     def prefix(self, leaves: int) -> int:
         """Ids of the first ``leaves`` leaves, from the tree."""
+        if leaves >= len(self.leaf_tokens):
+            return self.total
         i, total = len(self.sums) // 2 + leaves, 0
         while i > 1:
             if i % 2:
