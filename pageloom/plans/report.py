@@ -220,7 +220,7 @@ def design_markdown(report: dict) -> str:
     families = report["fonts"]["brand"] or report["fonts"]["all"]
     counts = {c: len(report[c]) for c in ("color_all", "font_family", "font_size")}
     overview = [
-        f"Design tokens were auto-extracted from `{url}` by the website-scraper.",
+        f"Design tokens were auto-extracted from `{url}`.",
         f"Detected {counts['color_all']} colors, {counts['font_family']} font families, and {counts['font_size']} distinct font sizes across {report['stats']['html']['pages']} page(s).",
     ]
     if families:
