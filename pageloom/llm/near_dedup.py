@@ -338,8 +338,10 @@ def near_components(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     usable = described.where("n > 0 and doc_id is not null").select("digest", "doc_id")
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal"))
     reps = written(reps.where("n_equal > 1"), "near-equal")
-    same = join_groups(usable, reps, "digest", "n_equal", described.count()).where("doc_id <> rep").select("doc_id", "rep")
-    same = written(same.distinct(), "near-same")
+    total = described.count()
+    same = join_groups(usable, reps, "digest", "n_equal", total).where("doc_id <> rep").select("doc_id", "rep").distinct()
+    # a doc_id with several texts stands for all of them
+    same = written(same.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps")), "near-same")
 
     def by_rep(df: DataFrame, column: str) -> DataFrame:
         return df.join(same.select(F.col("doc_id").alias(column), "rep"), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
@@ -358,9 +360,14 @@ def near_components(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     labelled = labelled.join(labels, labelled.own == labels.node, "left").withColumn("label", F.coalesce("component", "own"))
     late = likely(distinct_pairs(candidates(labelled.select(F.explode("keys").alias("key"), "doc_id", "n", "label"))), sides)
     clusters = written(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "near-clusters")
-    links = connected_components(confirmed(documents, clusters, shingle, percent))
-    ids = by_rep(described.select("doc_id", "n", F.col("doc_id").alias("own")), "own")
-    ids = ids.join(links, ids.own == links.node, "left").withColumn("component_id", F.coalesce("component", "own"))
+    tied = same.where("size(reps) > 1").select(F.explode("reps").alias("a"), F.col("rep").alias("b"))
+    links = written(connected_components(confirmed(documents, clusters, shingle, percent).unionByName(tied)), "near-links")
+    # copies get their representative's component; a representative of very many by a bounded broadcast
+    groups = reps.groupBy("rep").agg(F.sum("n_equal").alias("n_equal")).join(links, F.col("rep") == F.col("node"), "left")
+    groups = written(groups.select("rep", "n_equal", F.coalesce("component", "rep").alias("component")), "near-groups")
+    copies = join_groups(same.select("doc_id", "rep"), groups, "rep", "n_equal", total).select(F.col("doc_id").alias("node"), "component")
+    found = links.join(copies.select("node"), "node", "left_anti").unionByName(copies)
+    ids = described.select("doc_id", "n").join(found, F.col("doc_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return ids.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

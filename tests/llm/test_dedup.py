@@ -150,6 +150,12 @@ def test_near_dedup_odd_cases(spark):
     assert kept.columns == ["doc_id", "text", "kept", "rep", "score"] and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 8, None}
 
 
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(1, "a b c"), (2, "d e f"), (3, "a b c"), (3, "d e f"), (4, "x y z"), (4, "x y z"), (4, "q r s"), (5, "q r s")]
+    got = [(r.doc_id, r.component_id) for r in near_dedup.near_components(docs(spark, rows), 2).collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 4)]
+
+
 def test_block_links():
     sets = [np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)]
     assert near_dedup.block_links(np.array([1, 2, 3]), sets, 0, 80) == [(1, 2)]
