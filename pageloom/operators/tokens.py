@@ -80,13 +80,7 @@ def heading_tokens(css_rows: DataFrame, strict: bool = False) -> DataFrame:
 def merge_counts(records: DataFrame) -> DataFrame:
     """AGG6: tokens of pre-counted records (``category, key, n, place``): keys normalised again, other than positive finite
     counts ignored, and colours counted for ``color_all`` as well."""
-    c, k = F.col("category"), F.col("key")
-    key = (
-        F.when(c.startswith("color_"), T.normalize_color(k))
-        .when(c == "font_family", T.sanitize_family(k))
-        .when(c == "font_weight", T.normalize_weight(k))
-        .otherwise(T.normalize_length(k))
-    )
+    c, key = F.col("category"), normalized_key(F.col("category"), F.col("key"))
     n = F.col("n").cast("double")
     good = records.withColumn("key", key).where((n > 0) & (n < float("inf")) & F.col("key").isNotNull() & (F.col("key") != ""))
     return good.unionByName(good.where(c.startswith("color_") & (c != "color_all")).withColumn("category", F.lit("color_all")))
@@ -107,6 +101,42 @@ def snapshot_records(snapshots: DataFrame) -> DataFrame:
     return out
 
 
+#: Maps of a heading's snapshot by kind of token.
+HEADING_MAPS = {"font_family": "fontFamilies", "font_size": "fontSizes", "font_weight": "fontWeights", "line_height": "lineHeights"}
+
+
+def normalized_key(category: Column, key: Column) -> Column:
+    return (
+        F.when(category.startswith("color_"), T.normalize_color(key))
+        .when(category == "font_family", T.sanitize_family(key))
+        .when(category == "font_weight", T.normalize_weight(key))
+        .otherwise(T.normalize_length(key))
+    )
+
+
+def snapshot_headings(snapshots: DataFrame) -> DataFrame:
+    """AGG4, AGG6: ``heading, breakpoint, kind, value, n`` of snapshots' ``headings``, as ``heading_tokens`` has them."""
+
+    def entries(kind: str, at: str) -> Column:
+        own = F.coalesce(F.map_entries(at), F.expr("cast(array() as array<struct<key:string,value:bigint>>)"))
+        return F.transform(own, lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].cast("double").alias("n")))
+
+    each = [entries(k, f"h.{m}") for k, m in HEADING_MAPS.items()]
+    heads = snapshots.select(F.explode("headings").alias("h"))
+    rows = heads.select("h.heading", "h.breakpoint", F.explode_outer(F.concat(*each)).alias("t")).select("heading", "breakpoint", "t.*")
+    value = normalized_key(F.col("kind"), F.col("key"))
+    good = rows.withColumn("value", value).where("n > 0 and n < double('Infinity') and value is not null and value <> ''")
+    counted = good.groupBy("heading", "breakpoint", "kind", "value").agg(F.sum("n").cast("long").alias("n"))
+    empty = rows.select("heading", "breakpoint").distinct().join(counted.select("heading", "breakpoint").distinct(), ["heading", "breakpoint"], "left_anti")
+    return counted.unionByName(empty.withColumn("kind", F.lit(None).cast("string")).withColumn("value", F.lit(None).cast("string")).withColumn("n", F.lit(0).cast("long")))
+
+
+def snapshot_stats(snapshots: DataFrame) -> DataFrame:
+    """AGG7 of snapshots: one row of sums."""
+    names = {"elements": "elements", "external_stylesheets": "externalStylesheets", "inline_style_elements": "inlineStyleElements", "inline_style_attributes": "inlineStyleAttributes"}
+    return snapshots.agg(F.count(F.lit(1)).alias("pages"), *[F.coalesce(F.sum(f"html.{c}"), F.lit(0)).alias(n) for n, c in names.items()])
+
+
 def tokens_of_run(css_rows: DataFrame, snapshots: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """All tokens of a run: of snapshots if there are any (D3), else of declarations; media queries either way."""
     media = media_tokens(css_rows).withColumn("n", F.lit(1).cast("bigint"))

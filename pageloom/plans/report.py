@@ -95,7 +95,10 @@ def build_report(source_url: str, css_rows: DataFrame, html_stats: DataFrame, sn
     for r in ranked.orderBy("category", "rank").toLocalIterator():
         items[r.category].append({"value": r.value, "count": r.n})
     heads: dict[tuple, dict] = {}
-    for r in heading_report(K.heading_tokens(css_rows, strict)).orderBy("place", "kind", "rank").toLocalIterator():
+    seen = snapshots is not None and not snapshots.isEmpty()  # then styles count as computed, not as declared (D3)
+    if seen:
+        html_stats = K.snapshot_stats(snapshots)
+    for r in heading_report(K.snapshot_headings(snapshots) if seen else K.heading_tokens(css_rows, strict)).orderBy("place", "kind", "rank").toLocalIterator():
         bucket = heads.setdefault((r.heading, r.breakpoint), {"font_family": [], "font_size": [], "font_weight": [], "line_height": []})
         if r.kind:
             bucket[r.kind].append({"value": r.value, "count": r.n})

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import css_tokens as T
 from .functions import text as X
 from .functions import urls as U
 from .functions.options import Options, parse_int_option

@@ -91,6 +91,22 @@ def test_snapshot_mode(spark):
     assert got == {("color_text", "#010203"): 3, ("color_all", "#010203"): 3}
 
 
+def test_snapshot_report(spark):
+    count = "map<string,bigint>"
+    kind = (
+        "page_id bigint, html struct<elements:bigint,externalStylesheets:bigint,inlineStyleElements:bigint,inlineStyleAttributes:bigint>, "
+        f"used struct<colors:struct<text:{count},background:{count},border:{count},fill:{count}>,typography:struct<fontFamilies:{count},fontSizes:{count},fontWeights:{count},lineHeights:{count}>,layout:struct<spacing:{count},borderRadius:{count}>>, "
+        f"headings array<struct<heading:string,breakpoint:string,fontFamilies:{count},fontSizes:{count},fontWeights:{count},lineHeights:{count}>>"
+    )
+    used = (({"rgb(0, 0, 255)": 5}, {"#ffffff": 9}, {}, None), ({"Inter, serif": 1, "Inter": 2}, {"16px": 7}, {"400": 7}, {"24px": 7}), ({"0px": 4, "8PX": 2}, {"4px": 1}))
+    heads = [("h1", "base", {"Inter": 1}, {"40px": 2}, {"700": 2}, {"48px": 2}), ("h2", "viewport <= 480px", {}, {}, None, {"1px": 0})]
+    snapshots = frame(spark, [(1, (10, 1, 2, 3), used, heads)], kind)
+    made = report.build_report("https://example.com/", rows_of(spark, "p{color:red;margin:1px} @media print{}"), extract.html_stats(pages(spark, "<p>")), snapshots)
+    assert made["color_text"] == [{"value": "#0000ff", "count": 5}] and [i["value"] for i in made["spacing"]] == ["0", "8px"] and made["media_query"][0]["value"] == "print"
+    assert made["stats"]["html"]["elements"] == 10 and [(h["heading"], len(h["font_size"])) for h in made["headings"]] == [("h1", 1), ("h2", 0)]
+    assert "fontSize: 40px" in report.design_markdown(made)
+
+
 def edges(spark, *pairs):
     return frame(spark, [(a, i, b) for i, (a, b) in enumerate(pairs)], "src string, link_seq int, dst string")
 
