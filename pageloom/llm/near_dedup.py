@@ -331,8 +331,11 @@ def near_components(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     Documents are linked if the similarity of their shingle sets is at least ``percent`` / 100, confirmed on full sets;
     component_id is the smallest doc_id reachable, kept says that it is the document's own. Texts without words (null,
     empty) are linked with nothing; nor are rows with a null doc_id, whose component_id is null and which are kept.
-    Repeated rows of one doc_id stand or go together. An empty table gives no rows. Whole texts are read.
+    Repeated rows of one doc_id stand or go together. An empty table gives no rows. Whole texts are read. The lists find
+    links from 80 percent on, so a smaller ``percent`` is an error.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be 80 to 100")
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = written(describe(documents, shingle), "near-described")
     usable = described.where("n > 0 and doc_id is not null").select("digest", "doc_id")
