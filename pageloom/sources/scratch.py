@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Temporary folders of local applications whose session names none.
+_OWN: dict[str, str] = {}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` (a temporary folder where a local master sets none) and read back."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _OWN.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="pageloom-")
+        _OWN[context.applicationId] = at
     path = f"{at.rstrip('/')}/pageloom/{what}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
