@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import css_tokens as T
 from .functions import text as X
 from .functions import urls as U
 from .functions.options import Options, parse_int_option
@@ -245,6 +246,11 @@ def content_hash_dedup(spark, d):
     return pages_of(spark, d).groupBy(X.content_hash(F.col("html")).alias("hash")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
 
 
+@query("SELECT page_id, 'data:text/html;base64,' || base64(encode(html)) AS data_url FROM pages")
+def data_urls(spark, d):
+    return pages_of(spark, d).select("page_id", X.data_url(F.col("html").cast("binary"), F.lit("text/html")).alias("data_url"))
+
+
 _STYLES = r"""b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>(.*?)</style>', 1) AS bodies FROM pages),
 s AS (SELECT page_id, unnest(bodies) AS css, generate_subscripts(bodies, 1) - 1 AS style_seq FROM b)"""
 
@@ -276,6 +282,16 @@ def style_rows(spark, d) -> DataFrame:
     return extract.css_rows(extract.style_blocks(pages_of(spark, d)).select("page_id", F.col("style_seq").alias("source_seq"), "css"))
 
 
+@query(
+    f"""WITH {_STYLES} SELECT page_id, style_seq + 1 AS index, 'https://inline.scrape.local/' || left(sha1({_normal("(SELECT url FROM pages p WHERE p.page_id = s.page_id)")}), 12)
+       || '/inline-' || (style_seq + 1) || '-' || left(sha1(css), 12) || '.css' AS source_url FROM s WHERE regexp_replace(css, '\\s', '', 'g') <> ''"""
+)
+def inline_source_urls(spark, d):
+    p = pages_of(spark, d)
+    styles = extract.style_blocks(p).join(p.select("page_id", "url"), "page_id").withColumn("index", (F.col("style_seq") + 1).cast("long"))
+    return styles.select("page_id", "index", U.inline_source_url(F.col("url"), F.col("index"), X.css_hash(F.col("css"))).alias("source_url"))
+
+
 @query(f"WITH {_STYLES} SELECT 'spacing' AS category, '0' AS value, count(*) AS n FROM s WHERE css = 'p{{margin:0}}' HAVING count(*) > 0")
 def css_spacing_tokens(spark, d):
     return tokens.count_tokens(tokens.declaration_tokens(style_rows(spark, d)))
@@ -351,6 +367,25 @@ def font_shorthand_synthetic(spark, d):
     return tokens.count_tokens(tokens.declaration_tokens(declared(spark, d, ("font", value), ("font", F.lit("inherit")))))
 
 
+@query(
+    """WITH c AS (SELECT p_partkey, p_size, ('0x' || v[2:3])::INT / 255.0::DOUBLE AS r, ('0x' || v[4:5])::INT / 255.0::DOUBLE AS g, ('0x' || v[6:7])::INT / 255.0::DOUBLE AS b
+      FROM (SELECT *, printf('#%06x', p_partkey * 7919 % 16777216) AS v FROM part)),
+s AS (SELECT *, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END AS s FROM c)
+SELECT p_partkey, round(s, 6) AS saturation, round(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b, 6) AS luminance, s < 0.1 AS neutral,
+       CASE p_size % 4 WHEN 0 THEN printf('%drem', p_size) WHEN 1 THEN printf('%dpx', p_size) WHEN 2 THEN printf('%dpx', p_size) END AS dimension,
+       CASE p_size % 4 WHEN 0 THEN p_size * 16.0::DOUBLE WHEN 3 THEN NULL ELSE p_size::DOUBLE END AS px,
+       CASE WHEN p_size % 10 > 0 THEN CAST(p_size % 10 * 100 AS VARCHAR) ELSE '700' END AS weight FROM s"""
+)
+def token_values(spark, d):
+    v = F.format_string("#%06x", F.col("p_partkey") * 7919 % 16777216)
+    size = F.format_string("%d%s", F.col("p_size"), F.element_at(F.array(*map(F.lit, ("rem", "px", "", "vh"))), (F.col("p_size") % 4 + 1).cast("int")))
+    weight = F.when(F.col("p_size") % 10 > 0, (F.col("p_size") % 10 * 100).cast("string")).otherwise("bold")
+    return part_of(spark, d).select(
+        "p_partkey", F.round(T.saturation(v), 6).alias("saturation"), F.round(T.luminance(v), 6).alias("luminance"), T.is_near_neutral(v).alias("neutral"),
+        T.normalize_dimension(size).alias("dimension"), T.px_value(size).alias("px"), T.normalize_report_weight(weight).alias("weight"),
+    )
+
+
 _LADDER = r"""p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, value) AS rank, TRY_CAST(regexp_extract(value, '^(-?\d*\.?\d+)(px|rem|em)?$', 1) AS DOUBLE)
       * CASE WHEN regexp_matches(value, '(rem|em)$') THEN 16 ELSE 1 END AS px FROM c WHERE regexp_matches(value, '^(-?\d*\.?\d+)(px|rem|em)?$')),
 q AS (SELECT category, px, rank, CASE WHEN value = '0' THEN '0px' WHEN regexp_matches(value, '[a-z]$') THEN value ELSE value || 'px' END AS value,
