@@ -14,22 +14,51 @@ from pyspark.sql import functions as F
 
 from .common import join_groups, scratch_path, shuffle_partitions, text_or_empty, written
 
+#: File of an index that holds its number of buckets (Spark's readers pass names with a leading underscore).
+MARK = "_buckets"
+
+
 class DigestIndex:
     """Digests of all texts seen so far: ``digest, keep_id, n, batch``.
 
     ``path`` names an existing or new index; without it a scratch index in the shared folder is used.
-    ``buckets`` is fixed when the index is made (default: the shuffle partitions).
+    ``buckets`` is fixed when the index is made (default: the shuffle partitions) and stored in it, so an index that
+    is opened again has the number that its files were written with; another one is an error.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "digests")
-        self.buckets = buckets or shuffle_partitions(spark)
+        self.buckets = self._bucket_count(buckets)
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, n BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _bucket_count(self, wanted: int | None) -> int:
+        """The stored number of buckets; of a new index the wanted one, which is stored."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        mark = jvm.org.apache.hadoop.fs.Path(at, MARK)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(mark):
+            stream = files.open(mark)
+            stored = stream.readInt()
+            stream.close()
+            if wanted and wanted != stored:
+                raise ValueError(f"the index at {self.path} has {stored} buckets, not {wanted}")
+            return stored
+        count = wanted or shuffle_partitions(self.spark)
+        if files.exists(at) and any(f.getPath().getName().endswith(".parquet") for f in files.listStatus(at)):
+            # made before the number was stored: each row's bucket must be that of its file's name
+            rows = self.spark.read.parquet(self.path).select(F.pmod(F.hash("digest"), F.lit(count)).alias("bucket"), F.regexp_extract(F.input_file_name(), r"_(\d+)\.c\d+", 1).cast("int").alias("of"))
+            if not rows.where("not bucket <=> of").isEmpty():
+                raise ValueError(f"the index at {self.path} was not made with {count} buckets")
+        stream = files.create(mark, False)
+        stream.writeInt(count)
+        stream.close()
+        return count
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 

@@ -46,6 +46,21 @@ def test_index_persists(spark, tmp_path):
     assert again.rows().count() == 3
 
 
+def test_index_keeps_its_buckets(spark, tmp_path):
+    """The number of buckets belongs to the index, not to the session that opens it."""
+    path, rows = f"file://{tmp_path}/index", docs(spark, [(i, f"text {i}") for i in range(300)])
+    assert exact_dedup.DigestIndex(spark, path, 8).dedup(rows).where("kept").count() == 300
+    assert exact_dedup.exact_dedup(rows, path).where("kept").count() == 0
+    assert exact_dedup.DigestIndex(spark, path).rows().count() == 300
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 4)
+    for name in ("_buckets", "._buckets.crc"):  # an index of before the number was stored
+        (tmp_path / "index" / name).unlink()
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path)
+    assert exact_dedup.DigestIndex(spark, path, 8).dedup(rows).where("kept").count() == 0
+
+
 def test_survivors(spark):
     kept = exact_dedup.DigestIndex(spark).survivors(docs(spark, ODD))
     assert kept.columns == ["doc_id", "text", "kept", "rep", "score"]
