@@ -60,7 +60,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: floa
     return of.select("source", "source_size", "weight", "slope", F.least(limit.cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mixing_plan(documents: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, cap: int = CAP, rows_per_group: int = 20_000) -> DataFrame:
+def row_key() -> Column:
+    """A hash of doc_id, source and text, which nulls have as well."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source")]
+    return F.md5(F.concat(F.md5(F.concat_ws("\n", F.length(parts[1]).cast("string"), *parts).cast("binary")), text_or_empty()).cast("binary"))
+
+
+def mixing_plan(documents: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, cap: int = CAP, rows_per_group: int = 20_000, keyed: bool = False) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, taken, starts, position``.
 
     size: words of the text (null: 0). taken: words that the mix takes, all copies counted; the last copy of a source
@@ -68,10 +74,12 @@ def mixing_plan(documents: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: flo
     copy that is taken, ``copy, words, position`` (a copy may be cut); position: the first copy's, null if none.
     A null source is a source of its own; texts without words take nothing. The order within a source is by MD5 of
     doc_id, then by size and text, so reruns agree, repeated rows too. An empty table gives no rows. Only doc_id,
-    source and text are read, and no text is shuffled.
+    source and text are read, and no text is shuffled. ``keyed`` adds ``row_key``, which rows share that agree in
+    doc_id, source and text.
     """
     text = text_or_empty()
-    rows = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("draw"), F.xxhash64(text).alias("tie"))
+    extra = ["row_key"] if keyed else []
+    rows = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("draw"), F.xxhash64(text).alias("tie"), *([row_key().alias("row_key")] if keyed else []))
     rows = written(rows, "mix-rows")
     count, digits = rows.count(), 2
     while count / 16**digits > rows_per_group and digits < 7:
@@ -104,6 +112,7 @@ def mixing_plan(documents: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: flo
         F.aggregate("starts", F.lit(0).cast("long"), lambda s, c: s + c.words).alias("taken"),
         "starts",
         F.try_element_at("starts", F.lit(1)).getField("position").alias("position"),
+        *extra,
     )
 
 
@@ -115,12 +124,26 @@ def in_training_order(plan: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: a row per taken copy, in training order, with ``documents``' columns.
 
-    A copy that is cut keeps the first ``words`` words with the white space between them. Needs distinct doc_ids.
+    A copy that is cut keeps the first ``words`` words with the white space between them. Rows are told apart by doc_id,
+    source and text, null and repeated doc_ids included; rows that agree in all of them are numbered.
     """
-    plan = mixing_plan(documents, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("starts").alias("_start"))
-    found = documents.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    plan = mixing_plan(documents, keyed=True, **options).where("size(starts) > 0")
+    same = Window.partitionBy("row_key")
+    plan = plan.withColumn("_n", F.row_number().over(same.orderBy("position"))).withColumn("_of", F.count(F.lit(1)).over(same))
+    plan = written(plan.select(F.col("row_key").alias("_row_key"), "_n", "_of", F.col("size").alias("_size"), F.col("starts").alias("_starts")), "mix-plan")
+    keyed = documents.withColumn("_key", row_key())
+    found = keyed.join(plan.where("_of = 1"), F.col("_key") == F.col("_row_key"))
+    repeated = plan.where("_of > 1")
+    if not repeated.isEmpty():
+        keys = repeated.select(F.col("_row_key").alias("_key")).distinct()
+        others = [c for c in documents.columns if c not in ("doc_id", "source", "text")]
+        order = Window.partitionBy("_key").orderBy(F.to_json(F.struct(*others)) if others else "_key")
+        several = keyed.join(keys, "_key", "left_semi").withColumn("_place", F.row_number().over(order))
+        several = several.join(repeated, (F.col("_key") == F.col("_row_key")) & (F.col("_place") == F.col("_n")))
+        found = found.unionByName(several.drop("_place"))
+    found = found.withColumn("_start", F.explode("_starts"))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_start.words").cast("int")), "")
     text = F.when(F.col("_start.words") < F.col("_size"), cut).otherwise(F.col("text"))
-    ordered = found.withColumn("text", text).orderBy("_start.position", "doc_id", "_start.copy")
+    ordered = found.withColumn("text", text).orderBy("_start.position", "doc_id", "_start.copy", "_key")
     return ordered.select(*documents.columns)

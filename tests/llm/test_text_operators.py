@@ -129,6 +129,17 @@ def test_mix_rows(spark):
     assert mixing.mixing_plan(docs(spark, [])).count() == 0
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    """Each row meets its own part of the plan, whatever its doc_id."""
+    rows = [(None, f"n{i} " * (i % 7 + 1), "x") for i in range(40)] + [(7, f"t{i} " * (i % 5 + 1), "x") for i in range(20)] + [(8, "same text here", "x")] * 3 + [(8, "same text here", None), (8, "other", "y"), (None, None, "y")]
+    mixed, plan = mixing.mix(docs(spark, rows)).collect(), mixing.mixing_plan(docs(spark, rows)).collect()
+    assert len(mixed) == sum(len(r.starts) for r in plan)
+    assert sum(len((r.text or "").split()) for r in mixed) == sum(r.taken for r in plan)
+    words = Counter((r.doc_id, r.source, w) for r in mixed for w in r.text.split())
+    own = Counter((i, s, w) for i, t, s in rows for w in (t or "").split())
+    assert all(n <= 2 * own[k] for k, n in words.items())
+
+
 # --- tokens --------------------------------------------------------------------------------------------------------
 
 TEXTS = [t for _, t, _ in ODD if t] + ["", " ", "x  y", "a\n\nb", "it's, 'ok'. 3.5%", "Straße ΣΑΣ İ é ǅ", "\x01 q", "tab\tx \x0b y", "…“quote”…", "a.,b .. ,,", "<|startoftext|> A"]
