@@ -29,8 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids."""
-    return packing.pack(docs)
+    """Pieces of sequences of 2048 ids, in the order of the mix as it was written."""
+    return packing.pack(docs, order=packing.stored_order(docs))
 
 
 STAGES = [

@@ -1,6 +1,6 @@
 """Packing: order-preserving dynamic programming over cut places.
 
-Documents stand in doc_id order as one stream of ids. A sequence is a window of at most ``width`` ids between two cut
+Documents stand in doc_id order, or another that is given, as one stream of ids. A sequence is a window of at most ``width`` ids between two cut
 places. The cheapest division minimises padding plus penalties of the cuts: none at a document's end, little at a
 sentence's, more inside one. With g(i) = cost(i) + place(i), the best start of a window that ends at j is the least g
 over the places that the window reaches, so a monotone queue makes each transition constant-time.
@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, text_slices, written
@@ -152,20 +153,32 @@ def stream_ids(pieces, end_id: int):
     return ids, (after[stops] + doc)[inner] if len(stops) else stops, ends + 1 + np.arange(len(ends))
 
 
-def pack(documents: DataFrame, width: int = WIDTH, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def stored_order(documents: DataFrame) -> list[Column]:
+    """The order of rows as their files hold them, part by part; without files that of the table's partitions."""
+    stored = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        documents.select(*stored).schema  # noqa: B018
+    except AnalysisException:
+        return [F.monotonically_increasing_id()]
+    return stored
+
+
+def pack(documents: DataFrame, width: int = WIDTH, tokenizer: str | None = None, end_id: int = 1, order: list[Column] | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Each document's ids with ``end_id`` at its end lie in pieces of sequences of at most ``width`` ids, in doc_id
-    order (null doc_ids first, equal ones by text). Null text counts as empty, which leaves the end id alone.
+    order (null doc_ids first, equal ones by text) or that of ``order``, which should tell rows apart. Null text counts as empty, which leaves the end id alone.
     sequence_id counts from 0 without gaps. An empty table gives no rows; repeated rows are packed each. Texts are
     range-partitioned once and streamed; a partition holds one stretch of ids at a time, or one long document.
     """
     spark = documents.sparkSession
     path = tokenizer or vocabulary("word_bpe_49k.json")
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(f"order_{i}") for i, c in enumerate(order or [])))
+    by = [f"order_{i}" for i in range(len(order or []))]
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, min(shuffle_partitions(spark), math.ceil(size / PARTITION_BYTES)))
-    ranged = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ranged = source.repartitionByRange(parts, *(by or ["doc_id"])).sortWithinPartitions(*(by or ["doc_id", "text"]))
+    ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
     names = ["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "local_sequence", "offset"]
     types = [pa.int32(), *[pa.int64()] * 7]
 

@@ -379,6 +379,21 @@ def test_packing(spark, monkeypatch, span):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_keeps_the_order_of_the_mix(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "PARTITION_BYTES", 2000)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta.", "gamma,"]) for _ in range(rng.randint(1, 60))), "abc"[i % 3]) for i in range(200)]
+    mixed = mixing.mix(docs(spark, rows))
+    order = [r.doc_id for r in mixed.collect()]
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    read = spark.read.parquet(f"{tmp_path}/mixed")
+    got = sorted(corpus_pipeline.packed(spark, read, str(tmp_path)).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert [r.doc_id for r in got if r.start == 0] == order != sorted(order)
+    assert len({r.sequence_id for r in got}) > 1
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
