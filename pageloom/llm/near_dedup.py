@@ -12,6 +12,9 @@
    and with its
    neighbour by size: as many pairs as members. A slice of documents sends on one member only of a list that is long in
    it, so a list is no longer than a few rows a slice.
+   Sets of up to 64 values, which a few common values can fill, are also met exactly, by a prefix filter: with their
+   values in one order for all, rare ones first, two that are linked share one of the first fifth (and one) of their
+   values. Lists of these, long ones too, compare all members of fitting sizes that are not in one cluster yet.
 4. Pairs that the union of their sketches puts clearly below the threshold go. What is left are clusters: components of
    texts that may be linked, by far not all of which are.
 5. Inside each cluster full sets are compared, in blocks of bounded size, and confirmed links give the components.
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -229,6 +233,77 @@ def estimate(sketch_a: list[bytes], sketch_b: list[bytes]) -> np.ndarray:
     return out
 
 
+def prefix_pairs(described: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b``: all links between sets of up to SKETCH values whose labels (``node, component``) differ.
+
+    Their sketches are whole sets of 32-bit values. A list is met in one task, so its time, not its memory, grows with
+    the square of its members that are not yet in one cluster.
+    """
+    small = described.where(f"n between 1 and {SKETCH} and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    small = small.join(labels, small.doc_id == labels.node, "left").select("digest", "doc_id", F.coalesce("component", "doc_id").alias("label"), "sketch")
+    small = written(small, "near-small")
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = batch.column("sketch").to_pylist()
+            of = np.repeat(np.arange(len(sketches)), [len(x) // 4 for x in sketches])
+            value = np.frombuffer(b"".join(sketches), "<u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(of)), pa.array(value)], ["digest", "value"])
+
+    values = small.select("digest", "sketch").mapInArrow(exploded, "digest binary, value bigint")
+    counts = written(values.groupBy("value").agg(F.count(F.lit(1)).alias("n_sets")), "near-frequencies")
+    total = counts.agg(F.sum("n_sets")).first()[0] or 0
+    ranked = join_groups(values, counts, "value", "n_sets", total).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n_sets", "value"))).alias("v"))
+    first = ranked.select("digest", F.explode(F.slice("v", F.lit(1), F.floor(F.size("v") / 5).cast("int") + 1)).alias("v")).where("v.n_sets > 1")
+    posts = first.select("digest", F.col("v.value").alias("key")).join(small, "digest").select("key", "doc_id", "label", "sketch")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        keys, ids, labels = (np.asarray(t[c]) for c in ("key", "doc_id", "label"))
+        sizes = np.asarray(pc.binary_length(t["sketch"])).astype(np.int64) // 4
+        order = np.lexsort((ids, sizes, keys))
+        starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+        length = np.diff(np.r_[starts, len(order)])
+        several = np.minimum.reduceat(labels[order], starts) < np.maximum.reduceat(labels[order], starts)
+        rank = (np.arange(len(order)) - np.repeat(starts, length))[np.repeat(several, length)]
+        order = order[np.repeat(several, length)]
+        ids, labels, sizes = ids[order], labels[order], sizes[order]
+        flat = np.frombuffer(b"".join(t["sketch"].take(pa.array(order)).to_pylist()), "<u4")
+        ends = np.cumsum(sizes)
+        of = np.repeat(np.arange(len(order)), sizes)
+        bits = np.zeros((len(order), 8), np.uint64)  # sets that differ in d values differ in at most d of these bits
+        np.bitwise_or.at(bits, (of, (flat >> 6) & 7), np.uint64(1) << (flat & 63).astype(np.uint64))
+
+        def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Of pairs of places those with 0.8 of their union in common."""
+            both = sizes[x] + sizes[y]
+            maybe = np.flatnonzero(9 * np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= both)
+            good = []
+            for k in maybe.tolist():
+                p, q = int(x[k]), int(y[k])
+                shared = len(np.intersect1d(flat[ends[p] - sizes[p] : ends[p]], flat[ends[q] - sizes[q] : ends[q]]))
+                if 9 * shared >= 4 * both[k]:
+                    good.append(k)
+            return np.array(good, np.int64)
+
+        active, step = np.flatnonzero(rank >= 1), 1
+        while len(active):
+            # sizes ascend within a list: what is too small for a link stays so
+            active = active[5 * sizes[active - step] >= 4 * sizes[active]]
+            those = active[labels[active - step] != labels[active]]
+            for i in range(0, len(those), 100_000):
+                y = those[i : i + 100_000]
+                if len(good := linked(y - step, y)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[y[good] - step]), pa.array(ids[y[good]])], ["a", "b"])
+            step += 1
+            active = active[rank[active] >= step]
+
+    return posts.repartition("key").mapInArrow(pairs, "a bigint, b bigint")
+
+
 def likely(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """Pairs whose estimate reaches MAY_BE."""
 
@@ -362,7 +437,8 @@ def near_components(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     labelled = by_rep(described.select("doc_id", "n", "keys", F.col("doc_id").alias("own")), "own")
     labelled = labelled.join(labels, labelled.own == labels.node, "left").withColumn("label", F.coalesce("component", "own"))
     late = likely(distinct_pairs(candidates(labelled.select(F.explode("keys").alias("key"), "doc_id", "n", "label"))), sides)
-    clusters = written(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "near-clusters")
+    exact = distinct_pairs(prefix_pairs(described, labels))
+    clusters = written(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late).unionByName(exact)), "near-clusters")
     tied = same.where("size(reps) > 1").select(F.explode("reps").alias("a"), F.col("rep").alias("b"))
     links = written(connected_components(confirmed(documents, clusters, shingle, percent).unionByName(tied)), "near-links")
     # copies get their representative's component; a representative of very many by a bounded broadcast

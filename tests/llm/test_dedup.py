@@ -154,6 +154,22 @@ def test_near_components_of_a_large_group(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute(rows, 2).items()}
 
 
+def test_near_copies_of_short_texts_with_a_template(spark):
+    """Thousands of texts share most of their words; each is linked with its own copy alone."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for template, own, added, first in ((6, 3, 2, 0), (5, 3, 2, 10_000)):
+        ids = list(range(first, first + 4000))
+        rng.shuffle(ids)
+        for k in range(2000):
+            w = [f"t{first}x{i}" for i in range(template)] + [f"o{first}x{k}x{i}" for i in range(own)]
+            a, b = ids[2 * k : 2 * k + 2]
+            rows += [(a, " ".join(w)), (b, " ".join([*w, *(f"a{first}x{k}x{i}" for i in range(added))]))]
+            want |= {a: min(a, b), b: min(a, b)}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs(spark, rows), 1).collect()}
+    assert sum(got[i] != c for i, c in want.items()) == 0
+
+
 def test_near_dedup_odd_cases(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(docs(spark, ODD), 2).collect()), key=str)
     assert len(got) == len(ODD)
