@@ -220,6 +220,16 @@ SECRETS = [
 ]
 
 
+ALPHABETS = {"HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower36": "abcdefghijklmnopqrstuvwxyz0123456789", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+RECALL = [
+    *(("HEX", n, r) for n, r in ((20, 0.4), (32, 0.7), (64, 0.95))),
+    *(("base32", n, r) for n, r in ((20, 0.35), (32, 0.6), (64, 0.9))),
+    *((kind, n, r) for kind in ("lower36", "upper36") for n, r in ((20, 0.4), (32, 0.75), (48, 0.9), (64, 0.95))),
+    *((kind, n, r) for kind in ("lower", "letters") for n, r in ((20, 0.4), (32, 0.65), (64, 0.95))),
+    *((kind, n, r) for kind in ("base62", "base64") for n, r in ((20, 0.55), (32, 0.85), (64, 0.95))),
+]
+
+
 def test_secrets(spark):
     got = {r.doc_id: r for r in secrets.secret_report(docs(spark, SECRETS)).collect()}
     assert (got[1].n_assign, got[2].n_access, got[2].n_hex, got[7].n_assign, got[8].n_assign) == (2, 1, 1, 0, 1)
@@ -254,6 +264,21 @@ def test_randomness_separates():
     assert all(secrets.surprise(p) < 2 for p in ("a" * 40, "abcdefghijklmnopqrstuvwxyz0123", "SomeLongClassNameForTestsImpl2", "some_long_function_name_of_it_2"))
 
 
+@pytest.mark.parametrize(("kind", "length", "least"), RECALL)
+def test_recall_by_encoding_and_length(kind, length, least):
+    """Random tokens with a p-value that stands if one candidate in a hundred is a secret."""
+    rng = random.Random(f"{kind}{length}")
+    keys = ["".join(rng.choice(ALPHABETS[kind]) for _ in range(length)) for _ in range(300)]
+    assert np.mean([secrets.surprise(k) >= 4 for k in keys]) >= least
+
+
+def test_ordinary_tokens_have_ordinary_p_values():
+    words = "internal station configuration value of the reader and message holds every number before house under general".split()
+    rng = random.Random(12)
+    tokens = [rng.choice(["_", "-", "/", ""]).join(rng.sample(words, 4)) for _ in range(300)] + ["".join(w.title() for w in rng.sample(words, 4)) + rng.choice(["", "2", "17"]) for _ in range(300)]
+    assert max(map(secrets.surprise, tokens)) < 4
+
+
 # --- token counts --------------------------------------------------------------------------------------------------
 
 
