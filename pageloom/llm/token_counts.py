@@ -1,7 +1,7 @@
 """Edit-aware token counts: segment trees over a document's pre-token pieces.
 
-A document keeps its pieces' ends (in code points) and ids, grouped into leaves of ``LEAF`` pieces, under a binary tree
-of sums. An edit re-encodes only the leaves that it touches and one piece of context on either side, where pieces can
+A tree keeps the lengths (in code points) and numbers of ids of a document's leaves of ``LEAF`` pieces, under a binary
+tree of sums. It lives for one task: ``count_tokens`` makes it from the whole text and stores none. An edit re-encodes only the leaves that it touches and one piece of context on either side, where pieces can
 merge or part; sums are updated on the path to the root where the number of leaves stays, and spliced otherwise.
 """
 
@@ -27,7 +27,7 @@ PIECE = re.compile(r"\s*\S+|\s+")
 
 @dataclass
 class CountTree:
-    """Counts of one text. ``leaves``: each leaf's text length and ids; ``sums``: a binary tree over the ids."""
+    """Counts of one text. ``leaf_chars``, ``leaf_tokens``: each leaf's length and number of ids; ``sums``: a binary tree over these numbers."""
 
     text: str
     leaf_chars: list[int] = field(default_factory=list)
