@@ -6,48 +6,46 @@
    sketches of 192 values lack a common run with a probability of some 1e-8. Sets of up to 160 values lie whole in
    their sketch and have runs of 4 (3 or 2 if very small), of which one is always shared: a fifth of the union at most
    lies between runs. Unrelated texts share a run with the fifth power of their similarity, so common words make no
-   long lists.
-   Of the runs the 96 least keys are kept; both texts keep a common one with a failure rate of 1e-9.
-3. A short list pairs all its members whose sizes allow a link. In a long one everybody is paired with the first member
-   and with its
-   neighbour by size: as many pairs as members. A slice of documents sends on one member only of a list that is long in
-   it, so a list is no longer than a few rows a slice.
-   Sets of up to 64 values, which a few common values can fill, are also met exactly, by a prefix filter: with their
-   values in one order for all, rare ones first, two that are linked share one of the first fifth (and one) of their
-   values. Lists of these, long ones too, compare all members of fitting sizes that are not in one cluster yet.
-4. Pairs that the union of their sketches puts clearly below the threshold go. What is left are clusters: components of
-   texts that may be linked, by far not all of which are.
-5. Inside each cluster full sets are compared, in blocks of bounded size, and confirmed links give the components.
-   A text in the component of the cluster's first text needs no comparison with others there.
+   long lists. Of larger sets the 96 runs with the least keys are kept.
+3. Labels say which texts are in one component for certain; equal sets share one from the start. In two rounds each list
+   that holds several labels compares its members with one of them, its head (first the one with most copies): as many
+   pairs as members. The union of the two sketches rejects pairs clearly below the threshold, full sets confirm the
+   others, and confirmed links join labels. A large group of near copies is then one label.
+4. What is left are lists that still hold several labels. All pairs of different labels are met there: those of a short
+   list one by one, a long one in blocks, in which the union sketches of all pairs are taken. Pairs that may be linked
+   give clusters, inside which full sets are compared, again between different labels and in blocks. Blocks of a list's
+   (cluster's) largest label meet those of other labels only. Nothing is left out; a task's memory is bounded by two
+   blocks, and only texts that are in nobody else's label cost the square of their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, mix64, split_words, text_slices, written
+from .common import fresh_name, join_groups, mix64, split_words, text_slices, written
 from .components import connected_components
 
 K, SKETCH = 192, 64
-#: Of a sketch's runs those with the least keys are kept: so many, and so many of them for a first round.
-KEYS, FIRST = 96, 8
+#: Of a large set's runs those with the least keys are kept: so many. Sets of up to WHOLE values keep all.
+KEYS, WHOLE = 96, 160
 #: Runs by set size: length, least and largest size. Links join sizes that differ by a fifth at most, so classes overlap.
-RUNS = ((5, 128, 1 << 62), (4, 4, 160), (3, 3, 24), (2, 2, 8), (1, 1, 2))
-#: Lists up to this length pair all members.
+RUNS = ((5, 128, 1 << 62), (4, 4, WHOLE), (3, 3, 24), (2, 2, 8), (1, 1, 2))
+#: The first round takes one key in so many.
+FEW = 8
+#: Lists up to this length pair all members one by one.
 SHORT = 8
-#: Estimated similarity below which a pair doesn't join a cluster (links have 0.8).
+#: Estimated similarity below which a pair isn't compared by full sets (links have 0.8).
 MAY_BE = 0.55
 #: Texts in one block of comparisons.
-BLOCK = 1024
-#: Up to so many cluster members (of 16 bytes) are broadcast; more are joined by a shuffle.
+BLOCK = 96
+#: Up to so many doc_ids (of 8 bytes) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -83,8 +81,8 @@ def shingle_sets(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def run_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of inverted lists and the row that each is of.
 
-    Runs by ``RUNS`` among each row's first K, of which the KEYS least keys are kept, ascending. The longest run that is
-    certain is shorter in small sets; below 3 values only equal sets are linked.
+    Runs by ``RUNS`` among each row's first K, ascending; of large sets the KEYS least keys are kept. The longest run that
+    is certain is shorter in small sets; below 3 values only equal sets are linked.
     """
     sizes = np.diff(ends, prepend=0)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -110,41 +108,18 @@ def run_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keys, rows = keys[order], rows[order]
     counts = np.bincount(rows, minlength=len(sizes))
     least = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts) < KEYS
+    least |= sizes[rows] <= WHOLE
     return keys[least], rows[least]
 
 
-def list_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids with different labels that lists give: all of a short list; first member and neighbours of a long one."""
-    order = np.lexsort((ids, sizes, keys))
-    keys, ids, labels = keys[order], ids[order], labels[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    length = np.diff(np.r_[starts, len(keys)])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    n = np.repeat(length, length)
-    rank = np.arange(len(keys)) - np.repeat(starts, length)
-    sizes = sizes[order]
-    for step in range(1, SHORT):
-        at = np.flatnonzero((rank >= step) & ((n <= SHORT) | (step == 1)))
-        # sizes ascend within a list; a link needs sizes that differ by a fifth at most
-        at = at[((5 * sizes[at - step] >= 4 * sizes[at]) | (n[at] > SHORT)) & (labels[at - step] != labels[at])]
-        a.append(ids[at - step])
-        b.append(ids[at])
-    head = np.repeat(starts, length)
-    at = np.flatnonzero((n > SHORT) & (labels[head] != labels)) if len(starts) else starts
-    a.append(ids[head[at]])
-    b.append(ids[at])
-    return np.concatenate(a), np.concatenate(b)
-
-
 def describe(documents: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, n, digest, sketch, keys, links`` of every document; links are pairs that one slice found alone."""
-    schema = "doc_id bigint, n bigint, digest binary, sketch binary, keys array<bigint>, links array<bigint>"
+    """``doc_id, n, digest, sketch, keys`` of every document. A set that came before in its slice has no keys of its own."""
+    schema = "doc_id bigint, n bigint, digest binary, sketch binary, keys array<bigint>"
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in text_slices(batch):
                 ids = rows["doc_id"].combine_chunks().cast(pa.int64())
-                known = np.asarray(ids.fill_null(-1) if ids.null_count else ids).astype(np.int64)
                 values, ends = shingle_sets(text, shingle)
                 sizes = np.diff(ends, prepend=0)
                 starts = ends - sizes
@@ -153,251 +128,265 @@ def describe(documents: DataFrame, shingle: int) -> DataFrame:
                 short = (values >> np.uint64(32)).astype("<u4").tobytes()
                 sketches = [short[4 * s : 4 * min(e, s + SKETCH)] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 keys, of = run_keys(values, ends)
-                # a row whose set came before in the slice has no lists of its own; a null doc_id is linked with nothing
-                firsts = dict.fromkeys(digests)
-                place = {d: -1 for d in firsts}
-                alone = np.zeros(len(digests), bool)
-                for i, d in enumerate(digests):
-                    if place[d] < 0 and ids[i].is_valid:
-                        place[d], alone[i] = i, True
-                mine = alone[of]
-                keys, of = keys[mine], of[mine]
-                order = np.argsort(keys, kind="stable")
-                cut = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, np.int64)
-                length = np.zeros(len(keys), np.int64)
-                length[order] = np.repeat(np.diff(np.r_[cut, len(keys)]), np.diff(np.r_[cut, len(keys)]))
-                many = length > SHORT
-                links: list[list[int]] = [[] for _ in digests]
-                if many.any():
-                    a, b = list_pairs(keys[many], known[of[many]], sizes[of[many]], known[of[many]])
-                    row_of = dict(zip(known[alone].tolist(), np.flatnonzero(alone).tolist(), strict=True))
-                    for x, y in set(zip(a.tolist(), b.tolist(), strict=True)):
-                        links[row_of[y]].append(x)
-                    first = order[cut]  # its first member by place stands for a long list
-                    many[first] = False
-                left = ~many
-                counts = np.bincount(of[left], minlength=len(digests))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(keys[left].view(np.int64)))
-                cells = [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), lists, pa.array(links, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n", "digest", "sketch", "keys", "links"])
+                counts = np.bincount(of, minlength=len(digests))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(keys.view(np.int64)))
+                cells = [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n", "digest", "sketch", "keys"])
 
     return documents.select("doc_id", "text").mapInArrow(described, schema)
 
 
-def candidates(posts: DataFrame) -> DataFrame:
-    """``a, b``: pairs from inverted lists of postings (``key, doc_id, n, label``): members whose labels differ.
+def padded(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows of SKETCH numbers, filled up with 2^40, and their sizes."""
+    sizes = pc.binary_length(sketches).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    table = np.full((len(sizes), SKETCH), 1 << 40, np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    table[of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.frombuffer(b"".join(sketches.to_pylist()), "<u4")
+    return table, sizes
 
-    Each list is met in one task, of which a slice of documents sent a few members at most.
-    """
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[np.asarray(c) for c in batch.columns] for batch in batches]
-        if not parts:
-            return
-        keys, ids, sizes, labels = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys, ids, sizes, labels = keys[order], ids[order], sizes[order], labels[order]
-        same = np.zeros(len(keys), bool)
-        same[1:] = keys[1:] == keys[:-1]
-        same[:-1] |= same[1:]  # lists of one go
-        a, b = list_pairs(keys[same], ids[same], sizes[same], labels[same])
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        for i in range(0, len(both), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(both[i : i + 100_000, 0]), pa.array(both[i : i + 100_000, 1])], ["a", "b"])
-
-    return posts.select("key", "doc_id", "n", "label").repartition("key").mapInArrow(pairs, "a bigint, b bigint")
-
-
-def estimate(sketch_a: list[bytes], sketch_b: list[bytes]) -> np.ndarray:
-    """Similarity by the union sketch: of the least SKETCH values of both, the part that both have."""
-    out = np.zeros(len(sketch_a))
-    table = np.full((len(sketch_a), 2 * SKETCH), 1 << 40, np.int64)
-    size = np.zeros(len(sketch_a), np.int64)
-    for i, (x, y) in enumerate(zip(sketch_a, sketch_b, strict=True)):
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-        table[i, : len(x)] = x
-        table[i, SKETCH : SKETCH + len(y)] = y
-        size[i] = max(len(x), len(y))
-    table.sort(axis=1)
-    twice = table[:, 1:] == table[:, :-1]
+def estimate(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Similarity by the union sketch, row by row: of the least SKETCH values of both, the part that both have."""
+    table = np.sort(np.concatenate([a, b], axis=1), axis=1)
     real = table < 1 << 40
+    twice = (table[:, 1:] == table[:, :-1]) & real[:, 1:]
     distinct = real.copy()
     distinct[:, 1:] &= ~twice
     rank = np.cumsum(distinct, axis=1)
     # a sketch that is not full is the whole set, so the union may count all of its values
-    limit = np.where(size < SKETCH, 2 * SKETCH, SKETCH)[:, None]
-    within = rank <= limit
-    shared = (twice & real[:, 1:] & within[:, 1:]).sum(1)
-    union = np.minimum(rank[:, -1], limit[:, 0])
-    out = shared / np.maximum(union, 1)
-    return out
+    limit = np.where(np.maximum(size_a, size_b) < SKETCH, 2 * SKETCH, SKETCH)[:, None]
+    shared = (twice & (rank <= limit)[:, 1:]).sum(1)
+    return shared / np.maximum(np.minimum(rank[:, -1], limit[:, 0]), 1)
 
 
-def prefix_pairs(described: DataFrame, labels: DataFrame) -> DataFrame:
-    """``a, b``: all links between sets of up to SKETCH values whose labels (``node, component``) differ.
+def sizes_fit(a: str, b: str) -> Column:
+    """Set sizes that allow a link."""
+    return 5 * F.least(F.col(a), F.col(b)) >= 4 * F.greatest(F.col(a), F.col(b))
 
-    Their sketches are whole sets of 32-bit values. A list is met in one task, so its time, not its memory, grows with
-    the square of its members that are not yet in one cluster.
-    """
-    small = described.where(f"n between 1 and {SKETCH} and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
-    small = small.join(labels, small.doc_id == labels.node, "left").select("digest", "doc_id", F.coalesce("component", "doc_id").alias("label"), "sketch")
-    small = written(small, "near-small")
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketches = batch.column("sketch").to_pylist()
-            of = np.repeat(np.arange(len(sketches)), [len(x) // 4 for x in sketches])
-            value = np.frombuffer(b"".join(sketches), "<u4").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(of)), pa.array(value)], ["digest", "value"])
-
-    values = small.select("digest", "sketch").mapInArrow(exploded, "digest binary, value bigint")
-    counts = written(values.groupBy("value").agg(F.count(F.lit(1)).alias("n_sets")), "near-frequencies")
-    total = counts.agg(F.sum("n_sets")).first()[0] or 0
-    ranked = join_groups(values, counts, "value", "n_sets", total).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n_sets", "value"))).alias("v"))
-    first = ranked.select("digest", F.explode(F.slice("v", F.lit(1), F.floor(F.size("v") / 5).cast("int") + 1)).alias("v")).where("v.n_sets > 1")
-    posts = first.select("digest", F.col("v.value").alias("key")).join(small, "digest").select("key", "doc_id", "label", "sketch")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [batch for batch in batches if batch.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        keys, ids, labels = (np.asarray(t[c]) for c in ("key", "doc_id", "label"))
-        sizes = np.asarray(pc.binary_length(t["sketch"])).astype(np.int64) // 4
-        order = np.lexsort((ids, sizes, keys))
-        starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-        length = np.diff(np.r_[starts, len(order)])
-        several = np.minimum.reduceat(labels[order], starts) < np.maximum.reduceat(labels[order], starts)
-        rank = (np.arange(len(order)) - np.repeat(starts, length))[np.repeat(several, length)]
-        order = order[np.repeat(several, length)]
-        ids, labels, sizes = ids[order], labels[order], sizes[order]
-        flat = np.frombuffer(b"".join(t["sketch"].take(pa.array(order)).to_pylist()), "<u4")
-        ends = np.cumsum(sizes)
-        of = np.repeat(np.arange(len(order)), sizes)
-        bits = np.zeros((len(order), 8), np.uint64)  # sets that differ in d values differ in at most d of these bits
-        np.bitwise_or.at(bits, (of, (flat >> 6) & 7), np.uint64(1) << (flat & 63).astype(np.uint64))
-
-        def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            """Of pairs of places those with 0.8 of their union in common."""
-            both = sizes[x] + sizes[y]
-            maybe = np.flatnonzero(9 * np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= both)
-            good = []
-            for k in maybe.tolist():
-                p, q = int(x[k]), int(y[k])
-                shared = len(np.intersect1d(flat[ends[p] - sizes[p] : ends[p]], flat[ends[q] - sizes[q] : ends[q]]))
-                if 9 * shared >= 4 * both[k]:
-                    good.append(k)
-            return np.array(good, np.int64)
-
-        active, step = np.flatnonzero(rank >= 1), 1
-        while len(active):
-            # sizes ascend within a list: what is too small for a link stays so
-            active = active[5 * sizes[active - step] >= 4 * sizes[active]]
-            those = active[labels[active - step] != labels[active]]
-            for i in range(0, len(those), 100_000):
-                y = those[i : i + 100_000]
-                if len(good := linked(y - step, y)):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[y[good] - step]), pa.array(ids[y[good]])], ["a", "b"])
-            step += 1
-            active = active[rank[active] >= step]
-
-    return posts.repartition("key").mapInArrow(pairs, "a bigint, b bigint")
-
-
-def likely(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """Pairs whose estimate reaches MAY_BE."""
+def likely(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose estimate reaches MAY_BE; ``sides`` has ``doc_id, sketch``. A head of very many pairs is a skewed join."""
 
     def of(name: str) -> DataFrame:
-        return described.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where("2 * least(n_a, n_b) >= greatest(n_a, n_b)")
+        return sides.select(F.col("doc_id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            keep = estimate(t["sketch_a"].to_pylist(), t["sketch_b"].to_pylist()) >= MAY_BE
-            yield from t.select(["a", "b"]).filter(pa.array(keep)).to_batches()
+            (a, size_a), (b, size_b) = padded(batch.column("sketch_a")), padded(batch.column("sketch_b"))
+            keep = pa.array(estimate(a, size_a, b, size_b) >= MAY_BE)
+            yield batch.select(["a", "b"]).filter(keep)
 
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(filtered, "a bigint, b bigint")
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], other: int, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links that join the texts of a task: a spanning forest of them.
+def full_sets(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, values``: the whole shingle sets of the documents named by ``ids`` (distinct doc_ids)."""
+    few = ids.count() <= BROADCAST_ROWS
+    texts = documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, text in text_slices(batch):
+                values, ends = shingle_sets(text, shingle)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().cast(pa.int64()), lists], ["doc_id", "values"])
+
+    return texts.select("doc_id", "text").mapInArrow(sets, "doc_id bigint, values array<bigint>")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that full sets confirm, one by one."""
+
+    def of(name: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(name), F.col("values").alias(f"set_{name}"))
+
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+
+class Block:
+    """Texts of one task: ``ids``, ``labels``, ``sizes`` and their ``values`` end to end.
 
     ``other``: 0 compares all texts, otherwise the first ``other`` with the rest.
     """
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    value = np.concatenate(sets)
-    doc = np.repeat(np.arange(n), sizes)
-    order = np.argsort(value, kind="stable")
-    value, doc = value[order], doc[order]
-    cut = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    length = np.diff(np.r_[cut, len(value)])
-    term = np.empty(len(value), np.int64)
-    term[order] = np.repeat(np.arange(len(cut)), length)  # each text's terms, in its own order
-    offsets = np.r_[0, np.cumsum(sizes)]
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for i in range(n if not other else other):
-        if i and root(i) == root(0) and not other:
-            continue
-        terms = term[offsets[i] : offsets[i + 1]]
-        terms = terms[length[terms] > 1]
-        k = length[terms]
-        postings = doc[np.repeat(cut[terms] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-        shared = np.bincount(postings, minlength=n)
-        union = sizes + sizes[i] - shared
-        good = 100 * shared >= percent * union
-        good[i] = False
-        if other:
-            good[:other] = False
-        for j in np.flatnonzero(good).tolist():
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                links.append((int(ids[i]), int(ids[j])))
-    return links
 
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: np.ndarray, other: int):
+        self.ids, self.sizes, self.other, self.values = ids, sizes, other, values
+        self.names, self.labels = np.unique(labels, return_inverse=True)
+
+    def joined(self, good: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+        """Pairs of ids that join the labels: a spanning forest of the pairs with different labels that ``good`` accepts, given
+        a text, the places of others that share a value with it, and how many values they share."""
+        n = len(self.ids)
+        doc = np.repeat(np.arange(n), self.sizes)
+        order = np.argsort(self.values, kind="stable")
+        value, doc = self.values[order], doc[order]
+        cut = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        length = np.diff(np.r_[cut, len(value)])
+        term = np.empty(len(value), np.int64)
+        term[order] = np.repeat(np.arange(len(cut)), length)  # each text's terms, in its own order
+        offsets = np.r_[0, np.cumsum(self.sizes)]
+        root = np.arange(len(self.names))  # of each label
+        out = []
+        for i in range(self.other or n):
+            terms = term[offsets[i] : offsets[i + 1]]
+            k = length[terms]
+            terms, k = terms[k > 1], k[k > 1]
+            shared = np.bincount(doc[np.repeat(cut[terms] - np.cumsum(k) + k, k) + np.arange(k.sum())], minlength=n)
+            there = np.flatnonzero(shared)
+            there = there[(there >= self.other if self.other else there > i) & (root[self.labels[there]] != root[self.labels[i]])]
+            if not len(there):
+                continue
+            for j in there[good(i, there, shared[there])].tolist():
+                x, y = root[self.labels[i]], root[self.labels[j]]
+                if x != y:
+                    root[root == y] = x
+                    out.append((int(self.ids[i]), int(self.ids[j])))
+        return out
+
+
+def in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Deals rows ``group, label, doc_id, ...`` to tasks (columns ``task``, ``low``, ``high``, ``block``) so that any two rows of a
+    group with different labels meet in one.
+
+    Blocks of the largest label's rows meet those of all others, whose blocks also meet each other; a row of the
+    largest label is copied once for each block of others.
+    """
+    counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n_label"))
+    tops = counts.groupBy(group).agg(F.max(F.struct("n_label", "label")).alias("top"), F.sum("n_label").alias("n_all"))
+    small = F.col("n_all") <= 2 * block
+    tops = tops.select(
+        group,
+        F.when(~small, F.col("top.label")).alias("top"),
+        F.when(small, 1).otherwise(F.ceil((F.col("n_all") - F.col("top.n_label")) / block)).cast("int").alias("others"),
+        F.when(small, 0).otherwise(F.ceil(F.col("top.n_label") / block)).cast("int").alias("own"),
+    )
+    dealt = rows.join(written(tops, "near-tops"), group)
+    inside = F.col("label").eqNullSafe(F.col("top"))
+    draw = F.xxhash64("doc_id")
+    dealt = dealt.withColumn("block", F.when(inside, F.col("others") + F.pmod(draw, F.col("own"))).otherwise(F.pmod(draw, F.col("others"))).cast("int"))
+    partners = F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)
+    dealt = dealt.withColumn("_with", F.explode(partners)).withColumn("low", F.least("block", "_with")).withColumn("high", F.greatest("block", "_with"))
+    return dealt.withColumn("task", F.xxhash64(group, "low", "high")).drop("_with", "top", "others", "own")
+
+
+def block_links(dealt: DataFrame, payload: str, links: Callable[[pa.Table, int], list[tuple[int, int]]]) -> DataFrame:
+    """``a, b``: what ``links`` finds in each task of ``in_blocks``, given its rows by block and the number of the first block's."""
+    rows = dealt.select("task", "low", "high", "block", "doc_id", "label", payload).repartition("task").sortWithinPartitions("task", "block", "doc_id")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(task: pa.Table) -> pa.RecordBatch:
+            low, high = task["low"][0].as_py(), task["high"][0].as_py()
+            first = int(pc.sum(pc.equal(task["block"], low)).as_py())
+            # a task of two blocks of which one has no rows has nothing to compare; both compare their own elsewhere
+            some = task.num_rows > 1 and (low == high or 0 < first < task.num_rows)
+            pairs = links(task, 0 if low == high else first) if some else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            tasks = batch.column("task").to_numpy()
+            cuts = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if held and end > begin and held[-1].column("task")[0].as_py() != tasks[begin]:
+                    yield of(pa.Table.from_batches(held))
+                    held = []
+                if end > begin:
+                    held.append(batch.slice(begin, end - begin))
+        if held:
+            yield of(pa.Table.from_batches(held))
 
-def confirmed(documents: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``a, b``: links by full sets, enough of them to join every component inside the clusters (``node, component``)."""
-    size = clusters.count()
-    counts = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    of = clusters.join(counts, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    of = of.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    of = written(of.select(F.col("node").alias("doc_id"), "component", "blocks", "block"), "members")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(of) if size <= BROADCAST_ROWS else of, "doc_id")
+    return rows.mapInArrow(found, "a bigint, b bigint")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, text in text_slices(batch):
-                values, ends = shingle_sets(text, shingle)
-                raw = values.tobytes()
-                parts = [raw[8 * (s if i else 0) : 8 * e] for i, (s, e) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True))]
-                yield from rows.drop_columns(["text"]).append_column("values", pa.array(parts, pa.binary())).combine_chunks().to_batches()
 
-    found = texts.mapInArrow(sets, "doc_id bigint, component bigint, blocks int, block int, values binary").dropDuplicates(["doc_id", "component"])
-    # a task for each pair of blocks of a cluster; most clusters have one
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high")))
-    found = found.withColumn("task", F.explode(tasks)).select("component", "task.low", "task.high", "block", "doc_id", "values")
+def sketch_links(task: pa.Table, other: int) -> list[tuple[int, int]]:
+    """Pairs of a task that may be linked, by union sketches."""
+    table, sizes = padded(task["sketch"].combine_chunks())
+    block = Block(task["doc_id"].to_numpy(), task["label"].to_numpy(), sizes, table[table < 1 << 40], other)
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, low, high = key
-        rows = rows.sort_values(["block", "doc_id"])
-        other = 0 if low == high else int((rows.block == low).sum())
-        links = block_links(rows.doc_id.to_numpy(), [np.frombuffer(v, np.uint64) for v in rows["values"]], other, percent) if len(rows) > 1 and (low == high or 0 < other < len(rows)) else []
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    def good(i: int, there: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        mine = np.broadcast_to(table[i], (len(there), SKETCH))
+        return estimate(mine, np.full(len(there), sizes[i]), table[there], sizes[there]) >= MAY_BE
 
-    return found.groupBy("component", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+    return block.joined(good)
+
+
+def set_links(percent: int) -> Callable[[pa.Table, int], list[tuple[int, int]]]:
+    """Pairs of a task that are linked, by full sets."""
+
+    def links(task: pa.Table, other: int) -> list[tuple[int, int]]:
+        lists = task["values"].combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = Block(task["doc_id"].to_numpy(), task["label"].to_numpy(), sizes, lists.flatten().to_numpy(), other)
+        return block.joined(lambda i, there, shared: 100 * shared >= percent * (sizes[there] + sizes[i] - shared))
+
+    return links
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of their doc_id: its component, or itself."""
+    to = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    return rows.join(to, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (``node, component``; other nodes are their own) after ``links`` have joined some. Only labels that links name are solved."""
+    links = written(links, "near-links")
+    if links.isEmpty():
+        return labels
+    for side in ("a", "b"):
+        to = labels.select(F.col("node").alias(side), "component")
+        links = links.join(to, side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    joined = written(connected_components(links), "near-joined")
+    old = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    old = old.select("node", F.coalesce("_to", "component").alias("component"))
+    return written(old.unionByName(joined.join(labels, "node", "left_anti")), "near-labels")
+
+
+def mixed(rows: DataFrame, group: str, head: Column) -> DataFrame:
+    """Of groups that hold several labels: ``group, size, head`` (the greatest of a struct). Written, as are the other sides of
+    joins on a group: so both sides are plain shuffles, of which Spark splits the parts that a hot group fills."""
+    found = rows.groupBy(group).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.max(head).alias("head"))
+    return written(found.where("lo < hi").select(group, "size", "head"), "near-mixed")
+
+
+def linked_sets(documents: DataFrame, usable: DataFrame, reps: DataFrame, labels: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``labels`` joined by the links between different sets."""
+    # one row for each set, then lists of two members at least
+    one = usable.withColumnRenamed("digest", "_digest").join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("_digest") == F.col("digest")))
+    postings = written(one.select(F.explode("keys").alias("key"), "doc_id", "n", "copies"), "near-postings")
+    shared = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "near-shared")
+    lists = written(postings.join(shared, "key"), "near-lists")
+    if lists.isEmpty():
+        return labels
+    sides = usable.select("doc_id", "sketch")
+    sets = written(full_sets(documents, written(lists.select("doc_id").distinct(), "near-members"), shingle), "near-sets")
+
+    few = lists.where(f"pmod(key, {FEW}) = 0")
+    for part, head in ((few, F.struct("copies", -F.col("doc_id"), "doc_id", "label", "n")), (lists, F.struct(F.xxhash64("doc_id"), "doc_id", "label", "n"))):
+        now = labelled(part, labels)
+        pairs = now.join(mixed(now, "key", head), "key").where(F.col("label") != F.col("head.label")).where(sizes_fit("n", "head.n"))
+        pairs = pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        labels = merged(labels, linked(written(likely(pairs, sides), "near-likely"), sets, percent))
+
+    # lists that hold several labels still: all pairs of different ones
+    now = labelled(lists, labels)
+    left = written(now.join(mixed(now, "key", F.lit(0)).drop("head"), "key").select("key", "doc_id", "label", "n", "size"), "near-left")
+    if left.isEmpty():
+        return labels
+    few = left.where(f"size <= {SHORT}").groupBy("key").agg(F.collect_list(F.struct("doc_id", "label", "n")).alias("m"))
+    both = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.doc_id < y.doc_id and x.label <> y.label").where(sizes_fit("x.n", "y.n"))
+    maybe = likely(both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sides)
+    long = left.where(f"size > {SHORT}").select("key", "doc_id", "label")
+    if not long.isEmpty():
+        maybe = maybe.unionByName(block_links(in_blocks(long, "key", BLOCK).join(sides, "doc_id"), "sketch", sketch_links))
+    clusters = merged(labels, maybe).withColumnRenamed("node", "doc_id")
+    inside = written(labelled(clusters, labels), "near-inside")
+    inside = inside.join(mixed(inside, "component", F.lit(0)).select("component"), "component").select("component", "doc_id", "label")
+    dealt = in_blocks(inside, "component", BLOCK).join(sets, "doc_id")
+    return merged(labels, block_links(dealt, "values", set_links(percent)))
 
 
 def near_components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -413,44 +402,28 @@ def near_components(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         raise ValueError("percent must be 80 to 100")
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = written(describe(documents, shingle), "near-described")
-    usable = described.where("n > 0 and doc_id is not null").select("digest", "doc_id")
-    reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal"))
-    reps = written(reps.where("n_equal > 1"), "near-equal")
+    usable = described.where("n > 0 and doc_id is not null")
+    reps = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-reps")
     total = described.count()
-    same = join_groups(usable, reps, "digest", "n_equal", total).where("doc_id <> rep").select("doc_id", "rep").distinct()
+    several = reps.where("copies > 1")
+    same = join_groups(usable.select("digest", "doc_id"), several, "digest", "copies", total).where("doc_id <> rep").select("doc_id", "rep").distinct()
     # a doc_id with several texts stands for all of them
     same = written(same.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps")), "near-same")
-
-    def by_rep(df: DataFrame, column: str) -> DataFrame:
-        return df.join(same.select(F.col("doc_id").alias(column), "rep"), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
-
-    def distinct_pairs(df: DataFrame) -> DataFrame:
-        return by_rep(by_rep(df, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    sides = described.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
-    # a first round over a few lists puts most of a large group of copies into one cluster ...
-    few = described.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "doc_id", "n", F.col("doc_id").alias("label"))
-    local = described.select(F.explode("links").alias("a"), F.col("doc_id").alias("b"))
-    early = written(likely(distinct_pairs(candidates(few).unionByName(local)), sides), "near-early")
-    labels = written(connected_components(early), "near-labels")
-    # ... and the second, over all lists, looks for pairs of different clusters only
-    labelled = by_rep(described.select("doc_id", "n", "keys", F.col("doc_id").alias("own")), "own")
-    labelled = labelled.join(labels, labelled.own == labels.node, "left").withColumn("label", F.coalesce("component", "own"))
-    late = likely(distinct_pairs(candidates(labelled.select(F.explode("keys").alias("key"), "doc_id", "n", "label"))), sides)
-    exact = distinct_pairs(prefix_pairs(described, labels))
-    clusters = written(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late).unionByName(exact)), "near-clusters")
     tied = same.where("size(reps) > 1").select(F.explode("reps").alias("a"), F.col("rep").alias("b"))
-    links = written(connected_components(confirmed(documents, clusters, shingle, percent).unionByName(tied)), "near-links")
+    labels = merged(written(same.limit(0).select(F.col("doc_id").alias("node"), F.col("rep").alias("component")), "near-labels"), tied)
+    labels = linked_sets(documents, usable, reps, labels, shingle, percent)
+
     # copies get their representative's component; a representative of very many by a bounded broadcast
-    groups = reps.groupBy("rep").agg(F.sum("n_equal").alias("n_equal")).join(links, F.col("rep") == F.col("node"), "left")
-    groups = written(groups.select("rep", "n_equal", F.coalesce("component", "rep").alias("component")), "near-groups")
-    copies = join_groups(same.select("doc_id", "rep"), groups, "rep", "n_equal", total).select(F.col("doc_id").alias("node"), "component")
-    found = links.join(copies.select("node"), "node", "left_anti").unionByName(copies)
+    groups = several.groupBy("rep").agg(F.sum("copies").alias("copies")).join(labels, F.col("rep") == F.col("node"), "left")
+    groups = written(groups.select("rep", "copies", F.coalesce("component", "rep").alias("component")), "near-groups")
+    copies = join_groups(same.select("doc_id", "rep"), groups, "rep", "copies", total).select(F.col("doc_id").alias("node"), "component")
+    found = labels.join(copies.select("node"), "node", "left_anti").unionByName(copies)
     ids = described.select("doc_id", "n").join(found, F.col("doc_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return ids.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, one of each component, with their columns."""
-    gone = near_components(documents, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(written(gone, "near-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh_name(documents, "gone")
+    gone = near_components(documents, shingle, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(written(gone, "near-gone"), documents["doc_id"].cast("long") == F.col(name), "left_anti")

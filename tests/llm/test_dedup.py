@@ -74,7 +74,8 @@ def test_hot_digest(spark):
     assert got.where("group_size = 1000 and keep_id = 2997").count() == 1000 and got.where("kept").count() == 2001
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 100, 1000])
+def test_connected_components(spark, one_task):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
     parent = list(range(2000))
@@ -87,7 +88,7 @@ def test_connected_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), one_task=one_task).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
@@ -149,7 +150,7 @@ def test_near_components_of_a_large_group(spark, monkeypatch):
             w[rng.randrange(len(w))] = word()
         rows.append(" ".join(w))
     rows = list(enumerate(rows, 1))
-    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    monkeypatch.setattr(near_dedup, "BLOCK", 12)
     got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs(spark, rows), 2).collect()}
     assert got == {i: c for i, (_, c) in brute(rows, 2).items()}
 
@@ -187,18 +188,38 @@ def test_repeated_ids_with_other_texts(spark):
     assert sorted(got) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 4)]
 
 
-def test_block_links():
-    sets = [np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)]
-    assert near_dedup.block_links(np.array([1, 2, 3]), sets, 0, 80) == [(1, 2)]
-    assert near_dedup.block_links(np.array([1, 2, 3]), sets, 1, 80) == [(1, 2)]
-    assert near_dedup.block_links(np.array([1, 2, 3]), sets, 2, 80) == []
+def test_blocks_join_labels():
+    sets = [np.arange(10), np.arange(1, 11), np.arange(100, 110), np.arange(2, 11)]
+    ids, sizes, values = np.array([1, 2, 3, 4]), np.array([10, 10, 10, 9]), np.concatenate(sets)
+    good = lambda i, there, shared: 100 * shared >= 80 * (sizes[there] + sizes[i] - shared)
+    assert near_dedup.Block(ids, ids, sizes, values, 0).joined(good) == [(1, 2), (2, 4)]
+    assert near_dedup.Block(ids, np.array([1, 1, 3, 1]), sizes, values, 0).joined(good) == []
+    assert near_dedup.Block(ids, ids, sizes, values, 1).joined(good) == [(1, 2)]
+    assert near_dedup.Block(ids, ids, sizes, values, 3).joined(good) == [(2, 4)]
+
+
+@pytest.mark.parametrize("block", [3, 20, 400])
+def test_all_pairs_of_other_labels_meet_in_a_task(spark, block):
+    rng = random.Random(block)
+    rows = [(g, i, rng.choice([0, 0, 0, rng.randrange(1, 60)])) for g in range(3) for i in range((90, 41, 2)[g])]
+    dealt = near_dedup.in_blocks(spark.createDataFrame(rows, "key int, doc_id int, label int"), "key", block).collect()
+    met, tasks = set(), defaultdict(list)
+    for r in dealt:
+        tasks[r.task, r.low, r.high].append(r)
+    for (_, low, high), own in tasks.items():
+        assert len({r.key for r in own}) == 1
+        met |= {(x.key, x.doc_id, y.doc_id) for x in own for y in own if x.doc_id < y.doc_id and (low == high or x.block != y.block)}
+    assert {(g, i, j) for g, i, x in rows for h, j, y in rows if g == h and i < j and x != y} <= met
+    if block == 20:
+        assert max(map(len, tasks.values())) <= 3 * block
 
 
 def test_estimate():
     values, ends = near_dedup.shingle_sets(pa.array(["a b c d e", "a b c d f", ""]), 2)
     assert ends.tolist() == [4, 8, 8] and len(set(values.tolist())) == 5
     sketch = lambda v: (np.sort(v) >> np.uint64(32)).astype("<u4").tobytes()
-    assert near_dedup.estimate([sketch(values[:4])], [sketch(values[4:])])[0] == pytest.approx(3 / 5)
+    a, b = (near_dedup.padded(pa.array([sketch(v), b""], pa.binary())) for v in (values[:4], values[4:]))
+    assert near_dedup.estimate(*a, *b).tolist() == [pytest.approx(3 / 5), 0]
 
 
 def shingles(text, size=5):
