@@ -7,15 +7,20 @@
    their sketch and have runs of 4 (3 or 2 if very small), of which one is always shared: a fifth of the union at most
    lies between runs. Unrelated texts share a run with the fifth power of their similarity, so common words make no
    long lists. Of larger sets the 96 runs with the least keys are kept.
+   Linked texts share not one run but many: two sets of up to 160 values a tenth and more of their runs for certain,
+   larger ones 30 runs in the mean and fewer than 4 with a probability of about 1e-6. So each text leaves the longest of
+   its lists, one less than the runs it is to share: in the order of length, then key, the least list that two linked
+   texts share is kept by both. A common passage's lists thus vanish unless the passage is most of a text.
 3. Labels say which texts are in one component for certain; equal sets share one from the start. In two rounds each list
    that holds several labels compares its members with one of them, its head (first the one with most copies): as many
    pairs as members. The union of the two sketches rejects pairs clearly below the threshold, full sets confirm the
    others, and confirmed links join labels. A large group of near copies is then one label.
-4. What is left are lists that still hold several labels. All pairs of different labels are met there: those of a short
-   list one by one, a long one in blocks, in which the union sketches of all pairs are taken. Pairs that may be linked
-   give clusters, inside which full sets are compared, again between different labels and in blocks. Blocks of a list's
-   (cluster's) largest label meet those of other labels only. Nothing is left out; a task's memory is bounded by two
-   blocks, and only texts that are in nobody else's label cost the square of their number.
+4. Pairs that may be linked, confirmed or not, give clusters. In lists that still hold several clusters all pairs of
+   different ones are met: those of a short list one by one, a long one in blocks, in which the union sketches of all
+   pairs are taken; pairs that may be linked join clusters. So any two linked texts are in one cluster.
+5. Inside each cluster full sets are compared between different labels, in blocks. Blocks of a cluster's (list's) largest
+   label meet those of other labels only. Nothing is left out; a task's memory is bounded by two blocks, and only texts
+   that are in nobody else's label cost the square of their number.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_name, join_groups, mix64, split_words, text_slices, written
@@ -37,6 +42,8 @@ K, SKETCH = 192, 64
 KEYS, WHOLE = 96, 160
 #: Runs by set size: length, least and largest size. Links join sizes that differ by a fifth at most, so classes overlap.
 RUNS = ((5, 128, 1 << 62), (4, 4, WHOLE), (3, 3, 24), (2, 2, 8), (1, 1, 2))
+#: Runs that linked texts share at least, by length: multiple of a set's size, less a number (of large sets just a number).
+SHARED = {5: (0.0, -4), 4: (0.2, 3), 3: (0.4, 2), 2: (0.6, 1), 1: (0.0, -1)}
 #: The first round takes one key in so many.
 FEW = 8
 #: Lists up to this length pair all members one by one.
@@ -44,7 +51,7 @@ SHORT = 8
 #: Estimated similarity below which a pair isn't compared by full sets (links have 0.8).
 MAY_BE = 0.55
 #: Texts in one block of comparisons.
-BLOCK = 96
+BLOCK = 48
 #: Up to so many doc_ids (of 8 bytes) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -99,7 +106,7 @@ def run_keys(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
         with np.errstate(over="ignore"):
             for k in range(run):
                 key = mix64(key * np.uint64(5) + values[at + k])
-        keys.append(key)
+        keys.append(key & ~np.uint64(7) | np.uint64(run))  # the last three bits tell the length
         rows.append(doc[at])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -357,32 +364,35 @@ def linked_sets(documents: DataFrame, usable: DataFrame, reps: DataFrame, labels
     # one row for each set, then lists of two members at least
     one = usable.withColumnRenamed("digest", "_digest").join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("_digest") == F.col("digest")))
     postings = written(one.select(F.explode("keys").alias("key"), "doc_id", "n", "copies"), "near-postings")
-    shared = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "near-shared")
-    lists = written(postings.join(shared, "key"), "near-lists")
+    shared = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-shared")
+    longest = Window.partitionBy("doc_id", "run").orderBy(F.desc("size"), F.desc("key"))
+    lists = postings.join(shared, "key").withColumn("run", F.col("key").bitwiseAND(F.lit(7))).withColumn("rank", F.row_number().over(longest))
+    left_out = F.greatest(F.coalesce(*[F.when(F.col("run") == r, F.floor(F.col("n") * part) - less) for r, (part, less) in SHARED.items()]), F.lit(1)) - 1
+    lists = written(lists.where(F.col("rank") > left_out).select("key", "doc_id", "n", "copies"), "near-lists")
     if lists.isEmpty():
         return labels
     sides = usable.select("doc_id", "sketch")
     sets = written(full_sets(documents, written(lists.select("doc_id").distinct(), "near-members"), shingle), "near-sets")
 
-    few = lists.where(f"pmod(key, {FEW}) = 0")
+    few = lists.where(f"pmod(shiftright(key, 3), {FEW}) = 0")
+    clusters = labels
     for part, head in ((few, F.struct("copies", -F.col("doc_id"), "doc_id", "label", "n")), (lists, F.struct(F.xxhash64("doc_id"), "doc_id", "label", "n"))):
         now = labelled(part, labels)
         pairs = now.join(mixed(now, "key", head), "key").where(F.col("label") != F.col("head.label")).where(sizes_fit("n", "head.n"))
-        pairs = pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        labels = merged(labels, linked(written(likely(pairs, sides), "near-likely"), sets, percent))
+        maybe = written(likely(pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), sides), "near-likely")
+        labels = merged(labels, linked(maybe, sets, percent))
+        clusters = merged(clusters, maybe)
 
-    # lists that hold several labels still: all pairs of different ones
-    now = labelled(lists, labels)
+    # lists that hold several clusters still: all pairs of different ones
+    now = labelled(lists, clusters)
     left = written(now.join(mixed(now, "key", F.lit(0)).drop("head"), "key").select("key", "doc_id", "label", "n", "size"), "near-left")
-    if left.isEmpty():
-        return labels
     few = left.where(f"size <= {SHORT}").groupBy("key").agg(F.collect_list(F.struct("doc_id", "label", "n")).alias("m"))
     both = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.doc_id < y.doc_id and x.label <> y.label").where(sizes_fit("x.n", "y.n"))
     maybe = likely(both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sides)
     long = left.where(f"size > {SHORT}").select("key", "doc_id", "label")
     if not long.isEmpty():
         maybe = maybe.unionByName(block_links(in_blocks(long, "key", BLOCK).join(sides, "doc_id"), "sketch", sketch_links))
-    clusters = merged(labels, maybe).withColumnRenamed("node", "doc_id")
+    clusters = merged(clusters, maybe).withColumnRenamed("node", "doc_id")
     inside = written(labelled(clusters, labels), "near-inside")
     inside = inside.join(mixed(inside, "component", F.lit(0)).select("component"), "component").select("component", "doc_id", "label")
     dealt = in_blocks(inside, "component", BLOCK).join(sets, "doc_id")
