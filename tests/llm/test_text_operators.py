@@ -295,8 +295,10 @@ def test_edits_match_encoding_anew():
             new = rng.choice(["", " ", "\n", "z", " new words here", "'s", "  ", " "])
             want = tree.text[:a] + new + tree.text[b:]
             counter.edit(tree, a, b, new)
-            assert tree.text == want and tree.total == count([want])[0] and tree.prefix(len(tree.leaf_tokens)) == tree.total
-            assert sum(tree.leaf_chars) == len(want)
+            assert tree.text == want and tree.total == count([want])[0] and tree.prefix(tree.leaves) == tree.total
+            assert tree.chars[1] == len(want) == sum(tree.leaf_values(tree.chars))
+            leaf, begin = tree.find(len(want) // 2)
+            assert not want or begin <= len(want) // 2 < begin + tree.leaf_values(tree.chars)[leaf]
 
 
 def test_small_edits_touch_little():
@@ -319,6 +321,25 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(docs(spark, [])).count() == 0
 
 
+def test_kept_trees(spark, tmp_path):
+    """Two rounds of edits on the written table: equal to encoding anew, and only edited regions are encoded."""
+    count = token_counts.exact_counter(tokens.vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice(["alpha", "beta.", "gamma,", "\n\nx", "é"]) for _ in range(rng.randint(0, 3000))) for i in range(30)} | {99: None}
+    token_counts.make_trees(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).write.parquet(f"{tmp_path}/0")
+    for turn in (1, 2):
+        edits = [(i, k, a, a + rng.randint(0, 9), rng.choice(["", "new words", " ", "\n z"])) for i in rng.sample(sorted(texts), 9) for k in range(2) for a in [rng.randint(0, 5000)]]
+        for i, _, a, b, new in edits:
+            t = texts[i] or ""
+            texts[i] = t[:a] + new + t[b:]
+        table = spark.createDataFrame(edits, "doc_id bigint, seq int, start bigint, end bigint, text string")
+        token_counts.edit_trees(token_counts.with_edits(spark.read.parquet(f"{tmp_path}/{turn - 1}"), table)).write.parquet(f"{tmp_path}/{turn}")
+        got = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/{turn}").collect()}
+        assert {i: (r.text, r.tokens[1]) for i, r in got.items()} == {i: (t or "", count([t or ""])[0]) for i, t in texts.items()}
+        assert all(r.recoded_chars == 0 for i, r in got.items() if i not in {e[0] for e in edits})
+        assert max(r.recoded_chars for r in got.values()) < 2500
+
+
 # --- sharding ------------------------------------------------------------------------------------------------------
 
 
