@@ -61,6 +61,16 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, beside which helper columns have names of their own."""
+    return F.struct(*[df[c] for c in df.columns]).alias("row")
+
+
+def row_fields(df: DataFrame, **replaced: Column) -> list[Column]:
+    """The columns of ``df`` out of ``row``, some replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col("row").getField(c).alias(c) for c in df.columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,16 +79,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: A key with at least this share of all rows is hot; there are at most 1/share of them, so they are broadcast.
-HOT_SHARE = 0.002
+#: At most so many keys are hot, and a key of fewer rows than LEAST_HOT never is.
+MAX_HOT, LEAST_HOT = 200_000, 500
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """``rows`` joined with one row per key; keys of many rows (column ``size``) meet theirs by a bounded broadcast,
-    all others by a shuffle. ``total``: rows of both sides' keys in all. Give it ``groups`` that are cheap to read twice.
+    """``rows`` joined with one row per key; keys of many rows (column ``size``) meet theirs by a broadcast, all others by a
+    shuffle. ``total``: rows of all keys in all, or more. Give it ``groups`` that are cheap to read twice.
+
+    A key is hot from total / MAX_HOT rows on, so there are at most MAX_HOT hot keys whatever the input, and a task of
+    the shuffle gets no key with more rows than that (500,000 of 10^11).
     """
-    hot = groups.where(F.col(size) >= max(2.0, total * HOT_SHARE))
-    cold = groups.where(F.col(size) < max(2.0, total * HOT_SHARE))
+    least = max(LEAST_HOT, total / MAX_HOT)
+    hot = groups.where(F.col(size) >= least)
+    cold = groups.where(F.col(size) < least)
     few = rows.join(F.broadcast(hot), key)
     many = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return few.unionByName(many)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty, written
+from .common import WORD, as_row, row_fields, text_or_empty, written
 
 #: Weights by a source's place in code-point order, repeated; and for each the rate at t = 1 less that at t = 0
 #: as a part of the mean rate: heavy sources fade, light ones grow.
@@ -129,21 +129,17 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     """
     plan = mixing_plan(documents, keyed=True, **options).where("size(starts) > 0")
     same = Window.partitionBy("row_key")
-    plan = plan.withColumn("_n", F.row_number().over(same.orderBy("position"))).withColumn("_of", F.count(F.lit(1)).over(same))
-    plan = written(plan.select(F.col("row_key").alias("_row_key"), "_n", "_of", F.col("size").alias("_size"), F.col("starts").alias("_starts")), "mix-plan")
-    keyed = documents.withColumn("_key", row_key())
-    found = keyed.join(plan.where("_of = 1"), F.col("_key") == F.col("_row_key"))
-    repeated = plan.where("_of > 1")
+    plan = plan.withColumn("place", F.row_number().over(same.orderBy("position"))).withColumn("of", F.count(F.lit(1)).over(same))
+    plan = written(plan.select("row_key", "place", "of", "size", "starts"), "mix-plan")
+    keyed = documents.select(as_row(documents), row_key().alias("row_key"))
+    found = keyed.join(plan.where("of = 1").drop("place", "of"), "row_key")
+    repeated = plan.where("of > 1")
     if not repeated.isEmpty():
-        keys = repeated.select(F.col("_row_key").alias("_key")).distinct()
-        others = [c for c in documents.columns if c not in ("doc_id", "source", "text")]
-        order = Window.partitionBy("_key").orderBy(F.to_json(F.struct(*others)) if others else "_key")
-        several = keyed.join(keys, "_key", "left_semi").withColumn("_place", F.row_number().over(order))
-        several = several.join(repeated, (F.col("_key") == F.col("_row_key")) & (F.col("_place") == F.col("_n")))
-        found = found.unionByName(several.drop("_place"))
-    found = found.withColumn("_start", F.explode("_starts"))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_start.words").cast("int")), "")
-    text = F.when(F.col("_start.words") < F.col("_size"), cut).otherwise(F.col("text"))
-    ordered = found.withColumn("text", text).orderBy("_start.position", "doc_id", "_start.copy", "_key")
-    return ordered.select(*documents.columns)
+        several = keyed.join(repeated.select("row_key").distinct(), "row_key", "left_semi")
+        several = several.withColumn("place", F.row_number().over(Window.partitionBy("row_key").orderBy(F.to_json("row"))))
+        found = found.unionByName(several.join(repeated.drop("of"), ["row_key", "place"]).drop("place"))
+    found = found.withColumn("start", F.explode("starts"))
+    pieces = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("start.words").cast("int")), "")
+    text = F.when(F.col("start.words") < F.col("size"), cut).otherwise(F.col("row.text"))
+    return found.orderBy("start.position", "row.doc_id", "start.copy", "row_key").select(*row_fields(documents, text=text))

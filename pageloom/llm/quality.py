@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import split_words, text_slices
+from .common import fresh_name, split_words, text_slices, written
 
 #: At most about this many labelled documents are fitted (drawn by a hash of doc_id); the rest of the labels is unused.
 MAX_FIT = 30_000
@@ -150,18 +150,17 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_fit: int = MAX_
     ignored. The drawn labels are bounded by ``max_fit``, hence the broadcast.
     """
     usable = labels.where("doc_id is not null and quality is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")
-    usable = usable.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.avg("quality").alias("label"))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("_doc_id")).agg(F.avg("quality").alias("label"))
     count = usable.count()
     draw = F.pmod(F.xxhash64(F.col("_doc_id"), F.lit(SEED)), F.lit(1 << 20))
     usable = usable.where(draw < int((1 << 20) * min(1.0, max_fit / max(count, 1))))
     usable = usable.withColumn("fold", F.pmod(F.xxhash64(F.col("_doc_id"), F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
-    return documents.join(F.broadcast(usable), F.col("doc_id") == F.col("_doc_id")).select("doc_id", "text", "label", "fold")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(usable), F.col("doc_id") == F.col("_doc_id")).select("doc_id", "text", "label", "fold")
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, features: int = FEATURES) -> QualityModel:
     """Fits on labelled documents. Without any usable label every text scores 1 (nothing is known against it)."""
-    from .common import written
-
     stats_type = "label double, fold int, stats array<double>"
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,20 +208,20 @@ def fit(documents: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, feature
     return model
 
 
-def score(documents: DataFrame, model: QualityModel, keep_all: bool = False) -> DataFrame:
-    """``doc_id, score`` for every document (with ``keep_all``, all columns and ``score``, which replaces one of that name).
+def score(documents: DataFrame, model: QualityModel, keep_all: bool = False, name: str = "score") -> DataFrame:
+    """``doc_id, score`` for every document (with ``keep_all``, all columns and ``name``, which replaces one of that name).
 
     Null and empty texts are scored by their zero statistics. Whole texts are read; nothing is shuffled.
     """
-    kept = documents.drop("score") if keep_all else documents.select("doc_id", "text")
+    kept = documents.drop(name) if keep_all else documents.select("doc_id", "text")
     fields = kept.schema.fields if keep_all else kept.select("doc_id").schema.fields
-    schema = StructType([*fields, StructField("score", DoubleType())])
+    schema = StructType([*fields, StructField(name, DoubleType())])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in text_slices(batch):
                 got = rows if keep_all else rows.select(["doc_id"])
-                got = got.append_column("score", pa.array(model.score(statistics(text))))
+                got = got.append_column(name, pa.array(model.score(statistics(text))))
                 yield from got.combine_chunks().to_batches()
 
     return kept.mapInArrow(scores, schema)
@@ -241,6 +240,5 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches ``threshold``, with their columns."""
-    scored = score(documents.withColumnRenamed("score", "_own_score") if "score" in documents.columns else documents, fit(documents, labels), keep_all=True)
-    kept = scored.where(F.col("score") >= threshold).drop("score")
-    return (kept.withColumnRenamed("_own_score", "score") if "score" in documents.columns else kept).select(*documents.columns)
+    name = fresh_name(documents, "score")
+    return score(documents, fit(documents, labels), keep_all=True, name=name).where(F.col(name) >= threshold).select(*documents.columns)

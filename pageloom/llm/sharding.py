@@ -3,7 +3,7 @@
 Every shard has its own preference order over the slots of a table of prime size (an offset and a stride
 modulo the prime visit every slot). Shards take turns, each claiming its next free preferred slot, until the
 table is full; so shares differ by one slot at most, and a changed set of shards moves few slots. The table
-has a fixed size (default 65537 slots), is broadcast as one literal and read in constant time for a row.
+has a fixed size (default 65537 slots), is broadcast (a hash table of slots) and read in constant time for a row.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ def place(documents: DataFrame, shards: list[str], key: str = "doc_id", size: in
     hashed = F.col(key).cast("string")
     text = F.coalesce(F.col("text"), F.lit("")) if "text" in documents.columns else F.lit("")
     hashed = F.coalesce(hashed, F.concat(F.lit("null:"), F.xxhash64(text).cast("string")))
-    left = documents.drop("slot", "shard").withColumn("slot", slot_of(hashed, size))
+    others = [c for c in documents.columns if c.lower() not in ("slot", "shard")]
+    left = documents.select(*others, slot_of(hashed, size).alias("slot"))
     # size is fixed and independent of the documents, so the broadcast is bounded
-    return left.join(F.broadcast(table), "slot").select(*[c for c in documents.columns if c not in ("slot", "shard")], "slot", "shard")
+    return left.join(F.broadcast(table), "slot").select(*others, "slot", "shard")

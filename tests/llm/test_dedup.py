@@ -255,3 +255,19 @@ def test_fingerprints(spark):
     assert fingerprints.edited_report(docs(spark, [])).count() == 0
     one = fingerprints.edited_report(docs(spark, [(1, "abcdef")])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one.near_next == 1.0
+
+
+def test_a_batch_may_be_run_again(spark, tmp_path):
+    """A run that died before its result was stored is repeated under its batch's name."""
+    path, rows = f"file://{tmp_path}/index", docs(spark, [(i, f"text {i // 2}") for i in range(100)])
+    tables = len(spark.catalog.listTables())
+    first = sorted(exact_dedup.exact_dedup(rows, path, "monday").collect(), key=lambda r: r.doc_id)
+    assert sorted(exact_dedup.exact_dedup(rows, path, "monday").collect(), key=lambda r: r.doc_id) == first and sum(r.kept for r in first) == 50
+    assert exact_dedup.exact_dedup(rows, path, "tuesday").where("kept").count() == 0
+    more = rows.unionByName(docs(spark, [(200, "text 1")]))
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(more, path, "monday")
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.rows().count() == 50 and index.rows().where("batch = 'monday'").count() == 50
+    index.close()
+    assert len(spark.catalog.listTables()) == tables
