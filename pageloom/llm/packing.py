@@ -1,8 +1,9 @@
 """Packing: order-preserving dynamic programming over cut places.
 
-Documents stand in doc_id order, or another that is given, as one stream of ids. A sequence is a window of at most ``width`` ids between two cut
-places. The cheapest division minimises padding plus penalties of the cuts: none at a document's end, little at a
-sentence's, more inside one. With g(i) = cost(i) + place(i), the best start of a window that ends at j is the least g
+Documents stand in doc_id order, or another that is given, as one stream of ids. A sequence is a window of at most
+``width`` ids between two cut places: ends of documents and of sentences, and places inside only of sentences so long
+that a window without them would be padded much. The cheapest division minimises padding plus penalties of the cuts:
+none at a document's end, little at a sentence's, more inside one. With g(i) = cost(i) + place(i), the best start of a window that ends at j is the least g
 over the places that the window reaches, so a monotone queue makes each transition constant-time.
 """
 
@@ -25,9 +26,10 @@ from .tokens import piece_encoder, vocabulary
 WIDTH = 2048
 #: Cost of a cut, in ids of padding.
 AT_SENTENCE, INSIDE = 1.0, 6.0
-#: Without a better place for so many ids, a cut inside a sentence is offered.
-STRIDE = 32
-#: A stretch of the stream that is divided at once; its last sequence is left open for what follows.
+#: Sentences of more than so many ids may be cut inside, at each STRIDE ids: no end lies in reach there.
+REACH, STRIDE = 64, 32
+#: A stretch of the stream that is divided at once: whole documents up to the first with which it has so many ids. Its
+#: last sequence is left open for what follows. So the division depends on a partition's documents alone.
 SPAN = 400_000
 #: UTF-8 bytes of text a partition has at least; each partition pads one sequence at its end.
 PARTITION_BYTES = 2 << 20
@@ -72,11 +74,11 @@ def is_among(places: np.ndarray, those: np.ndarray) -> np.ndarray:
     return np.append(those, -1)[at] == places
 
 
-def cut_places(sentence_ends: np.ndarray, document_ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(sentence_ends: np.ndarray, document_ends: np.ndarray, stride: int = STRIDE, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """All cut places of a stream and their penalties; the stream ends with the last document."""
     places = merged(sentence_ends[sentence_ends > 0], document_ends)
     gaps = np.diff(places, prepend=0)
-    wide = np.flatnonzero(gaps > stride)
+    wide = np.flatnonzero(gaps > reach)
     if len(wide):
         begin = places[wide] - gaps[wide]
         k = (gaps[wide] - 1) // stride
@@ -192,9 +194,16 @@ def pack(documents: DataFrame, width: int = WIDTH, tokenizer: str | None = None,
         for batch in batches:
             for table, text in text_slices(batch):
                 part = table["part"][0].as_py()
-                stream.add(*stream_ids(encoder.pieces(text), end_id), table["doc_id"].to_pylist())
-                if stream.n >= SPAN:
-                    yield rows(False)
+                ids, sentences, ends = stream_ids(encoder.pieces(text), end_id)
+                doc_ids, at = table["doc_id"].to_pylist(), 0
+                while at < len(ends):
+                    base = int(ends[at - 1]) if at else 0
+                    upto = min(len(ends), int(np.searchsorted(ends, base + SPAN - stream.n, side="left")) + 1)
+                    last = int(ends[upto - 1])
+                    stream.add(ids[base:last], sentences[(sentences > base) & (sentences < last)] - base, ends[at:upto] - base, doc_ids[at:upto])
+                    at = upto
+                    if stream.n >= SPAN:
+                        yield rows(False)
         yield rows(True)
 
     pieces = written(ranged.mapInArrow(packed, "part int, " + ", ".join(f"{n} bigint" for n in names[1:])), "packed")
