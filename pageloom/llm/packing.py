@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -35,8 +36,11 @@ SPAN = 400_000
 PARTITION_BYTES = 2 << 20
 
 
-def best_cuts(places: np.ndarray, penalties: np.ndarray, width: int = WIDTH) -> tuple[list[int], float]:
-    """Ends of windows that divide 0..places[-1], and the cost. ``places`` ascend strictly, start above 0, and steps are at most ``width``."""
+def best_cuts(places: np.ndarray, penalties: np.ndarray, width: int = WIDTH, more: bool = False) -> tuple[list[int], float]:
+    """Ends of windows that divide 0..places[-1], and the cost. ``places`` ascend strictly, start above 0, and steps are at most ``width``.
+
+    With ``more`` to follow, the last window stays open and costs nothing: the cheapest end within ``width`` of the last place.
+    """
     at, cost_of = [0, *places.tolist()], [0.0, *penalties.tolist()]
     n = len(at)
     came, g = [0] * n, [0.0] * n
@@ -55,7 +59,11 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, width: int = WIDTH) ->
         while queue and g[queue[-1]] > v:
             queue.pop()
         queue.append(j)
-    cuts, j = [], n - 1
+    j = n - 1
+    if more:
+        j = min((k for k in range(bisect_left(at, at[-1] - width), n)), key=lambda k: g[k] - at[k])
+        cost = g[j] - at[j]
+    cuts = []
     while j:
         cuts.append(at[j])
         j = came[j]
@@ -113,9 +121,7 @@ class _Stream:
         ids, sentences, documents = np.concatenate(self.ids), np.concatenate(self.sentences), np.concatenate(self.documents)
         if not len(ids):
             return []
-        cuts, _ = best_cuts(*cut_places(sentences, documents), self.width)
-        if not last:
-            cuts = cuts[:-1]
+        cuts, _ = best_cuts(*cut_places(sentences, documents), self.width, not last)
         ends = np.array([*cuts], np.int64)
         done = int(ends[-1]) if len(ends) else 0
         out = []

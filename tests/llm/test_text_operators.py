@@ -392,6 +392,10 @@ def test_best_cuts_are_best():
         cuts, cost = packing.best_cuts(places, penalties, 20)
         assert cost == pytest.approx(slow_cuts(places.tolist(), penalties, 20)) and cuts[-1] == places[-1]
         assert all(0 < b - a <= 20 for a, b in zip([0, *cuts], cuts, strict=False))
+        cuts, cost = packing.best_cuts(places, penalties, 20, more=True)
+        ends = [0, *places.tolist()]
+        slow = {e: slow_cuts(places[:k].tolist(), penalties[:k], 20) if k else 0.0 for k, e in enumerate(ends) if e >= ends[-1] - 20}
+        assert cost == pytest.approx(min(slow.values())) == pytest.approx(slow[cuts[-1] if cuts else 0])
 
 
 def test_cut_places():
