@@ -71,7 +71,7 @@ def infer_encoding(token: str) -> int:
 def randomness_tests(token: str) -> tuple[float, float, float]:
     """p-values of chi-squared uniformity, runs and serial correlation if the token were random (small: it is not)."""
     alphabet = _SETS[infer_encoding(token)][1]
-    place = {c: i for i, c in enumerate(alphabet)}
+    place = {c: i for i, c in enumerate(alphabet)} | ({"-": 62, "_": 63} if len(alphabet) > 64 else {})  # either spelling of base64
     x = np.array([place[c] for c in token.rstrip("=")], float)
     n, k = len(x), min(len(alphabet), 64)
     counts = np.bincount(x.astype(int), minlength=k)
@@ -96,6 +96,8 @@ def randomness_tests(token: str) -> tuple[float, float, float]:
 _PROSE = np.maximum(0.01, np.array([82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]) / 1000)
 ORDINARY = _PROSE / _PROSE.sum()
 CLASS_CHANGE, VOWEL_CHANGE = 0.15, 0.6
+#: Numbers written as text (counters, dates, amounts) repeat digits or step by one with this probability a digit.
+SMOOTH_DIGITS = 0.64
 
 
 def _at_least(k: int, n: int, p: float) -> float:
@@ -109,8 +111,12 @@ def ordinary_tests(token: str) -> list[float]:
     Chi-squared: letters against ``ORDINARY``, by a scaled chi-squared of the statistic's own mean and variance. Runs:
     changes of class (lower, upper, digit) beyond those of words; signs that join words are passed, and a word's
     capital belongs to it. Serial correlation: of neighbouring letters few pairs are a vowel and a consonant. Both are
-    binomial under the null. A test that has nothing to look at is left out.
+    binomial under the null. A test that has nothing to look at is left out. Of digits alone only serial correlation
+    tells anything: how many differ by more than one from the digit before.
     """
+    if token.isdigit():
+        digits = np.array([ord(c) - 48 for c in token])
+        return [max(_at_least(int((np.abs(np.diff(digits)) > 1).sum()), len(digits) - 1, 1 - SMOOTH_DIGITS), 1e-300)]
     body = re.sub(r"[+/_=-]", "", token)
     out = []
     letters = np.array([ord(c) - 97 for c in body.lower() if c.isalpha()], int)
@@ -132,12 +138,9 @@ def ordinary_tests(token: str) -> list[float]:
 
 
 def surprise(token: str) -> float:
-    """-log10 of the combined p-value of ``ordinary_tests`` (Fisher); 0 if a test against "random" rejects the token.
-
-    Digits alone are no candidates: nothing tells a random number from another.
-    """
+    """-log10 of the combined p-value of ``ordinary_tests`` (Fisher); 0 if a test against "random" rejects the token."""
     body = token.rstrip("=")
-    if infer_encoding(body) == 0 or min(randomness_tests(body)) < 1e-3:
+    if min(randomness_tests(body)) < 1e-3:
         return 0.0
     tests = ordinary_tests(body)
     half = -sum(map(log, tests))  # half of Fisher's statistic, a chi-squared of twice as many degrees as tests

@@ -272,6 +272,48 @@ def test_recall_by_encoding_and_length(kind, length, least):
     assert np.mean([secrets.surprise(k) >= 4 for k in keys]) >= least
 
 
+@pytest.mark.parametrize(("kind", "length", "least"), [("base62", 40, 0.9), ("base64", 40, 0.9), ("base32", 48, 0.8), ("HEX", 60, 0.95), ("digits", 40, 0.8), ("letters", 44, 0.85)])
+def test_recall_of_keys_of_thirty_bytes(kind, length, least):
+    rng = random.Random(f"{kind}{length}")
+    keys = ["".join(rng.choice(ALPHABETS.get(kind, "0123456789")) for _ in range(length)) for _ in range(300)]
+    assert np.mean([secrets.surprise(k) >= 4 for k in keys]) >= least
+
+
+def test_identifiers_are_not_discovered(spark):
+    """At most one in a hundred of what is found among ordinary identifiers and keys is an identifier."""
+    words = "get user account by name value reader message house number station general config internal holds every order parse table index result".split()
+    rng = random.Random(13)
+    plain = [rng.choice(["".join(w.title() for w in x), "_".join(x), "-".join(x), "".join(x[:1] + [w.title() for w in x[1:]])]) + rng.choice(["", "2", "17", "V3"]) for x in (rng.sample(words, 5) for _ in range(10_000))]
+    plain += [f"getUserAccount2ById4AndName7v{i}" for i in range(50)]
+    keys = ["".join(rng.choice(ALPHABETS["base62"]) for _ in range(40)) for _ in range(200)]
+    rows = [(i, f"see {t} here", "s") for i, t in enumerate(plain + keys)]
+    found = {r.doc_id for r in secrets.secret_report(docs(spark, rows)).where("spans <> ''").select("doc_id").collect()}
+    assert sum(i < len(plain) for i in found) <= 0.01 * len(found) + 1 and sum(i >= len(plain) for i in found) >= 180
+
+
+def test_discoveries_match_a_plain_version(spark):
+    """Candidates one by one, Benjamini-Hochberg over sorted p-values within a length class."""
+    rng = random.Random(21)
+    some = ["".join(rng.choice(ALPHABETS["base62"]) for _ in range(rng.randint(20, 70))) for _ in range(40)] + ["_".join(rng.sample("alpha beta gamma delta epsilon zeta".split(), 5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.sample(some, 3)) + rng.choice(["", " token=abcdefghijklmnop", " é" * 9]), "s") for i in range(150)]
+    classes = defaultdict(list)
+    for i, text, _ in rows:
+        base = secrets.base_spans(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+            if all(e <= m.start() or m.end() <= s for s, e, _ in base):
+                grid = min(secrets.BINS - 1, int(secrets.surprise(m[0]) / secrets.BIN)) * secrets.BIN
+                classes[sum(len(m[0]) >= c for c in (20, 24, 32, 48, 64))].append((10**-grid, i, m.start(), m.end()))
+    want = {i: [(s, e, k) for s, e, k in secrets.base_spans(t)] for i, t, _ in rows}
+    for own in classes.values():
+        own.sort()
+        last = max((k for k, (p, *_) in enumerate(own, 1) if p <= 0.01 * k / len(own) and p < 1), default=0)
+        for _, i, s, e in own[:last]:
+            want[i].append((s, e, "random"))
+    assert sum(map(len, want.values())) > 100
+    got = {r.doc_id: r.spans for r in secrets.secret_report(docs(spark, rows)).collect()}
+    assert got == {i: ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(x)) for i, x in want.items()}
+
+
 def test_ordinary_tokens_have_ordinary_p_values():
     words = "internal station configuration value of the reader and message holds every number before house under general".split()
     rng = random.Random(12)
