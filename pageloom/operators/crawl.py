@@ -33,15 +33,15 @@ def frontier(edges: DataFrame, seed: str, max_depth: int, max_pages: int | None
         met = met.groupBy("dst").agg(F.min(F.struct("parent_seq", "link_seq", "src")).alias("first"))
         new = met.join(found.withColumnRenamed("url", "dst"), "dst", "left_anti")
         new = new.select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.col("first.src").alias("parent_url"), "first")
-        if max_pages is None:
-            # without a budget order decides nothing but the parent
-            ranked = new.withColumn("seq", F.lit(0).cast("bigint")).withColumn("visited", F.lit(True))
+        # the level's order decides who is the parent of what follows; without a budget it is taken by sorted ranges
+        left = max(0, max_pages - used) if max_pages is not None else None
+        if left is None:
+            chosen = numbered_in_order(new.select("url", "first"), ["first", "url"], used)
         else:
-            left = max(0, max_pages - used)
             chosen = new.orderBy("first", "url").limit(left) if left else new.limit(0)
             place = F.row_number().over(Window.orderBy("first", "url")) - 1 + used  # at most max_pages rows
-            chosen = chosen.select("url", place.cast("bigint").alias("seq"))
-            ranked = new.join(F.broadcast(chosen), "url", "left").withColumn("visited", F.col("seq").isNotNull())
+            chosen = F.broadcast(chosen.select("url", place.cast("bigint").alias("seq")))
+        ranked = new.join(chosen, "url", "left").withColumn("visited", F.col("seq").isNotNull())
         level = ranked.select("url", "depth", "parent_url", "seq", "visited")
         level = written(level, "level")
         taken = level.where("visited").count()
@@ -56,6 +56,15 @@ def frontier(edges: DataFrame, seed: str, max_depth: int, max_pages: int | None
     return out
 
 
+def numbered_in_order(rows: DataFrame, order: list[str], start: int) -> DataFrame:
+    """``url, seq``: places from ``start`` on in an order, by ranges: places inside a range, after the rows of those before."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_part").select("url", (F.col("_before") + inside - 1 + start).cast("bigint").alias("seq"))
+
+
 def crawl(links: DataFrame, options: Options) -> DataFrame:
     """The frontier of captured links (``url, link_seq, normalized``) under a run's options."""
     seed = Url(options.url).normalized()

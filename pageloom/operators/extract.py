@@ -225,8 +225,9 @@ def import_closure(roots: DataFrame, responses: DataFrame, max_assets: int = 500
     refs = refs.withColumn("at", F.when(F.col("kind") == "import", F.col("ref_seq")).otherwise(F.col("ref_seq") + (1 << 20)))
     level = roots.select("page_id", F.col("asset_url").alias("url"), F.lit(0).alias("css_depth"), F.array(F.col("asset_seq").cast("long")).alias("order"))
     found = None
-    # assets of a sheet may be sheets again at the same depth, so a level is a step of discovery; each url is met once a page
-    for _ in range(2 * max_depth + 2):
+    # assets of a sheet may be sheets again at the same depth, so a level is a step of discovery; each url is met once a
+    # page, and a page that has max_assets goes no further: at most max_assets steps
+    while True:
         first = Window.partitionBy("page_id", "url").orderBy("order")
         level = level.join(known.select("url"), "url", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
         if found is not None:
@@ -235,7 +236,8 @@ def import_closure(roots: DataFrame, responses: DataFrame, max_assets: int = 500
         if level.isEmpty():
             break
         found = level if found is None else found.unionByName(level)
-        step = level.where(F.col("css_depth") <= max_depth).join(refs.withColumnRenamed("url", "to"), level.url == F.col("sheet_url"))
+        full = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_assets)
+        step = level.join(full, "page_id", "left_anti").where(F.col("css_depth") <= max_depth).join(refs.withColumnRenamed("url", "to"), level.url == F.col("sheet_url"))
         level = step.select("page_id", F.col("to").alias("url"), (F.col("css_depth") + (F.col("kind") == "import").cast("int")).alias("css_depth"), F.concat("order", F.array(F.col("at").cast("long"))).alias("order"))
     if found is None:
         found = level.limit(0)

@@ -52,12 +52,17 @@ def resource_map(page_map: DataFrame, asset_map: DataFrame) -> DataFrame:
     return both.groupBy("norm_url").agg(F.min_by(F.struct("path", "kind"), F.when(F.col("kind") == "asset", 0).otherwise(1)).alias("m")).select("norm_url", "m.path", "m.kind")
 
 
+def no_name() -> Column:
+    """A join key that no file name equals, another for each ``norm_url``, so that rows without a name are spread."""
+    return F.concat(F.lit("/"), F.xxhash64("norm_url").cast("string"))
+
+
 def resolve_local(refs: DataFrame, resources: DataFrame, basenames: DataFrame | None = None) -> DataFrame:
     """J3, J4, MAP3: ``refs`` (with ``norm_url``) and their ``local_path``: by address, else by the name of its file; null if neither."""
     found = refs.join(resources.select("norm_url", F.col("path").alias("_direct")), "norm_url", "left")
     if basenames is None:
         return found.withColumnRenamed("_direct", "local_path")
-    named = F.when(F.col("_direct").isNull(), F.nullif(basename(url_parts(F.col("norm_url")).path), F.lit("")))
+    named = F.coalesce(F.when(F.col("_direct").isNull(), F.nullif(basename(url_parts(F.col("norm_url")).path), F.lit(""))), no_name())
     found = found.withColumn("_name", named).join(basenames.select(F.col("basename").alias("_name"), F.col("path").alias("_named")), "_name", "left")
     return found.withColumn("local_path", F.coalesce("_direct", "_named")).drop("_direct", "_name", "_named")
 

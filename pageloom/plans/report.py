@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import css_tokens as T
 from ..functions.urls import Url
 from ..operators import tokens as K
+from ..sources.scratch import written
 
 #: Labels of the radius scale, roles in front matter and in the list, limits of both scales.
 ROUNDED_LABELS = ("none", "xs", "sm", "md", "lg", "xl", "2xl", "3xl")
@@ -90,7 +91,9 @@ def heading_report(headings: DataFrame) -> DataFrame:
 
 def build_report(source_url: str, css_rows: DataFrame, html_stats: DataFrame, snapshots: DataFrame | None = None, generated_at: str = "", strict: bool = False) -> dict:
     """REP1: the whole report. Its rows - distinct tokens of one site - are collected; all counting is done before."""
-    ranked = K.ranked(K.count_tokens(K.tokens_of_run(css_rows, snapshots, strict)))
+    # both are read several times below: written, so that pages and sheets are parsed once
+    css_rows = written(css_rows, "css-rows")
+    ranked = written(K.ranked(K.count_tokens(K.tokens_of_run(css_rows, snapshots, strict))), "ranked")
     items: dict[str, list[dict]] = {c: [] for c in K.CATEGORIES}
     for r in ranked.orderBy("category", "rank").toLocalIterator():
         items[r.category].append({"value": r.value, "count": r.n})
@@ -141,6 +144,11 @@ def _value(items: Iterable[dict], pattern: str = "") -> str | None:
     return next((i["value"] for i in items if re.fullmatch(pattern or ".*", i["value"], re.S)), None)
 
 
+def _size_between(items: Iterable[dict], least: int, most: int) -> str | None:
+    """The first size in whole pixels within bounds."""
+    return next((i["value"] for i in items if re.fullmatch(r"\d+px", i["value"]) and least <= int(i["value"][:-2]) <= most), None)
+
+
 def typography(report: dict) -> dict[str, dict]:
     """REP3: tokens by name; one is left out if all its fields are."""
     families = report["fonts"]["brand"] or report["fonts"]["all"]
@@ -157,11 +165,11 @@ def typography(report: dict) -> dict[str, dict]:
     sizes, weights = report["font_size"], report["font_weight"]
     body = {
         "family": brand,
-        "size": _dimension(_value(sizes, "1[4-8]px")) or _dimension(_value(sizes)),
+        "size": _dimension(_size_between(sizes, 14, 18)) or _dimension(_value(sizes)),
         "weight": _weight(_value(weights, "400|normal")) or _weight(_value(weights)),
         "height": _height(_value(report["line_height"])),
     }
-    caption = body | {"size": _dimension(_value(sizes, "1[1-3]px"))}
+    caption = body | {"size": _dimension(_size_between(sizes, 11, 13))}
     out = {}
     for name, token, fallback in (("headline-display", of_heading("h1"), brand), ("headline-md", of_heading("h2"), brand), ("body-md", body, None), ("body-sm", caption, None)):
         if any(token.values()):

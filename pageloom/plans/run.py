@@ -79,7 +79,9 @@ def process(pages: DataFrame, options: Options, responses: DataFrame | None = No
     common = resources.resource_map(mapped, earliest).select(F.lit(None).cast("bigint").alias("page_id"), "norm_url", "path")
     known = own.unionByName(common)
 
-    made = rewrite.rewrite_pages(kept, known, responses, resources.basename_mappings(assets), options.single_file, options.strip_consent)
+    # an address's last response in the order of the crawl holds
+    ordered = found.select("url", "content_type", "body", (F.col("page_seq") * (1 << 20) + F.col("seq")).alias("seq"))
+    made = rewrite.rewrite_pages(kept, known, ordered, resources.basename_mappings(assets), options.single_file, options.strip_consent)
     made = written(made.join(kept.select("page_id", "depth", "status", "content_type"), "page_id"), "rewritten")
     css = assets.where("kind = 'css'").select("page_id", "seq", "url", "path", F.col("body").cast("string").alias("css"))
     sheets = rewrite.rewrite_sheets(css.dropDuplicates(["path"]), common) if not options.single_file else css.select("url", "path", "css")

@@ -36,7 +36,11 @@ def manifest(spark: SparkSession, run_dir: str) -> dict[str, DataFrame]:
 def stored_files(spark: SparkSession, run_dir: str) -> DataFrame:
     """SRC9: ``path`` (below the run), ``body`` and ``size`` of all stored files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(run_dir)
-    return files.select(F.regexp_extract("path", f"{run_dir.rstrip('/').rsplit('/', 1)[-1]}/(.*)$", 1).alias("path"), F.col("content").alias("body"), F.col("length").alias("size"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(run_dir)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at)
+    # paths are addresses with their file system; the root as a path is spelled either way
+    below = [F.when(F.startswith("path", F.lit(f"{x.rstrip('/')}/")), F.substring("path", len(x.rstrip("/")) + 2, 1 << 20)) for x in (root.toString(), root.toUri().toString())]
+    return files.select(F.coalesce(*below).alias("path"), F.col("content").alias("body"), F.col("length").alias("size"))
 
 
 def latest_run(spark: SparkSession, folder: str) -> str | None:

@@ -47,10 +47,9 @@ def grow_frontier(links: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.select("normalized").distinct()
-        try:
-            known = spark.read.parquet(path)
-        except Exception:  # the table isn't there yet
-            known = new.limit(0)
-        new.join(known, "normalized", "left_anti").write.mode("append").parquet(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):  # else the table isn't there yet
+            new = new.join(spark.read.schema("normalized string").parquet(path), "normalized", "left_anti")
+        new.write.mode("append").parquet(path)
 
     return links.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

@@ -296,3 +296,65 @@ def test_queries_agree_with_sql(spark):
 
     for name in ("url_normalize", "extract_links", "link_host_summary", "page_paths", "color_tokens_synthetic", "design_pick_colors", "crawl_bfs_limited", "rewrite_links_local", "manifest_lookup"):
         assert norm(queries.QUERIES[name](spark, d).toPandas()) == norm(con.execute(queries.ORACLE_SQL[name]).df()), name
+
+
+def closure_of(spark, sheets, roots, **options):
+    responses = spark.createDataFrame([(u, "text/css" if u.endswith(".css") else "image/png", bytearray(c.encode())) for u, c in sheets.items()], "url string, content_type string, body binary")
+    first = spark.createDataFrame([(1, k, u) for k, u in enumerate(roots)], "page_id bigint, asset_seq int, asset_url string")
+    return [(r.url.rsplit("/", 1)[-1], r.css_depth) for r in extract.import_closure(first, responses, **options).orderBy("seq").collect()]
+
+
+def test_import_closure_has_no_bound_on_steps(spark):
+    at = "https://a.test/"
+    chain = {f"{at}{i}.css": f"a{{background:url({i + 1}.css)}}" for i in range(19)} | {f"{at}19.css": ""}
+    assert closure_of(spark, chain, [f"{at}0.css"]) == [(f"{i}.css", 0) for i in range(20)]
+
+
+def test_import_closure_of_cycles_depths_and_limits(spark):
+    at = "https://a.test/"
+    cycle = {f"{at}a.css": "@import 'b.css';", f"{at}b.css": "@import 'a.css'; x{background:url(p.png)}", f"{at}p.png": ""}
+    assert closure_of(spark, cycle, [f"{at}a.css"]) == [("a.css", 0), ("b.css", 1), ("p.png", 1)]
+    deep = {f"{at}{i}.css": f"@import '{i + 1}.css';" for i in range(9)}
+    assert closure_of(spark, deep, [f"{at}0.css"], max_depth=5) == [(f"{i}.css", i) for i in range(7)]
+    wide = {f"{at}r.css": "".join(f"x{{background:url({i}.png)}}" for i in range(30))} | {f"{at}{i}.png": "" for i in range(30)}
+    assert [u for u, _ in closure_of(spark, wide, [f"{at}r.css"], max_assets=12)] == ["r.css", *(f"{i}.png" for i in range(11))]
+
+
+def test_parents_are_the_first_met(spark):
+    """z stands before a in the queue, so what both link to has z as its parent, with a budget or without."""
+    edges = spark.createDataFrame([("s", 0, "z"), ("s", 1, "a"), ("z", 5, "q"), ("a", 0, "q"), ("a", 1, "b")], "src string, link_seq int, dst string")
+    for budget in (None, 10):
+        got = {r.url: (r.parent_url, r.seq) for r in crawl.frontier(edges, "s", 3, budget).collect()}
+        assert got == {"s": (None, 0), "z": ("s", 1), "a": ("s", 2), "q": ("z", 3), "b": ("a", 4)}
+
+
+def test_the_last_body_is_inlined(spark):
+    pages = spark.createDataFrame([(1, "https://a.test/", "index.html", '<img src="/x.png">')], "page_id bigint, url string, path string, html string")
+    none = spark.createDataFrame([], "norm_url string, path string")
+    bodies = [("https://a.test/x.png", "image/png", bytearray(bytes([k])), k) for k in (3, 9, 5)]
+    for rows in (bodies, bodies[::-1]):
+        found = rewrite.rewrite_pages(pages, none, spark.createDataFrame(rows, "url string, content_type string, body binary, seq int"), single_file=True).first()
+        assert "data:image/png;base64,CQ==" in found.html
+
+
+def test_stored_files_of_a_folder_with_signs(spark, tmp_path):
+    root = tmp_path / "site+(1)"
+    (root / "pages").mkdir(parents=True)
+    (root / "pages" / "index.html").write_text("x")
+    (root / "a b.css").write_text("yy")
+    for path in (str(root), f"file://{root}", f"{root}/"):
+        assert {(r.path, r.size) for r in tables.stored_files(spark, path).collect()} == {("pages/index.html", 1), ("a b.css", 2)}
+
+
+def test_frontier_stream_fails_on_a_broken_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    links = spark.createDataFrame([("a",), ("b",), ("a",)], "normalized string")
+    links.write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda n: streams.grow_frontier(spark.readStream.schema("normalized string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c{n}").trigger(availableNow=True).start().awaitTermination()
+    run(1)
+    run(2)  # all again: nothing is new
+    assert sorted(r.normalized for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
+    for f in (tmp_path / "out").glob("part-*"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception, match="(?i)stream|parquet|fail"):
+        run(3)
