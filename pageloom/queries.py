@@ -544,7 +544,12 @@ def rewrite_links_local(spark, d):
     return found.withColumn("link_seq", F.col("link_seq").cast("long"))
 
 
-# --- rows only: documents beyond SQL ---------------------------------------------------------------------------------
+# --- pages with made markup ------------------------------------------------------------------------------------------
+
+_STYLE = 'h2{font:bold 20px/1.2 "Open Sans",serif;color:#ABC} @media (max-width: 40em){h1,h2>a{font-size:1.5rem}}'
+_SITE = f"{_parts('url')['scheme']} || '://' || {_parts('url')['host']}"
+#: Pages that ``decorated`` changes.
+_DECORATED = "decorated AS (SELECT * FROM pages WHERE contains(html, '</body>'))"
 
 
 @query()
@@ -557,7 +562,7 @@ def decorated(spark, d) -> DataFrame:
     """Pages with markup that the tables lack: a banner, images, sheets, styles."""
     extra = (
         '<link rel="stylesheet" href="/css/site.css?v=2"><div class="cookie-banner">accept</div><img data-src="/img/a.png" src="#"><img srcset="b.png 1x, c.png 2x">'
-        '<div data-bg="/img/bg.webp" style="color:red"></div><style>h2{font:bold 20px/1.2 "Open Sans",serif;color:#ABC} @media (max-width: 40em){h1,h2>a{font-size:1.5rem}}</style></body>'
+        '<div data-bg="/img/bg.webp" style="color:red"></div><style>' + _STYLE + "</style></body>"
     )
     return pages_of(spark, d).withColumn("html", F.replace("html", F.lit("</body>"), F.lit(extra)))
 
@@ -568,19 +573,30 @@ def strip_consent(spark, d):
     return rewrite.rewrite_pages(p, page_resources(spark, d).select("norm_url", "path")).select("page_id", "html")
 
 
-@query()
+@query(
+    f"""WITH {_DECORATED}, n AS (SELECT page_id, 'inline-1-' || left(sha1('{_STYLE}'), 12) || '.css' AS name, left(sha1({_normal('url')}), 12) AS page, {_page_path('url')} AS path FROM decorated)
+SELECT page_id, 'https://inline.scrape.local/' || page || '/' || name AS source_url, regexp_replace(path, '/[^/]*$', '') || '/assets/css/inline/' || name AS path,
+       '{_STYLE}' AS content, CAST(strlen('{_STYLE}') AS BIGINT) AS bytes FROM n"""
+)
 def extract_inline_styles(spark, d):
     p = decorated(spark, d).withColumn("path", U.page_path(F.col("url"), PRIMARY))
     found = rewrite.rewrite_pages(p, page_resources(spark, d).select("norm_url", "path"), least_style=64)
     return found.select("page_id", F.explode("assets").alias("a")).select("page_id", "a.*")
 
 
-@query()
+@query(
+    f"""WITH {_DECORATED}, n AS (SELECT page_id, {_SITE} AS site, {_normal('url')} AS own, regexp_replace({_parts('url')['path']}, '[^/]*$', '') AS folder FROM decorated)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS asset_seq, [site || '/css/site.css?v=2', own, site || folder || 'b.png', site || folder || 'c.png', site || '/img/a.png', site || '/img/bg.webp'][i] AS asset_url
+FROM n, range(1, 7) AS r(i)"""
+)
 def asset_urls(spark, d):
     return extract.asset_urls(decorated(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {_DECORATED}, f(seq, file, css_depth) AS (VALUES (0, '/css/site.css?v=2', 0), (1, '/css/base.css', 1), (2, '/css/x.png', 0), (3, '/css/y.png', 1))
+SELECT page_id, {_SITE} || file AS url, CAST(css_depth AS INTEGER) AS css_depth, CAST(seq AS INTEGER) AS seq FROM decorated, f"""
+)
 def css_imports_closure(spark, d):
     p = decorated(spark, d)
     roots = extract.asset_urls(p)
@@ -592,12 +608,19 @@ def css_imports_closure(spark, d):
     return extract.import_closure(roots, bodies)
 
 
-@query()
+@query(
+    f"""WITH {_DECORATED}, t(heading, breakpoint, kind, value) AS (VALUES ('h1', '@media (max-width: 40em)', 'font_size', '1'), ('h2', '@media (max-width: 40em)', 'font_size', '1'),
+  ('h2', 'base', 'line_height', '1.2'), ('h2', 'base', 'font_family', 'serif'), ('h2', 'base', 'font_family', 'Open Sans'), ('h2', 'base', 'font_weight', 'bold'), ('h2', 'base', 'font_size', '20px'))
+SELECT t.*, (SELECT count(*) FROM decorated) AS n FROM t WHERE n > 0"""
+)
 def heading_tokens(spark, d):
     return tokens.heading_tokens(extract.css_rows(extract.css_sources(decorated(spark, d))))
 
 
-@query()
+@query(
+    f"""WITH {_DECORATED}, c AS (SELECT (SELECT count(*) FROM decorated) AS made, (SELECT count(*) FROM pages WHERE contains(html, '<style>p{{margin:0}}</style>')) AS own)
+SELECT own + 3 * made AS style_rules, own + 4 * made AS selectors, own + 5 * made AS type_selectors, 0::BIGINT AS id_selectors, 0::BIGINT AS class_selectors, 0::BIGINT AS attribute_selectors, 0::BIGINT AS pseudo_selectors FROM c"""
+)
 def selector_stats(spark, d):
     return tokens.selector_stats(extract.css_rows(extract.css_sources(decorated(spark, d))))
 
@@ -620,7 +643,10 @@ def snapshot_merge(spark, d):
     return tokens.count_tokens(tokens.merge_counts(rows))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT page_id, {_parts('url')['path']} || {_parts('url')['search']} AS target FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(target, '^/.*\\?utm_source=') THEN false WHEN starts_with(target, '/en/6') THEN true ELSE NOT starts_with(target, '/en/') END AS allowed FROM p"""
+)
 def robots_filter(spark, d):
     p = pages_of(spark, d).select("page_id", "url")
     text = "User-agent: *\nDisallow: /en/\nAllow: /en/6*\nDisallow: /*?utm_source=\n\nUser-agent: other\nDisallow: /\n"
@@ -628,6 +654,44 @@ def robots_filter(spark, d):
     return crawl.robots_filter(p, robots, "pageloom/1.0").select("page_id", "allowed")
 
 
+# --- functions over made values --------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH q AS (SELECT p_partkey, ['screen and (max-width: ' || p_size || 'px)', '(min-width:' || p_size || '.5em) and (max-width: 90rem)', 'print', '(width >= 40px)'][p_partkey % 4 + 1] AS query FROM part),
+b AS (SELECT p_partkey, unnest(regexp_extract_all(query, '(min|max)-width\s*:\s*[0-9]*\.?[0-9]+(?:px|em|rem)')) AS found FROM q),
+k AS (SELECT p_partkey, left(found, 3) || '-width ' || regexp_extract(found, ':\s*(.*)$', 1) AS breakpoint FROM b)
+SELECT breakpoint, count(*) AS n, CAST(regexp_extract(breakpoint, ' ([0-9.]+)', 1) AS DOUBLE) * CASE WHEN right(breakpoint, 2) = 'em' THEN 16 ELSE 1 END AS pixels FROM k GROUP BY breakpoint"""
+)
+def media_breakpoints(spark, d):
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    made = F.element_at(F.array(F.concat(F.lit("screen and (max-width: "), size, F.lit("px)")), F.concat(F.lit("(min-width:"), size, F.lit(".5em) and (max-width: 90rem)")), F.lit("print"), F.lit("(width >= 40px)")), (k % 4 + 1).cast("int"))
+    rows = part_of(spark, d).select(k.alias("page_id"), F.lit(0).alias("source_seq"), F.lit("media").alias("kind"), made.alias("value"))
+    counts = tokens.count_tokens(tokens.media_tokens(rows)).where("category = 'breakpoint'")
+    return counts.select(F.col("value").alias("breakpoint"), "n", T.breakpoint_number(F.col("value")).alias("pixels"))
+
+
+@query(
+    """WITH v AS (SELECT p_partkey, ['normal', '1.' || p_size % 10, p_size || 'px', '0', '120%', p_size || 'REM'][p_partkey % 6 + 1] AS value FROM part)
+SELECT p_partkey, value, CASE WHEN value = '1.0' THEN '1' WHEN NOT regexp_matches(value, '^(normal|.*%)$') THEN lower(value) END AS height,
+       CASE WHEN NOT regexp_matches(value, '^(normal|.*%)$') THEN regexp_matches(value, '^[0-9.]+$') END AS is_number FROM v"""
+)
+def line_heights(spark, d):
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    made = F.element_at(F.array(F.lit("normal"), F.concat(F.lit("1."), (F.col("p_size") % 10).cast("string")), F.concat(size, F.lit("px")), F.lit("0"), F.lit("120%"), F.concat(size, F.lit("REM"))), (k % 6 + 1).cast("int"))
+    return part_of(spark, d).select("p_partkey", made.alias("value")).withColumn("of", T.normalize_line_height(F.col("value"))).select("p_partkey", "value", F.col("of.text").alias("height"), "of.is_number")
+
+
+@query(
+    """WITH v AS (SELECT p_partkey, ['', '#', 'data:image/gif;base64,R0', 'data:image/png;base64,' || repeat('A', 40 * p_size), 'data:,', 'about:blank', 'a/' || p_size || '.png', ' # '][p_partkey % 8 + 1] AS src FROM part)
+SELECT p_partkey, trim(src) IN ('', '#', 'about:blank') OR src LIKE 'data:image/gif%' OR src = 'data:,' OR (src LIKE 'data:image/%' AND len(src) < 2048) AS placeholder FROM v"""
+)
+def placeholder_images(spark, d):
+    size, k = F.col("p_size"), F.col("p_partkey")
+    made = F.array(F.lit(""), F.lit("#"), F.lit("data:image/gif;base64,R0"), F.concat(F.lit("data:image/png;base64,"), F.repeat(F.lit("A"), 40 * size)), F.lit("data:,"), F.lit("about:blank"), F.concat(F.lit("a/"), size.cast("string"), F.lit(".png")), F.lit(" # "))
+    return part_of(spark, d).select("p_partkey", X.is_placeholder_src(F.element_at(made, (k % 8 + 1).cast("int"))).alias("placeholder"))
+
+
 @query()
 def design_markdown(spark, d):
     p = decorated(spark, d)
