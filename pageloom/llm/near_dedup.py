@@ -50,8 +50,8 @@ FEW = 8
 SHORT = 8
 #: Estimated similarity below which a pair isn't compared by full sets (links have 0.8).
 MAY_BE = 0.55
-#: Texts in one block of comparisons.
-BLOCK = 48
+#: Texts in one block of comparisons: the least and most, and how often a text is copied at most before blocks grow to the most.
+BLOCK, LARGEST_BLOCK, COPIES = 48, 512, 16
 #: Up to so many doc_ids (of 8 bytes) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -259,16 +259,19 @@ def in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     group with different labels meet in one.
 
     Blocks of the largest label's rows meet those of all others, whose blocks also meet each other; a row of the
-    largest label is copied once for each block of others.
+    largest label is copied once for each block of others. Blocks grow with the group so that others fill COPIES of them;
+    from COPIES * LARGEST_BLOCK others on they stay as large as that, and the number of copies grows.
     """
     counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n_label"))
     tops = counts.groupBy(group).agg(F.max(F.struct("n_label", "label")).alias("top"), F.sum("n_label").alias("n_all"))
     small = F.col("n_all") <= 2 * block
+    others = F.col("n_all") - F.col("top.n_label")
+    size = F.least(F.lit(max(block, LARGEST_BLOCK)), F.greatest(F.lit(block), F.ceil(others / COPIES)))
     tops = tops.select(
         group,
         F.when(~small, F.col("top.label")).alias("top"),
-        F.when(small, 1).otherwise(F.ceil((F.col("n_all") - F.col("top.n_label")) / block)).cast("int").alias("others"),
-        F.when(small, 0).otherwise(F.ceil(F.col("top.n_label") / block)).cast("int").alias("own"),
+        F.when(small, 1).otherwise(F.ceil(others / size)).cast("int").alias("others"),
+        F.when(small, 0).otherwise(F.ceil(F.col("top.n_label") / size)).cast("int").alias("own"),
     )
     dealt = rows.join(written(tops, "near-tops"), group)
     inside = F.col("label").eqNullSafe(F.col("top"))
