@@ -42,16 +42,17 @@ K, SKETCH = 192, 64
 KEYS, WHOLE = 96, 160
 #: Runs by set size: length, least and largest size. Links join sizes that differ by a fifth at most, so classes overlap.
 RUNS = ((5, 128, 1 << 62), (4, 4, WHOLE), (3, 3, 24), (2, 2, 8), (1, 1, 2))
-#: Runs that linked texts share at least, by length: multiple of a set's size, less a number (of large sets just a number).
-SHARED = {5: (0.0, -4), 4: (0.2, 3), 3: (0.4, 2), 2: (0.6, 1), 1: (0.0, -1)}
+#: Runs that linked texts share at least, by length: a part of a set's size, rounded up, less a number (of large sets just a
+#: number). Of a union of u values b <= u / 5 are in one set alone and leave u - b - (run - 1) * (b + 1) runs of the others.
+SHARED = {5: (0.0, -4), 4: (0.2, 3), 3: (0.4, 3), 2: (0.6, 2), 1: (0.0, -1)}
 #: The first round takes one key in so many.
 FEW = 8
 #: Lists up to this length pair all members one by one.
-SHORT = 8
+SHORT = 12
 #: Estimated similarity below which a pair isn't compared by full sets (links have 0.8).
 MAY_BE = 0.55
 #: Texts in one block of comparisons: the least and most, and how often a text is copied at most before blocks grow to the most.
-BLOCK, LARGEST_BLOCK, COPIES = 48, 512, 16
+BLOCK, LARGEST_BLOCK, COPIES = 256, 512, 16
 #: Up to so many doc_ids (of 8 bytes) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -255,7 +256,7 @@ class Block:
 
 
 def in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Deals rows ``group, label, doc_id, ...`` to tasks (columns ``task``, ``low``, ``high``, ``block``) so that any two rows of a
+    """Deals rows ``group, label, doc_id, ...`` (``n``, if given, is a set's size) to tasks (columns ``task``, ``low``, ``high``, ``block``) so that any two rows of a
     group with different labels meet in one.
 
     Blocks of the largest label's rows meet those of all others, whose blocks also meet each other; a row of the
@@ -264,22 +265,28 @@ def in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     """
     counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n_label"))
     tops = counts.groupBy(group).agg(F.max(F.struct("n_label", "label")).alias("top"), F.sum("n_label").alias("n_all"))
-    small = F.col("n_all") <= 2 * block
     others = F.col("n_all") - F.col("top.n_label")
     size = F.least(F.lit(max(block, LARGEST_BLOCK)), F.greatest(F.lit(block), F.ceil(others / COPIES)))
+    small = F.col("n_all") <= 2 * size
     tops = tops.select(
         group,
-        F.when(~small, F.col("top.label")).alias("top"),
+        F.col("top.label").alias("top"),
+        small.alias("small"),
         F.when(small, 1).otherwise(F.ceil(others / size)).cast("int").alias("others"),
         F.when(small, 0).otherwise(F.ceil(F.col("top.n_label") / size)).cast("int").alias("own"),
     )
     dealt = rows.join(written(tops, "near-tops"), group)
-    inside = F.col("label").eqNullSafe(F.col("top"))
+    largest = F.col("label") == F.col("top")
+    if "n" in rows.columns:  # of the largest label only sizes that any of the others could be linked with
+        spans = dealt.where(~largest).groupBy(group).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        dealt = dealt.join(written(spans, "near-spans"), group)
+        dealt = dealt.where(~largest | ((5 * F.col("n") >= 4 * F.col("least")) & (4 * F.col("n") <= 5 * F.col("most")))).drop("least", "most")
+    inside = largest & ~F.col("small")
     draw = F.xxhash64("doc_id")
     dealt = dealt.withColumn("block", F.when(inside, F.col("others") + F.pmod(draw, F.col("own"))).otherwise(F.pmod(draw, F.col("others"))).cast("int"))
     partners = F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)
     dealt = dealt.withColumn("_with", F.explode(partners)).withColumn("low", F.least("block", "_with")).withColumn("high", F.greatest("block", "_with"))
-    return dealt.withColumn("task", F.xxhash64(group, "low", "high")).drop("_with", "top", "others", "own")
+    return dealt.withColumn("task", F.xxhash64(group, "low", "high")).drop("_with", "top", "small", "others", "own")
 
 
 def block_links(dealt: DataFrame, payload: str, links: Callable[[pa.Table, int], list[tuple[int, int]]]) -> DataFrame:
@@ -370,7 +377,7 @@ def linked_sets(documents: DataFrame, usable: DataFrame, reps: DataFrame, labels
     shared = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-shared")
     longest = Window.partitionBy("doc_id", "run").orderBy(F.desc("size"), F.desc("key"))
     lists = postings.join(shared, "key").withColumn("run", F.col("key").bitwiseAND(F.lit(7))).withColumn("rank", F.row_number().over(longest))
-    left_out = F.greatest(F.coalesce(*[F.when(F.col("run") == r, F.floor(F.col("n") * part) - less) for r, (part, less) in SHARED.items()]), F.lit(1)) - 1
+    left_out = F.greatest(F.coalesce(*[F.when(F.col("run") == r, F.ceil(F.col("n") * part) - less) for r, (part, less) in SHARED.items()]), F.lit(1)) - 1
     lists = written(lists.where(F.col("rank") > left_out).select("key", "doc_id", "n", "copies"), "near-lists")
     if lists.isEmpty():
         return labels
@@ -392,7 +399,7 @@ def linked_sets(documents: DataFrame, usable: DataFrame, reps: DataFrame, labels
     few = left.where(f"size <= {SHORT}").groupBy("key").agg(F.collect_list(F.struct("doc_id", "label", "n")).alias("m"))
     both = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.doc_id < y.doc_id and x.label <> y.label").where(sizes_fit("x.n", "y.n"))
     maybe = likely(both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sides)
-    long = left.where(f"size > {SHORT}").select("key", "doc_id", "label")
+    long = left.where(f"size > {SHORT}").select("key", "doc_id", "label", "n")
     if not long.isEmpty():
         maybe = maybe.unionByName(block_links(in_blocks(long, "key", BLOCK).join(sides, "doc_id"), "sketch", sketch_links))
     clusters = merged(clusters, maybe).withColumnRenamed("node", "doc_id")
