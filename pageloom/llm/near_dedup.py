@@ -45,8 +45,8 @@ RUNS = ((5, 128, 1 << 62), (4, 4, WHOLE), (3, 3, 24), (2, 2, 8), (1, 1, 2))
 #: Runs that linked texts share at least, by length: a part of a set's size, rounded up, less a number (of large sets just a
 #: number). Of a union of u values b <= u / 5 are in one set alone and leave u - b - (run - 1) * (b + 1) runs of the others.
 SHARED = {5: (0.0, -4), 4: (0.2, 3), 3: (0.4, 3), 2: (0.6, 2), 1: (0.0, -1)}
-#: The first round takes one key in so many.
-FEW = 8
+#: The first and the second round of heads take one key in so many; no link rests on them.
+FEW, SOME = 8, 2
 #: Lists up to this length pair all members one by one.
 SHORT = 12
 #: Estimated similarity below which a pair isn't compared by full sets (links have 0.8).
@@ -384,9 +384,9 @@ def linked_sets(documents: DataFrame, usable: DataFrame, reps: DataFrame, labels
     sides = usable.select("doc_id", "sketch")
     sets = written(full_sets(documents, written(lists.select("doc_id").distinct(), "near-members"), shingle), "near-sets")
 
-    few = lists.where(f"pmod(shiftright(key, 3), {FEW}) = 0")
+    few, some = (lists.where(f"pmod(shiftright(key, 3), {n}) = 0") for n in (FEW, SOME))
     clusters = labels
-    for part, head in ((few, F.struct("copies", -F.col("doc_id"), "doc_id", "label", "n")), (lists, F.struct(F.xxhash64("doc_id"), "doc_id", "label", "n"))):
+    for part, head in ((few, F.struct("copies", -F.col("doc_id"), "doc_id", "label", "n")), (some, F.struct(F.xxhash64("doc_id"), "doc_id", "label", "n"))):
         now = labelled(part, labels)
         pairs = now.join(mixed(now, "key", head), "key").where(F.col("label") != F.col("head.label")).where(sizes_fit("n", "head.n"))
         maybe = written(likely(pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), sides), "near-likely")
