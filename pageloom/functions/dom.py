@@ -77,8 +77,15 @@ class Node:
             other.parent, self.parent = self.parent, None
 
     def select(self, selector: str) -> list[Node]:
-        groups = compiled(selector)
-        return [n for n in self.elements() if any(matches(n, g) for g in groups)]
+        by_tag, by_attribute = indexed(selector)
+        anywhere = by_tag.get("*", ())
+
+        def chosen(node: Node) -> bool:
+            if any(matches(node, c) for c in (*anywhere, *by_tag.get(node.tag, ()))):
+                return True
+            return any(matches(node, c) for name in node.attrs if name in by_attribute for c in by_attribute[name])
+
+        return [n for n in self.elements() if chosen(n)]
 
     def first(self, selector: str) -> Node | None:
         return next(iter(self.select(selector)), None)
@@ -233,6 +240,32 @@ def compiled(selector: str):
     return out
 
 
+@functools.lru_cache(maxsize=512)
+def indexed(selector: str):
+    """The chains of ``selector`` by the tag or by an attribute that their element must have (``*``: neither), so that a long
+    list of selectors costs an element what its own attributes name only."""
+    by_tag: dict[str, list] = {}
+    by_attribute: dict[str, list] = {}
+    for chain in compiled(selector):
+        attribute = next((name for op, name, _, _ in chain[-1] if op != "tag"), None)
+        if attribute is None:
+            by_tag.setdefault(chain[-1][0][1], []).append(chain)
+        else:
+            by_attribute.setdefault(attribute, []).append(chain)
+    return by_tag, by_attribute
+
+
+#: Tests of an attribute's value; an empty value is part of nothing.
+_TESTS = {
+    "=": lambda own, value: own == value,
+    "~=": lambda own, value: bool(value) and value in own.split(),
+    "*=": lambda own, value: bool(value) and value in own,
+    "^=": lambda own, value: bool(value) and own.startswith(value),
+    "$=": lambda own, value: bool(value) and own.endswith(value),
+    "|=": lambda own, value: own == value or own.startswith(value + "-"),
+}
+
+
 def _fits(node: Node, tests) -> bool:
     for op, name, value, fold in tests:
         if op == "tag":
@@ -242,11 +275,7 @@ def _fits(node: Node, tests) -> bool:
         own = node.attrs.get(name)
         if own is None:
             return False
-        if op == "has":
-            continue
-        a, b = (own.lower(), value.lower()) if fold else (own, value)
-        good = {"=": a == b, "~=": b in a.split() and bool(b), "*=": bool(b) and b in a, "^=": bool(b) and a.startswith(b), "$=": bool(b) and a.endswith(b), "|=": a == b or a.startswith(b + "-")}[op]
-        if not good:
+        if op != "has" and not _TESTS[op](*((own.lower(), value.lower()) if fold else (own, value))):
             return False
     return True
 

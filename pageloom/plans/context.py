@@ -30,7 +30,7 @@ def _local_sheets(path: str, hrefs: list[str]) -> list[str]:
 def page_context(pages: DataFrame) -> DataFrame:
     """REP6: one row per page (``page_id, url, path, depth, status, content_type, html``): title, headings, counts, sheets."""
     facts = page_facts(pages).withColumnRenamed("page_id", "_id")
-    rows = pages.join(facts, F.col("page_id") == F.col("_id")).withColumn("html_bytes", byte_length(F.col("html")))
+    rows = pages.withColumn("html_bytes", byte_length(F.col("html"))).drop("html").join(facts, F.col("page_id") == F.col("_id"))  # html itself isn't shuffled
 
     def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

@@ -658,7 +658,7 @@ def robots_filter(spark, d):
 
 
 @query(
-    """WITH q AS (SELECT p_partkey, ['screen and (max-width: ' || p_size || 'px)', '(min-width:' || p_size || '.5em) and (max-width: 90rem)', 'print', '(width >= 40px)'][p_partkey % 4 + 1] AS query FROM part),
+    r"""WITH q AS (SELECT p_partkey, ['screen and (max-width: ' || p_size || 'px)', '(min-width:' || p_size || '.5em) and (max-width: 90rem)', 'print', '(width >= 40px)'][p_partkey % 4 + 1] AS query FROM part),
 b AS (SELECT p_partkey, unnest(regexp_extract_all(query, '(min|max)-width\s*:\s*[0-9]*\.?[0-9]+(?:px|em|rem)')) AS found FROM q),
 k AS (SELECT p_partkey, left(found, 3) || '-width ' || regexp_extract(found, ':\s*(.*)$', 1) AS breakpoint FROM b)
 SELECT breakpoint, count(*) AS n, CAST(regexp_extract(breakpoint, ' ([0-9.]+)', 1) AS DOUBLE) * CASE WHEN right(breakpoint, 2) = 'em' THEN 16 ELSE 1 END AS pixels FROM k GROUP BY breakpoint"""

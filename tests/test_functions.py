@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from pageloom.functions import css, css_tokens as T, dom, text as X, urls as U
 from pageloom.functions.options import Options, at_least, parse_arguments, parse_int_option
+from pageloom.operators import rewrite
 from pageloom.operators.scope import glob_to_regex, in_scope
 
 URLS = [
@@ -164,3 +165,21 @@ def test_dom_round_trip():
     assert d.html() == '<html><head></head><body><p class="a b">x<b>y</b></p><img src="1"><script>if(a<b){}</script></body></html>'
     assert dom.parse(d.html()).html() == d.html()
     assert len(d.select("p.a.b b")) == 1 and not d.select("b p")
+
+
+def test_selectors_by_index_find_what_a_plain_walk_finds():
+    d = dom.parse(
+        '<div id="klaro" class="a b"><p class="b" title="">x<a href="/y" CLASS="cc-banner">y</a></p></div><p>z</p>'
+        '<template id="brlbs-1"></template><div id="brlbs-2" aria-label="Our COOKIES" lang="en-GB"></div>'
+    )
+    several = ("*", "p", "div p a", "html, body", ".b", "p.b, .a", "#klaro", "a[href]", '[class*="banner"]', 'template[id^="brlbs-"]', '[aria-label*="cookie" i]', '[lang|="en"]', '[href$="y"], p', '[title=""]', '[title*=""]')
+    for selector in several:
+        assert d.select(selector) == [n for n in d.elements() if any(dom.matches(n, c) for c in dom.compiled(selector))], selector
+    assert [len(d.select(s)) for s in ('template[id^="brlbs-"]', '[aria-label*="cookie" i]', '[title=""]', '[title*=""]', "p.b, .a")] == [1, 1, 1, 0, 2]
+
+
+def test_consent_goes_with_all_that_is_in_it():
+    d = dom.parse('<body class="x"><div class="klaro"><p id="klaro">a</p><b>b</b></div><p>c</p><i class="modal-backdrop">d</i></body>')
+    rewrite.strip_consent(d)
+    assert [n.tag for n in d.first("body").elements()] == ["p"]
+    assert d.first("p").text() == "c"
