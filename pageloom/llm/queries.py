@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, packing, quality, rans, secrets, sharding, token_counts
+from . import conversations, exact_dedup, fingerprints, mixing, near_dedup, packing, periodic, quality, rans, secrets, sharding, token_counts, toxicity
 from .common import load_documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -55,8 +55,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load_documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(load_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_report(load_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_exact_dedup, op4_fingerprints, op5_near_dedup, op6_token_files, op7_secret_scan, op8_token_counts, op9_sharding, op10_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_exact_dedup, op4_fingerprints, op5_near_dedup, op6_token_files, op7_secret_scan, op8_token_counts, op9_sharding, op10_packing, op11_conversation_repair, op12_toxicity, op13_periodic_runs)
 }
 
 ORACLE_SQL = {
