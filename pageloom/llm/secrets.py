@@ -12,8 +12,9 @@ weighing its own share.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from math import comb, erfc, factorial, log, sqrt
+from math import erfc, exp, factorial, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +69,28 @@ def infer_encoding(token: str) -> int:
     return next((i for i, (a, _) in enumerate(_SETS) if chars <= a), len(_SETS) - 1)
 
 
+def bodies(token: str) -> list[str]:
+    """What of a token is tested: without padding, signs that join groups (``-`` and ``_``) and the date that leads a
+    number; parts between slashes by themselves where base64 would rarely have so many of these. Parts are candidates by
+    themselves, so those under LENGTH_CLASSES[0] characters go."""
+    token = token.rstrip("=")
+    slashes = token.count("/")
+    parts = token.split("/") if _at_least(slashes, len(token), 1 / 64) < 0.02 else [token]
+    parts = [_DATE.sub("", p) if p.isdigit() else p for p in (re.sub("[-_]", "", p) for p in parts)]
+    return [p for p in parts if len(p) >= LENGTH_CLASSES[0]]
+
+
+def _places(token: str, alphabet: str) -> np.ndarray:
+    table = np.zeros(128)
+    for i, c in enumerate(alphabet):
+        table[ord(c)] = i if len(alphabet) <= 64 else {"-": 62, "_": 63}.get(c, i)  # either spelling of base64
+    return table[np.frombuffer(token.encode("ascii"), np.uint8)]
+
+
 def randomness_tests(token: str) -> tuple[float, float, float]:
     """p-values of chi-squared uniformity, runs and serial correlation if the token were random (small: it is not)."""
     alphabet = _SETS[infer_encoding(token)][1]
-    place = {c: i for i, c in enumerate(alphabet)} | ({"-": 62, "_": 63} if len(alphabet) > 64 else {})  # either spelling of base64
-    x = np.array([place[c] for c in token.rstrip("=")], float)
+    x = _places(token.rstrip("="), alphabet)
     n, k = len(x), min(len(alphabet), 64)
     counts = np.bincount(x.astype(int), minlength=k)
     chi = float(((counts - n / k) ** 2).sum() / (n / k))
@@ -98,11 +116,21 @@ ORDINARY = _PROSE / _PROSE.sum()
 CLASS_CHANGE, VOWEL_CHANGE = 0.15, 0.6
 #: Numbers written as text (counters, dates, amounts) repeat digits or step by one with this probability a digit.
 SMOOTH_DIGITS = 0.64
+#: A date, and maybe a time, at the start of a number.
+_DATE = re.compile(r"(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:(?:[01]\d|2[0-3])(?:[0-5]\d){0,2})?")
+#: Binomial tails of more trials are taken from the normal distribution.
+EXACT_TRIALS = 2000
 
 
 def _at_least(k: int, n: int, p: float) -> float:
-    """Probability of k or more of n."""
-    return min(1.0, sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))) if k > 0 else 1.0
+    """Probability of k or more of n; terms are summed as logarithms, a long tail is the normal one (corrected for steps)."""
+    if k <= 0:
+        return 1.0
+    if n > EXACT_TRIALS:
+        return _upper_normal((k - 0.5 - n * p) / sqrt(n * p * (1 - p)))
+    terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, n + 1)]
+    top = max(terms)
+    return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
 
 
 def ordinary_tests(token: str) -> list[float]:
@@ -115,11 +143,13 @@ def ordinary_tests(token: str) -> list[float]:
     tells anything: how many differ by more than one from the digit before.
     """
     if token.isdigit():
-        digits = np.array([ord(c) - 48 for c in token])
+        digits = np.frombuffer(token.encode("ascii"), np.uint8).astype(int)
         return [max(_at_least(int((np.abs(np.diff(digits)) > 1).sum()), len(digits) - 1, 1 - SMOOTH_DIGITS), 1e-300)]
-    body = re.sub(r"[+/_=-]", "", token)
+    chars = np.frombuffer(re.sub(r"[+/_=-]", "", token).encode("ascii"), np.uint8)
+    lower, upper = (chars >= 97) & (chars <= 122), (chars >= 65) & (chars <= 90)
+    letter = lower | upper
     out = []
-    letters = np.array([ord(c) - 97 for c in body.lower() if c.isalpha()], int)
+    letters = (chars[letter] | 32).astype(int) - 97
     n, k = len(letters), len(ORDINARY)
     if n > 1:
         chi = float(((np.bincount(letters, minlength=k) - n * ORDINARY) ** 2 / (n * ORDINARY)).sum())
@@ -127,19 +157,24 @@ def ordinary_tests(token: str) -> list[float]:
         var = 2 * mean + ((1 / ORDINARY).sum() - k * k - 2 * k + 2) / n
         free = 2 * mean * mean / var
         out.append(_upper_normal(((chi / mean) ** (1 / 3) - 1 + 2 / (9 * free)) / np.sqrt(2 / (9 * free))))
-    classes = [1 if c.islower() else 2 if c.isupper() else 3 for c in body]
-    if len(set(classes)) > 1:
-        changes = sum(x != y and (x, y) != (2, 1) for x, y in zip(classes, classes[1:], strict=False))
-        out.append(_at_least(changes, len(body) - 1, CLASS_CHANGE))
-    pairs = [(x in "aeiouAEIOU") != (y in "aeiouAEIOU") for x, y in zip(body, body[1:], strict=False) if x.isalpha() and y.isalpha()]
-    if pairs:
-        out.append(_at_least(len(pairs) - sum(pairs), len(pairs), 1 - VOWEL_CHANGE))
+    classes = np.where(lower, 1, np.where(upper, 2, 3))
+    changes = (classes[1:] != classes[:-1]) & ~((classes[:-1] == 2) & (classes[1:] == 1))
+    if (classes != classes[:1]).any():
+        out.append(_at_least(int(changes.sum()), len(chars) - 1, CLASS_CHANGE))
+    vowel = np.isin(chars | 32, np.frombuffer(b"aeiou", np.uint8))
+    pairs = letter[1:] & letter[:-1]
+    if pairs.any():
+        out.append(_at_least(int((pairs & (vowel[1:] == vowel[:-1])).sum()), int(pairs.sum()), 1 - VOWEL_CHANGE))
     return [max(p, 1e-300) for p in out]
 
 
 def surprise(token: str) -> float:
-    """-log10 of the combined p-value of ``ordinary_tests`` (Fisher); 0 if a test against "random" rejects the token."""
-    body = token.rstrip("=")
+    """-log10 of the combined p-value of ``ordinary_tests`` (Fisher), the largest of the token's ``bodies``; 0 if there is
+    none or a test against "random" rejects it. Tokens of any length cost time in proportion."""
+    return max((_surprise(b) for b in bodies(token)), default=0.0)
+
+
+def _surprise(body: str) -> float:
     if min(randomness_tests(body)) < 1e-3:
         return 0.0
     tests = ordinary_tests(body)
@@ -157,9 +192,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, float]]:
     """``start, end, surprise`` of candidates that no base span overlaps and no test rejects, and of all others 0."""
+    starts, furthest = [s for s, _, _ in base], []
+    for _, e, _ in base:  # the furthest end of this span and those before
+        furthest.append(max(e, furthest[-1]) if furthest else e)
     out = []
     for m in _CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e, _ in base):
+        before = bisect_right(starts, m.end() - 1)  # spans that start before the candidate ends
+        if not before or furthest[before - 1] <= m.start():
             out.append((m.start(), m.end(), surprise(m[0])))
     return out
 

@@ -105,7 +105,8 @@ class ToxicityModel:
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 def is_held_out() -> Column:

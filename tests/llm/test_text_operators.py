@@ -3,6 +3,8 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from math import comb, erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -314,6 +316,66 @@ def test_discoveries_match_a_plain_version(spark):
     assert got == {i: ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(x)) for i, x in want.items()}
 
 
+def test_tails_equal_exact_sums():
+    for n, p in ((1, 0.5), (24, 0.15), (60, 0.36), (400, 0.4), (1900, 0.15)):
+        for k in {0, 1, n // 5, n // 2, n}:
+            exact = sum(Fraction(comb(n, i)) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k, n + 1)) if n < 100 else None
+            if exact is not None:
+                assert secrets._at_least(k, n, p) == pytest.approx(float(exact), rel=1e-9)
+    a, b = secrets._at_least(860, 2000, 0.4), secrets._at_least(861, 2001, 0.4)  # the two ways meet
+    assert a == pytest.approx(b, rel=0.2) and secrets._at_least(10**7, 10**7, 0.15) == 0.0
+
+
+def plain_tests(token):
+    """The three statistics against "random", a character at a time."""
+    alphabet = next(a for _, a in secrets.ENCODINGS if set(token) <= set(a))
+    x = [alphabet.index(c) % 64 if len(alphabet) < 65 else {"-": 62, "_": 63}.get(c, alphabet.index(c)) for c in token]
+    n, k = len(x), min(64, len(alphabet))
+    upper = lambda z: erfc(z / sqrt(2)) / 2
+    chi = sum((x.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    middle = sorted(x)[n // 2] if n % 2 else (sorted(x)[n // 2 - 1] + sorted(x)[n // 2]) / 2
+    high = [v >= middle for v in x]
+    a, b = high.count(True), high.count(False)
+    runs = 1 + sum(p != q for p, q in zip(high, high[1:], strict=False))
+    spread = max(1e-9, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1)))
+    m = sum(x) / n
+    serial = sum((p - m) * (q - m) for p, q in zip(x, x[1:], strict=False)) / sum((v - m) ** 2 for v in x)
+    return upper((chi - k + 1) / sqrt(2 * (k - 1) * (1 - 1 / n))), min(1, 2 * upper(abs(runs - 1 - 2 * a * b / n) / sqrt(spread))), min(1, 2 * upper(abs(serial + 1 / n) * sqrt(n)))
+
+
+def test_statistics_equal_a_plain_version():
+    rng = random.Random(31)
+    for kind, alphabet in ALPHABETS.items():
+        for n in (20, 33, 64, 200):
+            token = "".join(rng.choice(alphabet) for _ in range(n))
+            assert secrets.randomness_tests(token) == pytest.approx(plain_tests(token), rel=1e-9), kind
+
+
+@pytest.mark.parametrize("length", [1_000, 1_040, 10_000, 10_000_000])
+def test_tokens_of_any_length(length):
+    few = random.Random(length).choices(ALPHABETS["base64"], k=length)
+    assert secrets.surprise("".join(few)) > 20 and secrets.surprise("ab" * (length // 2)) == 0.0
+
+
+def test_inline_images_in_documents(spark):
+    rng = random.Random(17)
+    image = "".join(rng.choices(ALPHABETS["base64"], k=6_000))
+    rows = [(1, f'<img src="data:image/png;base64,{image}=="> and text', "s"), (2, "plain text " * 50_000 + "wJalrXUtnFEMI7K9MDENGbPxRfi4CYzQpLtV0d8s", "s")]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(docs(spark, rows)).collect()}
+    at = rows[0][1].index(",") + 1
+    assert got == {1: f"random:{at}:{at + 6002}", 2: "random:550000:550040"}
+
+
+def test_keys_in_groups_and_ordinary_numbers():
+    rng = random.Random(23)
+    uuid = lambda s: "-".join(("".join(rng.choices(ALPHABETS["HEX"], k=k)) for k in (8, 4, 4, 4, 12)))
+    grouped = [uuid(0) for _ in range(300)] + ["-".join("".join(rng.choices(ALPHABETS["upper36"], k=5)) for _ in range(6)) for _ in range(300)]
+    assert np.mean([secrets.surprise(k) >= 4 for k in grouped]) > 0.6
+    stamps = [f"20{rng.randint(10, 29)}{rng.randint(1, 12):02}{rng.randint(1, 28):02}{rng.randint(0, 23):02}{rng.randint(0, 59):02}{rng.randint(0, 59):02}{rng.randint(0, 999999):06}" for _ in range(300)]
+    paths = [f"videos/{rng.choice(['watch', 'embed'])}/{''.join(rng.choices(ALPHABETS['base62'], k=11))}/{rng.randint(1, 99)}" for _ in range(300)]
+    assert max(map(secrets.surprise, stamps + paths)) < 2
+
+
 def test_ordinary_tokens_have_ordinary_p_values():
     words = "internal station configuration value of the reader and message holds every number before house under general".split()
     rng = random.Random(12)
