@@ -1,27 +1,13 @@
-"""A small document tree: lenient HTML parsing, selectors, and serialisation. Pure Python, for use inside workers."""
+"""A small document tree: nodes, selectors, and serialisation. Pure Python, for use inside workers."""
 
 from __future__ import annotations
 
 import functools
 import re
 from html import escape
-from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset(("script", "style"))
-#: Elements that only a head holds, and those whose start closes an open paragraph.
-HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
-CLOSES_P = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr main menu nav ol p pre section table ul".split()
-)
-#: Elements that a start tag closes, up to the nearest of the bounds.
-CLOSES = {
-    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
-    "option": (("option",), ("select", "datalist")), "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")),
-    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
-}
-
+RAW = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes", "plaintext"))
 
 class Node:
     """An element, or text, comment or doctype (``tag`` starts with ``#`` then, and ``data`` is its content)."""
@@ -115,97 +101,11 @@ class Node:
         return "".join(out)
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root")
-        self.html = Node("html")
-        self.head, self.body = Node("head"), Node("body")
-        self.open: list[Node] = []
-        self.in_body = self.seen_head = False
-
-    def place(self) -> Node:
-        if self.open:
-            return self.open[-1]
-        return self.body if self.in_body else self.head
-
-    def handle_starttag(self, tag, attrs):
-        own: dict[str, str] = {}
-        for k, v in attrs:
-            own.setdefault(k, v or "")
-        if tag in ("html", "head", "body"):
-            node = {"html": self.html, "head": self.head, "body": self.body}[tag]
-            node.attrs = own | node.attrs
-            if tag == "body":
-                self.open, self.in_body = [], True
-            return
-        if not self.in_body and not self.open and tag not in HEAD_ONLY:
-            self.in_body = True
-        if tag in CLOSES_P:
-            self.close(("p",), ("button", "td", "th", "table", "object"))
-        if tag in CLOSES:
-            self.close(*CLOSES[tag])
-        node = self.place().append(Node(tag, own))
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1].tag == tag and self.inside_foreign():
-            self.open.pop()
-
-    def inside_foreign(self) -> bool:
-        return any(n.tag in ("svg", "math") for n in self.open)
-
-    def close(self, tags, bounds) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag in bounds:
-                return
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                if "tr" not in tags:
-                    return
-
-    def handle_endtag(self, tag):
-        if tag == "head":
-            self.open, self.in_body = [], True
-            return
-        if tag in ("html", "body") or tag in VOID:
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-        if tag == "p":
-            self.place().append(Node("p"))
-
-    def handle_data(self, data):
-        if not self.in_body and not self.open:
-            if not data.strip():
-                return
-            self.in_body = True
-        at = self.place()
-        if at.children and at.children[-1].tag == "#text":
-            at.children[-1].data += data
-        else:
-            at.append(Node("#text", data=data))
-
-    def handle_comment(self, data):
-        (self.place() if self.open or self.in_body else self.root).append(Node("#comment", data=data))
-
-    def handle_decl(self, decl):
-        self.root.append(Node("#doctype", data=decl))
-
-
 def parse(html: str) -> Node:
-    """The document of ``html``, with html, head and body. Never fails: what no rule covers is kept as text."""
-    b = _Builder()
-    b.feed(html)
-    HTMLParser.close(b)
-    b.root.append(b.html)
-    b.html.append(b.head)
-    b.html.append(b.body)
-    return b.root
+    """The document of ``html`` as a browser builds it, with html, head and body. Never fails."""
+    from .markup import build  # it needs this module's nodes
+
+    return build(html)
 
 
 _PART = re.compile(

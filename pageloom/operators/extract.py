@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Iterator
 
 import pandas as pd
@@ -91,7 +92,7 @@ def style_blocks(pages: DataFrame) -> DataFrame:
 FACTS = (
     "page_id bigint, title string, headings array<string>, stylesheets array<string>, n_elements bigint, n_external bigint, "
     "n_stylesheets bigint, n_images bigint, n_scripts bigint, n_style_elements bigint, n_style_attributes bigint, "
-    "styles array<string>, style_attributes array<string>, assets array<string>, links array<string>"
+    "styles array<string>, style_attributes array<string>, assets array<string>, links array<string>, css_files array<string>"
 )
 
 
@@ -129,18 +130,31 @@ def collapse(text: str) -> str:
     return " ".join(text.replace("﻿", " ").split())
 
 
-def facts_of(page_id: int, url: str, html: str) -> dict:
+def local_sheets(path: str, hrefs: list[str]) -> list[str]:
+    """HTM6: files of linked sheets, relative to the output folder, each once, twelve at most."""
+    out = []
+    for href in hrefs:
+        plain = href.split("#")[0].split("?")[0]
+        if not plain or plain.startswith(("http://", "https://", "//", "data:")):
+            continue
+        joined = plain.lstrip("/") if plain.startswith("/") else posixpath.join(posixpath.dirname(path), plain)
+        out.append(posixpath.normpath(joined))
+    return list(dict.fromkeys(out))[:12]
+
+
+def facts_of(page_id: int, url: str, html: str, path: str | None = None) -> dict:
     d = dom.parse(html or "")
     title = d.first("title")
     heads = [collapse(n.text()) for n in d.select("h1, h2, h3")]
     sheets = d.select('link[rel~="stylesheet"][href]')
     styles = d.select("style")
+    hrefs = [n.get("href").strip() for n in sheets]
     assets = dict.fromkeys(r for r in (resolved(x, url, skip_fragments=False) for x in asset_references(d)) if r)
     return {
         "page_id": page_id,
         "title": (collapse(title.text()) or None) if title else None,
         "headings": list(dict.fromkeys(h for h in heads if h))[:6],
-        "stylesheets": [n.get("href").strip() for n in sheets],
+        "stylesheets": hrefs,
         "n_elements": sum(1 for _ in d.elements()),
         "n_external": len(sheets),
         "n_stylesheets": len(sheets) + len(styles),
@@ -152,17 +166,26 @@ def facts_of(page_id: int, url: str, html: str) -> dict:
         "style_attributes": [n.get("style") for n in d.select("[style]") if n.get("style").strip()],
         "assets": list(assets),
         "links": [n.get("href") for n in d.select("a[href]")],
+        "css_files": local_sheets(path, hrefs) if path is not None else [],
     }
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """HTM1, HTM2, HTM5 to HTM9 of parsed documents: one parse a page, one row a page (``FACTS``)."""
+def page_facts(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """HTM1, HTM2, HTM5 to HTM9 of parsed documents: one parse a page, one row a page (``FACTS``, and the columns ``carry``).
+
+    Where pages have a ``path``, ``css_files`` (HTM6) are the files of their sheets.
+    """
+    path = [F.col("path") if "path" in pages.columns else F.lit(None).cast("string")]
+    rows = pages.select("page_id", "url", "html", path[0].alias("_path"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    names = [c.split()[0] for c in FACTS.split(", ")]
+    kinds = "".join(f", {c} {pages.schema[c].dataType.simpleString()}" for c in carry)
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame([facts_of(*r) for r in rows.itertuples(index=False)], columns=[c.split()[0] for c in FACTS.split(", ")])
+        for part in batches:
+            found = pd.DataFrame([facts_of(*r) for r in part.iloc[:, :4].itertuples(index=False)], columns=names)
+            yield found.assign(**{c: part[f"_{k}"].to_numpy() for k, c in enumerate(carry)})
 
-    return pages.select("page_id", "url", "html").mapInPandas(facts, FACTS)
+    return rows.mapInPandas(facts, FACTS + kinds)
 
 
 def asset_urls(pages: DataFrame) -> DataFrame:

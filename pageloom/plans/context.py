@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,31 +11,15 @@ from ..operators.extract import page_facts
 TOTALS = ("html_bytes", "elements", "stylesheets", "inline_css_extracted", "images", "scripts")
 
 
-def _local_sheets(path: str, hrefs: list[str]) -> list[str]:
-    """HTM6: files of linked sheets, relative to the output folder, each once, twelve at most."""
-    out = []
-    for href in hrefs:
-        plain = href.split("#")[0].split("?")[0]
-        if not plain or plain.startswith(("http://", "https://", "//", "data:")):
-            continue
-        joined = plain.lstrip("/") if plain.startswith("/") else posixpath.join(posixpath.dirname(path), plain)
-        out.append(posixpath.normpath(joined))
-    return list(dict.fromkeys(out))[:12]
-
-
 def page_context(pages: DataFrame) -> DataFrame:
-    """REP6: one row per page (``page_id, url, path, depth, status, content_type, html``): title, headings, counts, sheets."""
-    facts = page_facts(pages).withColumnRenamed("page_id", "_id")
-    rows = pages.withColumn("html_bytes", byte_length(F.col("html"))).drop("html").join(facts, F.col("page_id") == F.col("_id"))  # html itself isn't shuffled
-
-    def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            part["css_files"] = [_local_sheets(p, list(h)) for p, h in zip(part["path"], part["stylesheets"], strict=True)]
-            yield part.drop(columns=["stylesheets"])
-
-    kept = rows.select("page_id", "url", "path", "depth", "status", "content_type", "title", "headings", "html_bytes", F.col("n_elements").alias("elements"), F.col("n_stylesheets").alias("n_sheets"), F.col("n_images").alias("images"), F.col("n_scripts").alias("scripts"), "stylesheets")
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "stylesheets")
-    out = kept.mapInPandas(sheets, types + ", css_files array<string>").withColumnRenamed("n_sheets", "stylesheets")
+    """REP6: one row per page (``page_id, url, path, depth, status, content_type, html``): title, headings, counts, sheets.
+
+    One pass over the documents: nothing is shuffled, and html itself goes no further than its parse.
+    """
+    kept = ("url", "path", "depth", "status", "content_type", "html_bytes")
+    rows = page_facts(pages.withColumn("html_bytes", byte_length(F.col("html"))), kept)
+    counts = {"n_elements": "elements", "n_images": "images", "n_scripts": "scripts", "n_stylesheets": "stylesheets"}
+    out = rows.select("page_id", *kept[:5], "title", "headings", "html_bytes", *[F.col(c).alias(n) for c, n in counts.items()], "css_files")
     inline = F.filter("css_files", lambda c: c.contains("/assets/css/inline/"))
     return out.withColumn("inline_css_files", inline).withColumn("inline_css_extracted", F.size("inline_css_files").cast("long"))
 

@@ -432,24 +432,55 @@ def design_pick_colors(spark, d):
 
 # --- context, crawl, resources ---------------------------------------------------------------------------------------
 
+_STYLE = 'h2{font:bold 20px/1.2 "Open Sans",serif;color:#ABC} @media (max-width: 40em){h1,h2>a{font-size:1.5rem}}'
+EXTRA = (
+    '<link rel="stylesheet" href="/css/site.css?v=2"><div class="cookie-banner">accept</div><img data-src="/img/a.png" src="#"><img srcset="b.png 1x, c.png 2x">'
+    '<div data-bg="/img/bg.webp" style="color:red"></div><style>' + _STYLE + "</style></body>"
+)
+_DECORATED = "decorated AS (SELECT * FROM pages WHERE contains(html, '</body>'))"
+
+
+def decorated(spark, d) -> DataFrame:
+    """Pages with markup that the tables lack: a banner, images, sheets, styles."""
+    return pages_of(spark, d).withColumn("html", F.replace("html", F.lit("</body>"), F.lit(EXTRA)))
+
+
+#: Elements of decorated pages as browsers make them. A page's paragraphs leave b elements open: of these the last three
+#: start anew in each later paragraph, in the footer, in the banner and before the images. ``more``: a page is decorated.
+_TREE = r"""
+l AS (SELECT page_id, contains(html, '</body>')::INT AS more, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
+      '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', '<\1>', 'g'), '<([A-Za-z][A-Za-z0-9-]*)', 1) AS tags FROM pages),
+i AS (SELECT page_id, more, lower(unnest(tags)) AS tag, generate_subscripts(tags, 1) AS place FROM l),
+o AS (SELECT *, coalesce(sum((tag = 'b')::INT) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i),
+c AS (SELECT page_id, any_value(more) AS more, count(*) AS tags, coalesce(sum(least(3, before)) FILTER (tag = 'p'), 0) AS anew, least(3, count(*) FILTER (tag = 'b')) AS b,
+      count(*) FILTER (tag = 'style') AS styles, count(*) FILTER (tag = 'script') AS scripts FROM o GROUP BY page_id),
+tree AS (SELECT page_id, CAST(tags + anew + b + more * (6 + 2 * b) AS BIGINT) AS elements, styles + more AS styles, more, scripts FROM c)"""
+
 
 def contexts(spark, d) -> DataFrame:
-    rows = pages_of(spark, d).withColumn("path", U.page_path(F.col("url"), PRIMARY)).withColumn("depth", F.size(F.split("path", "/")) - 2)
+    rows = decorated(spark, d).withColumn("path", U.page_path(F.col("url"), PRIMARY)).withColumn("depth", F.size(F.split("path", "/")) - 2)
     return context.page_context(rows.withColumn("status", F.lit(200)).withColumn("content_type", F.lit("text/html")))
 
 
+_BYTES = f"strlen(replace(html, '</body>', '{EXTRA.replace(chr(39), chr(39) * 2)}'))"
+
+
 @query(
-    f"""WITH h AS (SELECT *, {_HEADS} AS hs FROM pages), u AS (SELECT *, list_filter(range(1, len(hs) + 1), lambda i: list_position(hs, hs[i]) = i) AS keep FROM h)
-SELECT page_id, {_page_path('url')} AS path, nullif({_TITLE}, '') AS title, array_to_string(list_transform(keep, lambda i: hs[i])[:6], ' | ') AS headings,
-       CAST(strlen(html) AS BIGINT) AS html_bytes, CAST(0 AS BIGINT) AS images FROM u"""
+    f"""WITH {_TREE}, h AS (SELECT *, {_HEADS} AS hs FROM pages), u AS (SELECT *, list_filter(range(1, len(hs) + 1), lambda i: list_position(hs, hs[i]) = i) AS keep FROM h)
+SELECT u.page_id, {_page_path('url')} AS path, nullif({_TITLE}, '') AS title, array_to_string(list_transform(keep, lambda i: hs[i])[:6], ' | ') AS headings,
+       CAST({_BYTES} AS BIGINT) AS html_bytes, elements, CAST(styles + more AS BIGINT) AS stylesheets, CAST(more AS BIGINT) AS images, scripts,
+       CASE WHEN more = 1 THEN 'css/site.css' ELSE '' END AS css_files FROM u JOIN tree ON u.page_id = tree.page_id"""
 )
 def page_context(spark, d):
-    return contexts(spark, d).select("page_id", "path", "title", F.array_join("headings", " | ").alias("headings"), "html_bytes", "images")
+    return contexts(spark, d).select("page_id", "path", "title", F.array_join("headings", " | ").alias("headings"), "html_bytes", "elements", "stylesheets", "images", "scripts", F.array_join("css_files", " | ").alias("css_files"))
 
 
-@query("SELECT count(*) AS pages, CAST(sum(strlen(html)) AS BIGINT) AS html_bytes, CAST(0 AS BIGINT) AS inline_css_extracted FROM pages")
+@query(
+    f"""WITH {_TREE} SELECT count(*) AS pages, CAST(sum({_BYTES}) AS BIGINT) AS html_bytes, CAST(sum(elements) AS BIGINT) AS elements, CAST(sum(styles + more) AS BIGINT) AS stylesheets,
+       CAST(0 AS BIGINT) AS inline_css_extracted, CAST(sum(more) AS BIGINT) AS images, CAST(sum(scripts) AS BIGINT) AS scripts FROM tree JOIN pages ON pages.page_id = tree.page_id"""
+)
 def context_totals(spark, d):
-    return context.context_totals(contexts(spark, d)).select("pages", "html_bytes", "inline_css_extracted")
+    return context.context_totals(contexts(spark, d))
 
 
 def edges_of(spark, d) -> DataFrame:
@@ -546,10 +577,8 @@ def rewrite_links_local(spark, d):
 
 # --- pages with made markup ------------------------------------------------------------------------------------------
 
-_STYLE = 'h2{font:bold 20px/1.2 "Open Sans",serif;color:#ABC} @media (max-width: 40em){h1,h2>a{font-size:1.5rem}}'
 _SITE = f"{_parts('url')['scheme']} || '://' || {_parts('url')['host']}"
 #: Pages that ``decorated`` changes.
-_DECORATED = "decorated AS (SELECT * FROM pages WHERE contains(html, '</body>'))"
 
 
 @query()
@@ -558,15 +587,6 @@ def rewrite_html_pages(spark, d):
     return rewrite.rewrite_pages(p, page_resources(spark, d).select("norm_url", "path")).select("page_id", "path", "html")
 
 
-def decorated(spark, d) -> DataFrame:
-    """Pages with markup that the tables lack: a banner, images, sheets, styles."""
-    extra = (
-        '<link rel="stylesheet" href="/css/site.css?v=2"><div class="cookie-banner">accept</div><img data-src="/img/a.png" src="#"><img srcset="b.png 1x, c.png 2x">'
-        '<div data-bg="/img/bg.webp" style="color:red"></div><style>' + _STYLE + "</style></body>"
-    )
-    return pages_of(spark, d).withColumn("html", F.replace("html", F.lit("</body>"), F.lit(extra)))
-
-
 @query()
 def strip_consent(spark, d):
     p = decorated(spark, d).withColumn("path", U.page_path(F.col("url"), PRIMARY))
@@ -625,7 +645,10 @@ def selector_stats(spark, d):
     return tokens.selector_stats(extract.css_rows(extract.css_sources(decorated(spark, d))))
 
 
-@query()
+@query(
+    f"""WITH {_TREE} SELECT count(*) AS pages, CAST(sum(elements) AS BIGINT) AS elements, CAST(sum(more) AS BIGINT) AS external_stylesheets,
+       CAST(sum(styles) AS BIGINT) AS inline_style_elements, CAST(sum(more) AS BIGINT) AS inline_style_attributes FROM tree"""
+)
 def html_stats(spark, d):
     return extract.html_stats(decorated(spark, d))
 
