@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.options import Options
@@ -14,6 +15,12 @@ from ..sources.scratch import written
 from .scope import in_scope
 
 
+FRONTIER = "url string, depth int, parent_url string, seq bigint, visited boolean"
+LINKS = "src string, link_seq int, dst string"
+#: A function from the pages of a level (``url, depth, parent_url, seq``, by seq) to their links (``LINKS`` and more).
+Handler = Callable[[DataFrame], DataFrame]
+
+
 def frontier(edges: DataFrame, seed: str, max_depth: int, max_pages: int | None = None, scope: Column | None = None) -> DataFrame:
     """J1, LIM1, FLT6, CRW2 to CRW6: ``url, depth, parent_url, seq, visited``: every address that is queued.
 
@@ -22,14 +29,18 @@ def frontier(edges: DataFrame, seed: str, max_depth: int, max_pages: int | None
     lead on; ``seq`` is their place (null for the rest). ``scope`` is a predicate on ``dst``; the seed is exempt.
     One join a level, ``max_depth`` levels; the frontier of a level is ranked only as far as the budget goes.
     """
-    spark = edges.sparkSession
     if scope is not None:
         edges = edges.where(scope)
-    level = spark.createDataFrame([(seed, 0, None, 0, True)], "url string, depth int, parent_url string, seq bigint, visited boolean")
+    return _grown(edges.sparkSession, seed, lambda level: edges.join(level.select(F.col("url").alias("src")), "src", "left_semi"), max_depth, max_pages)
+
+
+def _grown(spark: SparkSession, seed: str, links_of: Handler, max_depth: int, max_pages: int | None) -> DataFrame:
+    """The frontier, level by level; ``links_of`` is asked for the links of each level's visited pages but the last's."""
+    level = spark.createDataFrame([(seed, 0, None, 0, True)], FRONTIER)
     done, found, used = [level], level.select("url"), 1
     for depth in range(1, max_depth + 1):
-        open_ends = level.where("visited")
-        met = edges.join(open_ends.select(F.col("url").alias("src"), F.col("seq").alias("parent_seq")), "src")
+        open_ends = level.where("visited").drop("visited")
+        met = links_of(open_ends).join(open_ends.select(F.col("url").alias("src"), F.col("seq").alias("parent_seq")), "src")
         met = met.groupBy("dst").agg(F.min(F.struct("parent_seq", "link_seq", "src")).alias("first"))
         new = met.join(found.withColumnRenamed("url", "dst"), "dst", "left_anti")
         new = new.select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.col("first.src").alias("parent_url"), "first")
@@ -56,6 +67,41 @@ def frontier(edges: DataFrame, seed: str, max_depth: int, max_pages: int | None
     return out
 
 
+@dataclass(frozen=True)
+class Explored:
+    """What a crawl by handler came to: its frontier, and all rows that the handler returned, with their level (``depth``)."""
+
+    frontier: DataFrame
+    handled: DataFrame
+
+
+def explore(spark: SparkSession, seed: str, handler: Handler, max_depth: int, max_pages: int | None = None, scope: Column | None = None) -> Explored:
+    """UDF4, CRW5: the frontier of a site that is known only as far as ``handler`` is asked.
+
+    ``handler`` is called once a level, with the level's visited pages, and returns a row for each link of these (with
+    ``LINKS``; addresses are normalised here), or a row without ``dst`` for a page that has none; any other columns stay
+    in ``handled``. Its rows are written before anything reads them, so what it does is done once. If it fails, the crawl
+    fails. The last level is handled, too, but leads no further. A handler sees at most ``max_pages`` pages in all.
+    """
+    levels: list[DataFrame] = []
+
+    def asked(level: DataFrame) -> DataFrame:
+        rows = written(handler(level.orderBy("seq")), "handled")
+        levels.append(rows.withColumn("depth", F.lit(len(levels))))
+        links = rows.where("dst is not null").select(normalize_url(F.col("src")).alias("src"), "link_seq", normalize_url(F.col("dst")).alias("dst"))
+        return links if scope is None else links.where(scope)
+
+    start = Url(seed).normalized()
+    found = _grown(spark, start, asked, max_depth, max_pages)
+    last = found.where(F.col("visited") & (F.col("depth") == max_depth)).drop("visited")
+    if len(levels) == max_depth and not last.isEmpty():
+        asked(last)
+    handled = levels[0]
+    for rows in levels[1:]:
+        handled = handled.unionByName(rows)
+    return Explored(found, handled)
+
+
 def numbered_in_order(rows: DataFrame, order: list[str], start: int) -> DataFrame:
     """``url, seq``: places from ``start`` on in an order, by ranges: places inside a range, after the rows of those before."""
     ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")

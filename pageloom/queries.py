@@ -13,6 +13,8 @@ from .functions import urls as U
 from .functions.options import Options, parse_int_option
 from .operators import crawl, extract, resources, rewrite, scope, tokens
 from .plans import context, report
+from .sources.scratch import scratch_path
+from .streaming import streams
 
 SEED = "https://blog.tionsh.example.net/es/533/"
 CUSTOM = Options(SEED, scope="custom", include=("https://*.example.com/en/**", "https://*.example.net/**"), exclude=("**/7*",))
@@ -496,18 +498,54 @@ w AS (SELECT CAST(1 AS BIGINT) AS k, 0 AS depth, CAST([] AS INT[]) AS way, CAST(
 f AS (SELECT k, min(depth) AS depth, arg_min(way, {'d': depth, 'w': way}) AS way, arg_min(parent, {'d': depth, 'w': way}) AS parent FROM w GROUP BY k)"""
 
 
-@query(_BFS + " SELECT 'https://site.example.com/p/' || k AS url, depth FROM f")
+_PLACED = ", r AS (SELECT *, row_number() OVER (ORDER BY depth, way) - 1 AS place FROM f) "
+_ALL_QUEUED = (
+    _BFS + _PLACED + """SELECT 'https://site.example.com/p/' || k AS url, depth, place AS seq, true AS visited,
+       CASE WHEN depth > 0 THEN 'https://site.example.com/p/' || parent END AS parent_url FROM r"""
+)
+_TWENTY = (
+    _BFS + _PLACED + """SELECT 'https://site.example.com/p/' || r.k AS url, r.depth, CASE WHEN r.place < 20 THEN r.place END AS seq, r.place < 20 AS visited,
+       CASE WHEN r.depth > 0 THEN 'https://site.example.com/p/' || r.parent END AS parent_url FROM r LEFT JOIN r p ON p.k = r.parent WHERE r.depth = 0 OR p.place < 20"""
+)
+START = "https://site.example.com/p/1"
+
+
+@query(_ALL_QUEUED)
 def crawl_bfs(spark, d):
-    return crawl.frontier(edges_of(spark, d), "https://site.example.com/p/1", 6).select("url", "depth")
+    return crawl.frontier(edges_of(spark, d), START, 6)
+
+
+@query(_TWENTY)
+def crawl_bfs_limited(spark, d):
+    return crawl.frontier(edges_of(spark, d), START, 6, 20)
+
+
+@query(_ALL_QUEUED)
+def crawl_by_handler(spark, d):
+    """The same site, known only as far as a handler is asked for the links of a level."""
+    edges = edges_of(spark, d)
+    return crawl.explore(spark, START, lambda level: edges.join(level.select(F.col("url").alias("src")), "src"), 6).frontier
 
 
 @query(
     _BFS + """, r AS (SELECT *, row_number() OVER (ORDER BY depth, way) - 1 AS place FROM f)
-SELECT 'https://site.example.com/p/' || r.k AS url, r.depth, CASE WHEN r.place < 20 THEN r.place END AS seq, r.place < 20 AS visited,
-       CASE WHEN r.depth > 0 THEN 'https://site.example.com/p/' || r.parent END AS parent_url FROM r LEFT JOIN r p ON p.k = r.parent WHERE r.depth = 0 OR p.place < 20"""
+SELECT depth, count(DISTINCT k) AS pages, count(src) AS links FROM r LEFT JOIN e ON e.src = r.k WHERE place < 20 GROUP BY depth"""
 )
-def crawl_bfs_limited(spark, d):
-    return crawl.frontier(edges_of(spark, d), "https://site.example.com/p/1", 6, 20).select("url", "depth", "seq", "visited", "parent_url")
+def crawl_handled(spark, d):
+    """Pages and links that a handler was asked for, by level."""
+    edges = edges_of(spark, d)
+
+    def handler(level: DataFrame) -> DataFrame:
+        return level.select(F.col("url").alias("src")).join(edges, "src", "left").select("src", "link_seq", "dst")
+
+    handled = crawl.explore(spark, START, handler, 6, 20).handled
+    return handled.groupBy("depth").agg(F.count_distinct("src").alias("pages"), F.count("dst").alias("links"))
+
+
+@query(_TWENTY)
+def crawl_by_stream(spark, d):
+    """The same site by way of streams with state by address; every level starts the stream anew from its checkpoint."""
+    return streams.crawl_stream(edges_of(spark, d), START, scratch_path(spark, "crawl-stream"), 6, 20)
 
 
 def crawl_pages(spark, d):

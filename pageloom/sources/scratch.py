@@ -5,16 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Temporary folders of local applications whose session names none.
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` (a temporary folder where a local master sets none) and read back."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A fresh path under ``spark.checkpoint.dir`` (a temporary folder where a local master sets none); it is deleted when the
+    driver's JVM ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         context = spark.sparkContext
@@ -25,5 +25,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{at.rstrip('/')}/pageloom/{what}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to a scratch path and read back."""
+    path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -255,20 +255,13 @@ def test_sinks_and_sources(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    src, out = tmp_path / "in", tmp_path / "out"
+    src = tmp_path / "in"
     frame(spark, [("color", "#abc"), ("margin", "1px 2px")], "prop string, value string").write.parquet(str(src))
     stream = spark.readStream.schema("prop string, value string").parquet(str(src))
     q = streams.running_tokens(stream).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").count() == 4
-    links = tmp_path / "links"
-    frame(spark, [("a",), ("a",), ("b",)], "normalized string").write.parquet(str(links))
-    for n in (1, 2):
-        q = streams.grow_frontier(spark.readStream.schema("normalized string").parquet(str(links)), str(out), str(tmp_path / f"c{n + 1}")).start()
-        q.processAllAvailable()
-        q.stop()
-        assert spark.read.parquet(str(out)).count() == 2
     sinks.save_events(frame(spark, [("2024-01-01T00:00:00Z", "page-start")], "timestamp string, type string"), str(tmp_path))
     log = streams.read_events(spark, str(tmp_path / "scrape-log.jsonl"))
     q = streams.progress_by_minute(log).writeStream.format("memory").queryName("log").outputMode("update").option("checkpointLocation", str(tmp_path / "c9")).start()
@@ -344,17 +337,3 @@ def test_stored_files_of_a_folder_with_signs(spark, tmp_path):
     (root / "a b.css").write_text("yy")
     for path in (str(root), f"file://{root}", f"{root}/"):
         assert {(r.path, r.size) for r in tables.stored_files(spark, path).collect()} == {("pages/index.html", 1), ("a b.css", 2)}
-
-
-def test_frontier_stream_fails_on_a_broken_table(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    links = spark.createDataFrame([("a",), ("b",), ("a",)], "normalized string")
-    links.write.mode("append").parquet(f"{tmp_path}/in")
-    run = lambda n: streams.grow_frontier(spark.readStream.schema("normalized string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c{n}").trigger(availableNow=True).start().awaitTermination()
-    run(1)
-    run(2)  # all again: nothing is new
-    assert sorted(r.normalized for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
-    for f in (tmp_path / "out").glob("part-*"):
-        f.write_bytes(b"broken")
-    with pytest.raises(Exception, match="(?i)stream|parquet|fail"):
-        run(3)
