@@ -80,7 +80,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 #: At most so many keys are hot, and a key of fewer rows than LEAST_HOT never is.
-MAX_HOT, LEAST_HOT = 200_000, 500
+MAX_HOT, LEAST_HOT = 20_000, 500
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -88,13 +88,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     shuffle. ``total``: rows of all keys in all, or more. Give it ``groups`` that are cheap to read twice.
 
     A key is hot from total / MAX_HOT rows on, so there are at most MAX_HOT hot keys whatever the input, and a task of
-    the shuffle gets no key with more rows than that (500,000 of 10^11).
+    the shuffle gets no key with more rows than that (5 million narrow rows of 10^11). One table of the hot keys, a few
+    MB if ``groups`` has a few numbers a key, serves both sides.
     """
     least = max(LEAST_HOT, total / MAX_HOT)
-    hot = groups.where(F.col(size) >= least)
-    cold = groups.where(F.col(size) < least)
-    few = rows.join(F.broadcast(hot), key)
-    many = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    others = [c for c in groups.columns if c != key]
+    hot = F.broadcast(groups.where(F.col(size) >= least).select(key, F.struct(*others).alias("_hot")))
+    met = rows.join(hot, key, "left")
+    few = met.where("_hot is not null").select(*rows.columns, "_hot.*")
+    many = met.where("_hot is null").select(*rows.columns).join(groups.where(F.col(size) < least), key).select(*rows.columns, *others)
     return few.unionByName(many)
 
 

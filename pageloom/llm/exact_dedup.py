@@ -105,14 +105,16 @@ class DigestIndex:
         found = written(found, "digest-found")
         if not found.where((F.col("found.batch") == batch) & ~(F.col("found.keep_id").eqNullSafe(F.col("keep_here")) & (F.col("found.n") == F.col("here")))).isEmpty():
             raise ValueError(f"batch {batch} was added with other documents")
-        both = join_groups(rows, found.drop("keep_here"), "digest", "here", total)
         new = F.col("found.batch") == batch
+        size = F.col("here") + F.when(new, 0).otherwise(F.col("found.n"))
+        narrow = found.select("digest", "here", F.col("found.keep_id").alias("keep_id"), size.cast("long").alias("group_size"), new.alias("new"))
+        both = join_groups(rows, narrow, "digest", "here", total)
         return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
             "doc_id",
             "digest",
-            F.col("found.keep_id").alias("keep_id"),
-            (F.col("found.here") + F.when(new, 0).otherwise(F.col("found.n"))).cast("long").alias("group_size"),
-            (new & F.col("doc_id").eqNullSafe(F.col("found.keep_id")) & (F.col("copy") == 1)).alias("kept"),
+            "keep_id",
+            "group_size",
+            (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
             "copies",
         )
 

@@ -11,9 +11,9 @@
    larger ones 30 runs in the mean and fewer than 4 with a probability of about 1e-6. So each text leaves the longest of
    its lists, one less than the runs it is to share: in the order of length, then key, the least list that two linked
    texts share is kept by both. A common passage's lists thus vanish unless the passage is most of a text.
-3. Labels say which texts are in one component for certain; equal sets share one from the start. In two rounds each list
-   that holds several labels compares its members with one of them, its head (first the one with most copies): as many
-   pairs as members. The union of the two sketches rejects pairs clearly below the threshold, full sets confirm the
+3. Labels say which texts are in one component for certain; equal sets share one from the start. In four rounds an
+   eighth or a quarter of the lists, if they hold several labels (in the last two, several clusters; see below), compare
+   their members with one of them, the head (first the one with most copies, then others): as many pairs as members. The union of the two sketches rejects pairs clearly below the threshold, full sets confirm the
    others, and confirmed links join labels. A large group of near copies is then one label.
 4. Pairs that may be linked, confirmed or not, give clusters. In lists that still hold several clusters all pairs of
    different ones are met: those of a short list one by one, a long one in blocks, in which the union sketches of all
@@ -45,8 +45,8 @@ RUNS = ((5, 128, 1 << 62), (4, 4, WHOLE), (3, 3, 24), (2, 2, 8), (1, 1, 2))
 #: Runs that linked texts share at least, by length: a part of a set's size, rounded up, less a number (of large sets just a
 #: number). Of a union of u values b <= u / 5 are in one set alone and leave u - b - (run - 1) * (b + 1) runs of the others.
 SHARED = {5: (0.0, -4), 4: (0.2, 3), 3: (0.4, 3), 2: (0.6, 2), 1: (0.0, -1)}
-#: The first and the second round of heads take one key in so many; no link rests on them.
-FEW, SOME = 8, 2
+#: Rounds of heads: each takes one key in so many, those with this remainder; no link rests on them.
+ROUNDS = ((8, 0), (8, 1), (4, 2), (4, 3))
 #: Lists up to this length pair all members one by one.
 SHORT = 12
 #: Estimated similarity below which a pair isn't compared by full sets (links have 0.8).
@@ -384,10 +384,12 @@ def linked_sets(documents: DataFrame, usable: DataFrame, reps: DataFrame, labels
     sides = usable.select("doc_id", "sketch")
     sets = written(full_sets(documents, written(lists.select("doc_id").distinct(), "near-members"), shingle), "near-sets")
 
-    few, some = (lists.where(f"pmod(shiftright(key, 3), {n}) = 0") for n in (FEW, SOME))
     clusters = labels
-    for part, head in ((few, F.struct("copies", -F.col("doc_id"), "doc_id", "label", "n")), (some, F.struct(F.xxhash64("doc_id"), "doc_id", "label", "n"))):
-        now = labelled(part, labels)
+    for turn, (many, rest) in enumerate(ROUNDS):
+        # first the member with most copies, then another one each time
+        head = F.struct("copies", -F.col("doc_id"), "doc_id", "label", "n") if not turn else F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "label", "n")
+        # first links are looked for; later what may be linked, of which nothing more is to learn inside a cluster
+        now = labelled(lists.where(f"pmod(shiftright(key, 3), {many}) = {rest}"), labels if turn < 2 else clusters)
         pairs = now.join(mixed(now, "key", head), "key").where(F.col("label") != F.col("head.label")).where(sizes_fit("n", "head.n"))
         maybe = written(likely(pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), sides), "near-likely")
         labels = merged(labels, linked(maybe, sets, percent))
