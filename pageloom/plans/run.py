@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.options import Options
 from ..functions.urls import Url, normalize_url
 from ..operators import crawl, extract, resources, rewrite
-from ..sources import sinks, tables
+from ..sources import runs, sinks, tables
 from ..sources.scratch import written
 from . import context, report
 
@@ -117,11 +117,38 @@ def postprocess(spark: SparkSession, folder: str, files: DataFrame | None = None
     files below ``folder``); assets override pages of the same address. Pages and assets without a stored file are left out."""
     listed = tables.manifest(spark, folder)
     files = files if files is not None else tables.stored_files(spark, folder).select("path", "body")
-    page_map = listed["pages"].select(normalize_url(F.col("url")).alias("norm_url"), "path", F.lit("page").alias("kind"), F.col("ordinal").cast("long").alias("seq"))
-    asset_map = resources.asset_mappings(listed["assets"].select("url", "path", F.col("ordinal").alias("seq")))
+    return processed(listed["pages"], listed["assets"], files, single_file, strip_consent)
+
+
+def processed(pages: DataFrame, assets: DataFrame, files: DataFrame, single_file: bool, strip_consent: bool) -> DataFrame:
+    """Pages rewritten again, given listed pages and assets (``ordinal, url, path``; of assets ``contentType``) and files."""
+    page_map = pages.select(normalize_url(F.col("url")).alias("norm_url"), "path", F.lit("page").alias("kind"), F.col("ordinal").cast("long").alias("seq"))
+    asset_map = resources.asset_mappings(assets.select("url", "path", F.col("ordinal").alias("seq")))
     known = resources.resource_map(page_map.where("norm_url is not null"), asset_map)
-    bodies = listed["assets"].join(files, "path").select("url", F.col("contentType").alias("content_type"), "body")
+    bodies = assets.join(files, "path").select("url", F.col("contentType").alias("content_type"), "body")
     html = files.select("path", F.col("body").cast("string").alias("html"))
-    pages = listed["pages"].join(html, "path").select(F.col("ordinal").cast("long").alias("page_id"), "url", "path", "html")
-    names = resources.basename_mappings(listed["assets"].select("path", F.col("ordinal").alias("seq")))
-    return rewrite.rewrite_pages(pages, known.select("norm_url", "path"), bodies, names, single_file, strip_consent, None, files)
+    own = pages.join(html, "path").select(F.col("ordinal").cast("long").alias("page_id"), "url", "path", "html")
+    names = resources.basename_mappings(assets.select("path", F.col("ordinal").alias("seq")))
+    return rewrite.rewrite_pages(own, known.select("norm_url", "path"), bodies, names, single_file, strip_consent, None, files)
+
+
+def stored_rows(run: Run, finished_at: str = "") -> DataFrame:
+    """What a run stores, as rows of ``sources.runs``: rewritten pages, and each asset's entry; a file is stored once."""
+    page = run.pages.select(
+        F.lit("page").alias("role"), F.col("page_id").alias("ordinal"), "url", "path", F.col("depth").cast("int").alias("depth"), F.col("status").cast("int").alias("status"),
+        "content_type", F.lit(finished_at).alias("timestamp"), F.col("html").cast("binary").alias("body"),
+    )
+    css = run.sheets.select("path", F.col("css").cast("binary").alias("css")).dropDuplicates(["path"])
+    asset = run.assets.join(css, "path", "left").select(F.lit("asset").alias("role"), F.col("seq").alias("ordinal"), "url", "path", "content_type", F.coalesce("css", "body").alias("body"))
+    made = run.pages.select(F.col("page_id").alias("ordinal"), F.explode("assets").alias("a")).select(F.lit("asset").alias("role"), "ordinal", F.col("a.source_url").alias("url"), "a.path", F.lit("text/css").alias("content_type"), F.col("a.content").cast("binary").alias("body"))
+    return page.unionByName(asset, allowMissingColumns=True).unionByName(made, allowMissingColumns=True)
+
+
+def postprocess_stored(spark: SparkSession, folder: str, single_file: bool = True, strip_consent: bool = True) -> None:
+    """RW13: rewrites the pages of a run stored by ``sources.runs`` in place: the new pages are stored aside, and one marker
+    makes them the run, with its assets as they are. If it is broken off the run is what it was, and may be done again."""
+    pages, assets = (runs.load_run(spark, folder, bodies=False, role=r).withColumn("contentType", F.col("content_type")) for r in ("page", "asset"))
+    files = runs.load_run(spark, folder).select("path", "body").dropDuplicates(["path"])
+    made = processed(pages, assets, files, single_file, strip_consent).select("path", F.col("html").cast("binary").alias("body"))
+    rows = pages.join(made, "path", "left").withColumn("stored", F.when(F.col("body").isNull(), F.col("stored")))
+    runs.save_run(rows.unionByName(assets, allowMissingColumns=True), folder)
