@@ -136,12 +136,20 @@ def gauges(front: DataFrame) -> Gauges:
 def start_times(arrivals: DataFrame, delay_ms: int) -> DataFrame:
     """WIN4: ``seq, arrival_ms, start_ms``: starts at least ``delay_ms`` apart, none before its arrival, in order of seq.
 
-    start_i = max over j <= i of arrival_j + (i - j) * delay: a running maximum. For a run's own (bounded) frontier.
+    start_i = max over j <= i of arrival_j + (i - j) * delay: a running maximum of what arrivals are ahead of an even pace.
+    It is taken inside ranges of seq, and over one row a range.
     """
-    order = Window.orderBy("seq")
-    place = F.row_number().over(order)
-    lag = F.max(F.col("arrival_ms") - F.col("_i") * delay_ms).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return arrivals.withColumn("_i", place.cast("long")).withColumn("start_ms", lag + F.col("_i") * delay_ms).select("seq", "arrival_ms", "start_ms")
+    ranged = written(arrivals.select("seq", "arrival_ms").repartitionByRange("seq").withColumn("_part", F.spark_partition_id()), "arrivals")
+    order = Window.partitionBy("_part").orderBy("seq")
+    rows = ranged.withColumn("_i", F.row_number().over(order).cast("long")).withColumn("_ahead", F.col("arrival_ms") - F.col("_i") * delay_ms)
+    rows = rows.withColumn("_most", F.max("_ahead").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy("_part").agg(F.max("_ahead").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    parts = parts.withColumn("_ahead_before", F.max(F.col("_top") - F.col("_before") * delay_ms).over(earlier)).drop("_top", "_n")
+    most = F.greatest(F.col("_ahead_before"), F.col("_most") - F.col("_before") * delay_ms)  # nulls are passed over
+    start = most + (F.col("_before") + F.col("_i")) * delay_ms
+    return rows.join(F.broadcast(parts), "_part").select("seq", "arrival_ms", start.cast("long").alias("start_ms"))
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:

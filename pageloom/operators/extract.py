@@ -244,15 +244,16 @@ def import_closure(roots: DataFrame, responses: DataFrame, max_assets: int = 500
     path = F.lower(F.regexp_extract("url", r"^[^?]*", 0))
     sheets = known.where(F.coalesce(F.lower("content_type").contains("text/css"), F.lit(False)) | path.endswith(".css"))
     refs = css_references(sheets.select(F.col("url").alias("sheet_url"), "css"))
-    # imports come before assets in the order of discovery
-    refs = refs.withColumn("at", F.when(F.col("kind") == "import", F.col("ref_seq")).otherwise(F.col("ref_seq") + (1 << 20)))
+    # imports come before assets in the order of discovery; written, so that every sheet is parsed once for all steps and pages
+    refs = written(refs.withColumn("at", F.when(F.col("kind") == "import", F.col("ref_seq")).otherwise(F.col("ref_seq") + (1 << 20))), "references")
+    known = written(known.select("url"), "responses")
     level = roots.select("page_id", F.col("asset_url").alias("url"), F.lit(0).alias("css_depth"), F.array(F.col("asset_seq").cast("long")).alias("order"))
     found = None
     # assets of a sheet may be sheets again at the same depth, so a level is a step of discovery; each url is met once a
     # page, and a page that has max_assets goes no further: at most max_assets steps
     while True:
         first = Window.partitionBy("page_id", "url").orderBy("order")
-        level = level.join(known.select("url"), "url", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        level = level.join(known, "url", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
         if found is not None:
             level = level.join(found.select("page_id", "url"), ["page_id", "url"], "left_anti")
         level = written(level, "level")

@@ -26,9 +26,23 @@ def _alternatives(body: str, opening: str, closing: str) -> tuple[list[str], int
     raise ValueError("unbalanced")
 
 
+_RANGE = re.compile(r"\{([^{},/]*\.\.[^{},/]*)\}")
+
+
+def _range(ends: list[str]) -> str:
+    """``{a..c}``: one character of a class from the least end on, whatever its length, as globs read it; if that is no
+    class, the ends as written."""
+    made = f"[{'-'.join(sorted(ends))}]"
+    try:
+        re.compile(made)
+        return made
+    except re.error:
+        return r"\.\.".join(re.escape(e) for e in sorted(ends))
+
+
 def glob_to_regex(glob: str) -> str:
-    """FLT4: ``*`` and ``?`` stay inside a segment, ``**`` crosses them as a segment of its own; braces, classes and
-    extended groups work; segments that start with a dot need one in the pattern."""
+    """FLT4: ``*`` and ``?`` stay inside a segment, ``**`` crosses them as a segment of its own; braces, ranges, classes
+    and extended groups work; segments that start with a dot need one in the pattern."""
 
     def convert(g: str, start: bool) -> str:
         out, i = "", 0
@@ -66,6 +80,9 @@ def glob_to_regex(glob: str) -> str:
             elif c == "?":
                 out += no_dot + "[^/]"
                 i += 1
+            elif c == "{" and (dots := _RANGE.match(g, i)):
+                out += _range(dots[1].split(".."))
+                i = dots.end()
             elif c == "{" and "," in g[i:]:
                 try:
                     parts, n = _alternatives(g[i:], "{", "}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import css_tokens as T
+from ..sources.scratch import written
 
 #: Categories of counts.
 CATEGORIES = (
@@ -45,9 +46,16 @@ def count_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """SRT1: with ``rank`` in each category: by count, then by the value's collation."""
-    order = Window.partitionBy("category").orderBy(F.col("n").desc(), F.collate("value", "UNICODE"), "value")
-    return counts.withColumn("rank", F.row_number().over(order))
+    """SRT1: with ``rank`` in each category: by count, then by the value's collation.
+
+    Places inside sorted ranges, after the category's rows in the ranges before, so a category of any size is many tasks.
+    """
+    order = [F.col("n").desc(), F.collate("value", "UNICODE"), "value"]
+    ranged = written(counts.repartitionByRange("category", *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("category", "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range of a category
+    before = sizes.select("category", "_part", (F.sum("_n").over(Window.partitionBy("category").orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("category", "_part").orderBy(*order))
+    return ranged.withColumn("rank", inside).join(F.broadcast(before), ["category", "_part"]).select(*counts.columns, (F.col("_before") + F.col("rank")).cast("int").alias("rank"))
 
 
 def totals(counts: DataFrame) -> DataFrame:

@@ -94,6 +94,15 @@ def process(pages: DataFrame, options: Options, responses: DataFrame | None = No
     return Run(options, front, made, assets, sheets, denied.unionByName(missing).unionByName(rewriting), rows, context.page_context(made), snapshots)
 
 
+def page_starts(run: Run, started_at: str = "") -> DataFrame:
+    """CRW7, SNK5: a ``page-start`` event for each admitted page, at the time that the run's pacing gives it (all wait from
+    the start on; ``startMs`` counts from there)."""
+    admitted = run.pages.select(normalize_url(F.col("url")).alias("norm_url"), "url", "depth").join(run.frontier.where("visited").select(F.col("url").alias("norm_url"), "seq"), "norm_url")
+    paced = crawl.start_times(admitted.select("seq", F.lit(0).cast("long").alias("arrival_ms")), run.options.delay_ms)
+    rows = admitted.join(paced, "seq").select(F.lit(started_at).alias("timestamp"), F.lit("page-start").alias("type"), "url", "depth", "seq", F.col("start_ms").alias("startMs"))
+    return rows.orderBy("seq")
+
+
 def save(run: Run, folder: str, started_at: str = "", finished_at: str = "") -> None:
     """Everything that a run leaves: pages, assets, sheets, errors, manifest, design document and page index."""
     require_captured(run.pages)
@@ -102,6 +111,7 @@ def save(run: Run, folder: str, started_at: str = "", finished_at: str = "") ->
     extracted = run.pages.select(F.explode("assets").alias("a")).select("a.path", F.col("a.content").cast("binary").alias("body"))
     sheets = run.sheets.select("path", F.col("css").cast("binary").alias("body"))
     sinks.save_assets(run.assets.where("kind <> 'css'").select("path", "body").unionByName(sheets).unionByName(extracted), folder)
+    sinks.save_events(page_starts(run, started_at), folder)
     listed = run.pages.select(F.col("page_id").alias("ordinal"), "url", "path", "depth", "status", F.col("content_type").alias("contentType"), F.lit(finished_at).alias("timestamp"))
     kept = run.assets.select(F.col("seq").alias("ordinal"), "url", "path", F.col("content_type").alias("contentType"), "size", "hash")
     failed = run.errors.select(F.hash("url", "error").alias("ordinal"), "url", "error", "phase", F.lit(finished_at).alias("timestamp"))

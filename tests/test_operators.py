@@ -1,9 +1,13 @@
+import random
+import re
+
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.options import Options
-from pageloom.operators import crawl, extract, resources, rewrite, tokens
+from pageloom.operators import crawl, extract, resources, rewrite, scope, tokens
 from pageloom.plans import context, report
 from pageloom.sources import sinks, tables
 from pageloom.streaming import streams
@@ -337,3 +341,33 @@ def test_stored_files_of_a_folder_with_signs(spark, tmp_path):
     (root / "a b.css").write_text("yy")
     for path in (str(root), f"file://{root}", f"{root}/"):
         assert {(r.path, r.size) for r in tables.stored_files(spark, path).collect()} == {("pages/index.html", 1), ("a b.css", 2)}
+
+
+def test_ranks_and_starts_over_many_ranges(spark):
+    rng = random.Random(8)
+    counts = [(rng.choice(["a", "a", "a", "b"]), f"v{k}", rng.randint(1, 9)) for k in range(400)] + [("a", "V1", 3), ("a", "é", 3)]
+    table = spark.createDataFrame(counts, "category string, value string, n bigint")
+    ranked = tokens.ranked(table)
+    order = Window.partitionBy("category").orderBy(F.col("n").desc(), F.collate("value", "UNICODE"), "value")
+    wanted = table.withColumn("rank", F.row_number().over(order))
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, wanted.collect()))
+    arrivals = [(k, rng.randint(0, 40_000)) for k in range(0, 300, 3)]
+    got = {r.seq: r.start_ms for r in crawl.start_times(spark.createDataFrame(arrivals, "seq bigint, arrival_ms bigint").repartition(7), 500).collect()}
+    last = None
+    for seq, arrival in arrivals:
+        last = arrival if last is None else max(arrival, last + 500)
+        assert got[seq] == last
+
+
+def test_sheets_are_parsed_once_for_all_steps(spark):
+    chain = [(f"https://a.example/{k}.css", "text/css", f"@import 'x'; @import url({k + 1}.css);".encode()) for k in range(12)]
+    roots = spark.createDataFrame([(1, 0, chain[0][0]), (2, 0, chain[3][0])], "page_id bigint, asset_seq int, asset_url string")
+    made = extract.import_closure(roots, spark.createDataFrame(chain, "url string, content_type string, body binary"), max_depth=20)
+    assert made.where("page_id = 1").count() == 12 and made.where("page_id = 2").count() == 9
+    assert "MapInPandas" not in made._jdf.queryExecution().toString()
+
+
+def test_brace_ranges():
+    for glob, good, bad in (("{1..3}", "123", "04"), ("p{a..c}", ["pa", "pc"], ["pd", "p{a..c}"]), ("{10..12}", "012", "3"), ("{b..a}", "ab", "c")):
+        found = re.compile(scope.glob_to_regex(glob))
+        assert all(found.match(g) for g in good) and not any(found.match(b) for b in bad), glob
