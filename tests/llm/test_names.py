@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pageloom.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, quality, rans, secrets, sharding, token_counts
+from pageloom.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, periodic, quality, rans, secrets, sharding, token_counts, toxicity
 
 HERE = Path(near_dedup.__file__).parent
 #: Every name that a column gets somewhere in the operators' code.
@@ -30,6 +30,7 @@ def test_operators(spark, odd):
     assert mixing.mixing_plan(odd).count() == near_dedup.near_components(odd, 2).count() == len(ROWS)
     assert fingerprints.edited_report(odd).count() == rans.round_trip(odd).count() == secrets.secret_report(odd).count() == len(ROWS)
     assert token_counts.count_tokens(token_counts.with_middle_edit(odd)).count() == packing.pack(odd).count() == len(ROWS)
+    assert periodic.runs_report(odd).count() == toxicity.classify(odd, labels.withColumnRenamed("quality", "toxic")).count() == len(ROWS)
     for key in ("doc_id", "shard", "slot"):
         placed = sharding.place(odd, ["x", "y"], key=key, size=101)
         assert placed.count() == len(ROWS) and {r.shard for r in placed.select("shard").collect()} <= {"x", "y"}
