@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..functions import css_tokens as T
 from ..operators.crawl import FRONTIER, numbered_in_order
 from ..sources.scratch import written
 
+#: Name of the metrics that a query reports.
+COUNTERS = "pageloom_counters"
 EVENT = "timestamp timestamp, type string, payload string"
 
 
@@ -46,6 +48,38 @@ def progress_by_minute(events: DataFrame, lateness: str = "10 minutes") -> DataF
     return events.withWatermark("timestamp", lateness).groupBy(F.window("timestamp", "1 minute"), "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Counters(StreamingQueryListener):
+    """STR5, SNK10: the counts of ``with_counters``, summed over the batches of running queries as these end; a batch that
+    is repeated after a restart counts once."""
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    @property
+    def counts(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for batch in list(self.batches.values()):
+            for name, n in batch.items():
+                out[name] = out.get(name, 0) + n
+        return out
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(COUNTERS)
+        if found is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = found.asDict()
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def with_counters(rows: DataFrame, **which: Column) -> DataFrame:
+    """``rows``, of which a running query counts those that each predicate names (``ok=..., failed=..., queued=...``)."""
+    return rows.observe(COUNTERS, *[F.count_if(c).alias(name) for name, c in which.items()])
+
+
 #: Links of visited pages as a stream: the page with its depth and place in the frontier, and where the link leads.
 LINK_EVENTS = "src string, depth int, seq bigint, link_seq int, dst string"
 MET = "depth int, parent_url string, parent_seq bigint, link_seq int"

@@ -141,3 +141,20 @@ def test_addresses_are_forgotten_in_time(spark, tmp_path):
             row.write.mode("append").parquet(links)
     finally:
         found.stop()
+
+
+def test_counters_of_a_running_query(spark, tmp_path):
+    kinds = ["page-saved"] * 5 + ["page-error"] * 2 + ["page-start"] * 9
+    spark.createDataFrame([(k, f"u{i}") for i, k in enumerate(kinds)], "type string, url string").repartition(3).write.json(f"{tmp_path}/in")
+    kind = F.col("type")
+    rows = streams.with_counters(spark.readStream.schema("type string, url string").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in"), ok=kind == "page-saved", failed=kind == "page-error", queued=kind == "page-start")
+    counters = streams.Counters()
+    spark.streams.addListener(counters)
+    try:
+        rows.writeStream.format("json").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(60)
+        until = time.time() + 20
+        while sum(counters.counts.values()) < 16 and time.time() < until:
+            time.sleep(0.2)  # events come a little later
+    finally:
+        spark.streams.removeListener(counters)
+    assert counters.counts == {"ok": 5, "failed": 2, "queued": 9} and len(counters.batches) > 1
