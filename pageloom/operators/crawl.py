@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.options import Options
+from ..functions.robots import RuleTrie, rules_of
 from ..functions.urls import Url, normalize_url, url_parts
 from ..sources.scratch import written
 from .scope import in_scope
@@ -153,47 +154,48 @@ def start_times(arrivals: DataFrame, delay_ms: int) -> DataFrame:
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """``origin, agent, allow, pattern, regex``: rules of robots files (``origin, robots_txt``), one row each."""
+    """``origin, agent, allow, pattern``: rules of robots files (``origin, robots_txt``), one row each."""
+
     def read(batches):
         for rows in batches:
-            out = []
-            for site, text in rows.itertuples(index=False):
-                agents: list[str] = []
-                ruled = False
-                for line in (text or "").splitlines():
-                    key, colon, value = line.split("#", 1)[0].partition(":")
-                    key, value = key.strip().lower(), value.strip()
-                    if not colon:
-                        continue
-                    if key == "user-agent":
-                        if ruled:
-                            agents, ruled = [], False
-                        agents.append(value.lower())
-                    elif key in ("allow", "disallow"):
-                        ruled = True
-                        if value:
-                            out += [(site, a, key == "allow", value) for a in agents]
+            out = [(site, *rule) for site, text in rows.itertuples(index=False) for rule in rules_of(text or "")]
             yield pd.DataFrame(out, columns=["origin", "agent", "allow", "pattern"])
 
-    rules = robots.select("origin", "robots_txt").mapInPandas(read, "origin string, agent string, allow boolean, pattern string")
-    quoted = F.regexp_replace("pattern", r"([.\\+?^{}()|\[\]])", r"\\$1")
-    quoted = F.regexp_replace(F.regexp_replace(quoted, r"\*+", ".*"), r"\$(?!$)", r"\\$")
-    return rules.withColumn("regex", F.concat(F.lit("^"), quoted))
+    return robots.select("origin", "robots_txt").mapInPandas(read, "origin string, agent string, allow boolean, pattern string")
+
+
+#: Parts that the addresses of one origin are dealt to; its rules go to each.
+ROBOTS_PARTS = 64
 
 
 def robots_filter(pages: DataFrame, robots: DataFrame, user_agent: str) -> DataFrame:
     """FLT7, J6: ``pages`` with ``allowed``: by the longest rule that matches path and query, allowing on a tie.
 
-    Rules of the group that names the agent hold, else those for ``*``; no rule, no robots file: allowed.
+    Rules of the group that names the agent hold, else those for ``*``; no rule, no robots file: allowed. Distinct
+    addresses stand sorted behind the rules of their origin, and a task compiles these once and streams over the
+    addresses; an origin's addresses are dealt to ``ROBOTS_PARTS`` parts. No row is made for a pair of address and rule.
     """
     agent = user_agent.split("/")[0].strip().lower()
-    rules = robots_rules(robots).where(F.col("agent").isin(agent, "*"))
+    rules = robots_rules(robots).where(F.col("agent").isin(agent, "*")).distinct()
+    of = rules.groupBy("origin").agg(*[F.collect_list(F.when(F.col("agent") == a, F.struct("pattern", "allow"))).alias(n) for a, n in ((agent, "own"), ("*", "all"))])
+    of = of.select("origin", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("all")).alias("rules"))
+    of = of.select("origin", F.explode(F.sequence(F.lit(0), F.lit(ROBOTS_PARTS - 1))).alias("part"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("path"), "rules")
     p = url_parts(F.col("url"))
     site = F.concat(p.scheme, F.lit("://"), p.host, F.when(p.port != "", F.concat(F.lit(":"), p.port)).otherwise(""))
-    keyed = pages.withColumn("_origin", site).withColumn("_path", F.concat(p.path, p.search))
-    mine = rules.groupBy("origin").agg(F.max((F.col("agent") == agent).cast("int")).alias("named"))
-    rules = rules.join(mine, "origin").where((F.col("named") == 0) | (F.col("agent") == agent))
-    # a site's rules are few; pages meet them by an equi-join on the site
-    hits = keyed.select("url", "_origin", "_path").distinct().join(rules, F.col("_origin") == rules.origin).where(F.expr("_path rlike regex"))
-    best = hits.groupBy("url").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow").cast("int"))).alias("_rule"))
-    return keyed.join(best, "url", "left").withColumn("allowed", F.coalesce("_rule", F.lit(True))).select(*pages.columns, "allowed")
+    asked = pages.select("url").distinct().select(site.alias("origin"), F.pmod(F.xxhash64("url"), F.lit(ROBOTS_PARTS)).cast("int").alias("part"), "url", F.concat(p.path, p.search).alias("path"))
+    both = of.unionByName(asked.where("path is not null").withColumn("rules", F.lit(None).cast("array<struct<pattern:string,allow:boolean>>")))
+    both = both.repartition("origin", "part").sortWithinPartitions("origin", "part", F.col("url").isNotNull())
+
+    def forbidden(batches):
+        at, trie = None, None
+        for rows in batches:
+            out = []
+            for origin, part, url, path, found in rows.itertuples(index=False):
+                if found is not None:
+                    at, trie = (origin, part), RuleTrie((r["pattern"], r["allow"]) for r in found)
+                elif (origin, part) == at and not trie.allows(path):
+                    out.append(url)
+            yield pd.DataFrame({"url": out}, dtype=object)
+
+    no = both.mapInPandas(forbidden, "url string").withColumn("_no", F.lit(True))
+    return pages.join(no, "url", "left").withColumn("allowed", F.col("_no").isNull()).select(*pages.columns, "allowed")
