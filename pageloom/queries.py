@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import css_tokens as T
 from .functions import text as X
 from .functions import urls as U
 from .functions.options import Options, parse_int_option
+from .functions.tables import register_tables
 from .operators import crawl, extract, resources, rewrite, scope, tokens
 from .plans import context, report
 from .sources.scratch import scratch_path
@@ -763,3 +764,171 @@ def design_markdown(spark, d):
 @query()
 def agent_markdown(spark, d):
     return spark.createDataFrame([(context.context_markdown(context.context_document(contexts(spark, d), SEED, "pages/index.html")),)], "markdown string")
+
+
+# --- table functions, documents and sheets with made parts ---------------------------------------------------------------
+
+
+@query(f"WITH {_LINKS} SELECT page_id, link_seq, href, absolute, normalized FROM links")
+def links_by_lateral(spark, d):
+    register_tables(spark)
+    return spark.sql("SELECT p.page_id, CAST(l.link_seq AS BIGINT) AS link_seq, l.href, l.absolute, l.normalized FROM {pages} AS p, LATERAL page_links(p.html, p.url) AS l", pages=pages_of(spark, d))
+
+
+@query(
+    """WITH r(decl_seq, selector, media, prop) AS (VALUES (0, 'a, b', 'base', 'margin'), (1, 'a, b', 'base', 'color'), (2, 'c', '@media (max-width: 40em)', 'padding'))
+SELECT p_partkey, selector, media, prop, CASE prop WHEN 'color' THEN 'red' ELSE p_size || 'px' END AS value FROM part, r"""
+)
+def sheet_rows_by_lateral(spark, d):
+    register_tables(spark)
+    sheet = F.format_string("a, b{margin:%dpx;color:red} @media (max-width: 40em){c{padding:%dpx}}", "p_size", "p_size")
+    sheets = part_of(spark, d).select("p_partkey", sheet.alias("css"))
+    return spark.sql("SELECT s.p_partkey, r.selector, r.media, r.prop, r.value FROM {sheets} AS s, LATERAL sheet_rows(s.css) AS r WHERE r.prop IS NOT NULL", sheets=sheets)
+
+
+def with_made(spark, d, markup: str) -> DataFrame:
+    """Pages whose body starts with ``markup`` in an element of its own, before anything that a page leaves open."""
+    html = F.replace("html", F.lit("<body>"), F.lit(f'<body><div id="made">{markup}</div>'))
+    return pages_of(spark, d).withColumn("html", html).withColumn("path", U.page_path(F.col("url"), PRIMARY))
+
+
+def made_part() -> Column:
+    return F.regexp_extract("html", '(?s)<div id="made">(.*?)</div>', 1).alias("made")
+
+
+def sites_of(spark, d) -> DataFrame:
+    return pages_of(spark, d).select(U.origin(F.col("url")).alias("site")).distinct()
+
+
+#: ``page_id, site, path, up``: each page's origin, file, and way up from its file to the folder of all files.
+_PLACES = f"places AS (SELECT page_id, {_SITE} AS site, {_page_path('url')} AS path, repeat('../', len(string_split({_page_path('url')}, '/')) - 1) AS up FROM pages)"
+_MARKUP = (
+    '<img class="lazy" src="#" data-src="/img/a.png?v=1#x"><img srcset="/img/a.png?v=1 1x, far/b.png 2x"><p style="color:red;background:url(/img/d.png#f)">x</p>'
+    '<a href="/made/absent?x=1#t">y</a><link rel="modulepreload" href="/m.js"><style>@import "/css/site.css"; p{background:url(/img/a.png?v=1)}</style>'
+)
+
+
+@query(
+    f"""WITH {_PLACES} SELECT page_id, '<img class="lazy" src="' || up || 'assets/img/a1.png#x"><img srcset="' || up || 'assets/img/a1.png 1x, far/b.png 2x"><p style="color:red;background:url(' || up || 'assets/img/d9.png#f)">x</p><a href="'
+       || site || '/made/absent?x=1#t">y</a><style>@import "' || up || 'assets/css/site.css"; p{{background:url(' || up || 'assets/img/a1.png)}}</style>' AS made FROM places"""
+)
+def rewrite_made_markup(spark, d):
+    """Lazy images, candidates, style attributes, style elements, imports, absent targets, preloads; one file by its name."""
+    site = sites_of(spark, d)
+    assets = site.select(F.concat("site", F.lit("/img/a.png?v=1")).alias("norm_url"), F.lit("assets/img/a1.png").alias("path"))
+    assets = assets.unionByName(site.select(F.concat("site", F.lit("/css/site.css")).alias("norm_url"), F.lit("assets/css/site.css").alias("path")))
+    names = site.select(F.lit("d.png").alias("basename"), F.lit("assets/img/d9.png").alias("path")).distinct()
+    mapped = page_resources(spark, d).select("norm_url", "path").unionByName(assets)
+    return rewrite.rewrite_pages(with_made(spark, d, _MARKUP), mapped, basenames=names).select("page_id", made_part())
+
+
+_SINGLE = (
+    '<link rel="stylesheet" href="/css/site.css"><img src="/img/a.png?v=1" srcset="x.png 2x" sizes="1vw"><img src="#" srcset="/img/a.png?v=1 2x"><img src="s.gif">'
+    '<script src="/m.js"></script><p style="background:url(/img/a.png?v=1)">x</p>'
+)
+
+
+@query(
+    f"""WITH {_PLACES}, b AS (SELECT page_id, site, 'data:image/png;base64,' || to_base64(encode(repeat('A', 2000) || site)) AS a, 'data:text/css;base64,' || to_base64(encode('i{{color:red}}')) AS more,
+       'data:image/gif;base64,' || to_base64(encode(path)) AS stored FROM places)
+SELECT page_id, '<style>@import url(' || more || '); b{{background:url(' || a || ')}}</style><img src="' || a || '"><img src="' || a || '"><img src="' || stored || '"><script src="' || site || '/m.js"></script><p style="background:url('
+       || a || ')">x</p>' AS made FROM b"""
+)
+def single_file_pages(spark, d):
+    """Sheets with their imports, images, candidates and stored files as data addresses; scripts stay addresses."""
+    p, site = with_made(spark, d, _SINGLE), sites_of(spark, d)
+    bodies = {"/img/a.png?v=1": ("image/png; q=1", F.concat(F.repeat(F.lit("A"), 2000), "site")), "/css/site.css": ("text/css", F.lit("@import url(more.css); b{background:url(../img/a.png?v=1)}")), "/css/more.css": ("text/css", F.lit("i{color:red}"))}
+    each = F.explode(F.array(*[F.struct(F.lit(at).alias("at"), F.lit(kind).alias("content_type"), text.cast("binary").alias("body")) for at, (kind, text) in bodies.items()]))
+    responses = site.select("site", each.alias("r")).select(F.concat("site", "r.at").alias("url"), "r.content_type", "r.body")
+    files = p.select(F.concat(F.regexp_extract("path", "^(.*)/", 1), F.lit("/s.gif")).alias("path"), F.col("path").cast("binary").alias("body")).distinct()
+    found = rewrite.rewrite_pages(p, page_resources(spark, d).select("norm_url", "path"), responses, single_file=True, files=files)
+    return found.select("page_id", made_part())
+
+
+@query(
+    """SELECT 'https://s.example.org/css/' || p_partkey || '.css' AS url, 'assets/css/' || p_partkey || '.css' AS path,
+       '@import "https://s.example.org/css/none.css"; a{background:url(../img/x' || p_size || '.png)} b{background:url(https://s.example.org/img/none.png#f)}' AS css FROM part"""
+)
+def rewrite_saved_sheets(spark, d):
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    css = F.concat(F.lit('@import "none.css"; a{background:url(../img/'), size, F.lit('.png)} b{background:url("../img/none.png#f")}'))
+    sheets = part_of(spark, d).select(F.concat(F.lit("https://s.example.org/css/"), k, F.lit(".css")).alias("url"), F.concat(F.lit("assets/css/"), k, F.lit(".css")).alias("path"), css.alias("css"))
+    images = part_of(spark, d).select(F.concat(F.lit("https://s.example.org/img/"), size, F.lit(".png")).alias("norm_url"), F.concat(F.lit("assets/img/x"), size, F.lit(".png")).alias("path")).distinct()
+    return rewrite.rewrite_sheets(sheets, images)
+
+
+#: Made responses of parts: an address and a content type by key.
+_RESPONSE = """r AS (SELECT p_partkey AS seq, 'https://s.example.org/f/' || p_partkey || ['.png?v=1', '.bin', '', '.mjs', '.woff2', '.xyz'][p_partkey % 6 + 1] AS url,
+  [NULL, 'image/webp', 'text/css; charset=utf-8', 'application/javascript', 'font/woff2', 'text/plain'][p_partkey % 6 + 1] AS content_type, 'body ' || p_size AS body FROM part)"""
+
+
+def made_responses(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    ends = F.array(*map(F.lit, (".png?v=1", ".bin", "", ".mjs", ".woff2", ".xyz")))
+    kinds = F.array(*map(F.lit, (None, "image/webp", "text/css; charset=utf-8", "application/javascript", "font/woff2", "text/plain")))
+    at = (k % 6 + 1).cast("int")
+    url = F.concat(F.lit("https://s.example.org/f/"), k.cast("string"), F.element_at(ends, at))
+    return part_of(spark, d).select(F.lit("site").alias("page_dir"), k.alias("seq"), url.alias("url"), F.element_at(kinds, at).alias("content_type"), F.concat(F.lit("body "), F.col("p_size").cast("string")).cast("binary").alias("body"))
+
+
+@query(
+    f"""WITH {_RESPONSE} SELECT seq, ['img', 'img', 'css', 'other', 'other'][seq % 6 + 1] AS kind, CAST(strlen(body) AS BIGINT) AS size,
+       'site/assets/' || ['img/', 'img/', 'css/', '', ''][seq % 6 + 1] || left(sha256(body), 16) || ['.png', '.webp', '.css', '.js', '.woff2'][seq % 6 + 1] AS path FROM r WHERE seq % 6 < 5"""
+)
+def asset_files(spark, d):
+    return resources.asset_paths(made_responses(spark, d)).select("seq", "kind", "size", "path")
+
+
+@query(
+    f"""WITH {_RESPONSE}, f AS (SELECT DISTINCT url, body FROM r WHERE seq % 3 = 0)
+SELECT r.url AS norm_url, CASE WHEN seq % 2 = 1 THEN content_type END AS content_type, CASE WHEN seq % 2 = 1 THEN body WHEN seq % 3 = 0 THEN 'file of ' || seq END AS body FROM r"""
+)
+def asset_bodies(spark, d):
+    """Odd keys have a response, keys that three divides a stored file."""
+    r = made_responses(spark, d)
+    path = F.concat(F.lit("assets/"), F.col("seq").cast("string"))
+    mapped = r.select(F.col("url").alias("norm_url"), path.alias("path"))
+    files = r.where("seq % 3 = 0").select(path.alias("path"), F.concat(F.lit("file of "), F.col("seq").cast("string")).cast("binary").alias("body"))
+    found = resources.asset_bodies(r.select(F.col("url").alias("norm_url")), r.where("seq % 2 = 1"), files, mapped)
+    return found.select("norm_url", "content_type", F.col("body").cast("string").alias("body"))
+
+
+@query(
+    f"""WITH {_DECORATED}, n AS (SELECT page_id, {_SITE} AS site, {_normal('url')} AS own, regexp_replace({_parts('url')['path']}, '[^/]*$', '') AS folder FROM decorated)
+SELECT page_id, [site || '/css/site.css?v=2', site || folder || 'b.png', site || folder || 'c.png'][i] AS norm_url FROM n, range(1, 4) AS r(i)"""
+)
+def uncaptured_assets(spark, d):
+    """Captured are the pages themselves, all sheets, and what lies in the folder of images."""
+    found = extract.asset_urls(decorated(spark, d)).select("page_id", F.col("asset_url").alias("norm_url"))
+    captured = found.where(F.col("norm_url").contains("/img/") | F.col("norm_url").contains("/css/")).select("norm_url")
+    captured = captured.unionByName(pages_of(spark, d).select(U.normalize_url(F.col("url")).alias("norm_url")))
+    return resources.uncaptured(found, captured)
+
+
+@query(
+    """WITH v AS (SELECT p_partkey, ['"Open Sans"', '''Serif''', 'MONOSPACE', 'Font ' || p_size, '"''x', ''][p_partkey % 6 + 1] AS value FROM part)
+SELECT p_partkey, regexp_replace(value, '^["'']+|["'']+$', '', 'g') AS name, lower(regexp_replace(value, '^["'']+|["'']+$', '', 'g')) IN ('serif', 'monospace') AS is_generic FROM v"""
+)
+def font_names(spark, d):
+    k = F.col("p_partkey")
+    made = F.array(F.lit('"Open Sans"'), F.lit("'Serif'"), F.lit("MONOSPACE"), F.concat(F.lit("Font "), F.col("p_size").cast("string")), F.lit("\"'x"), F.lit(""))
+    name = X.clean_font_family(F.element_at(made, (k % 6 + 1).cast("int")))
+    return part_of(spark, d).select("p_partkey", name.alias("name"), T.is_generic_family(name).alias("is_generic"))
+
+
+@query(
+    """SELECT p_partkey, ['/srv/a/' || p_size || '.html', NULL, '/srv/b', NULL, '/srv/x+y z', '/srv'][p_partkey % 6 + 1] AS file FROM part"""
+)
+def safe_paths(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    made = F.array(F.concat(F.lit("/a/./"), size, F.lit(".html")), F.concat(F.lit("/../"), size), F.concat(F.lit("/a"), size, F.lit("/../b/")), F.lit("/%2e%2e/etc/%zz"), F.lit("/x+y%20z"), F.lit("/"))
+    return part_of(spark, d).select("p_partkey", U.safe_join("/srv/", F.element_at(made, (k % 6 + 1).cast("int"))).alias("file"))
+
+
+@query(
+    f"""WITH {_DECORATED}, t(place, heading, breakpoint, kind, rank, value) AS (VALUES (1, 'h2', 'base', 'line_height', 1, '1.2'), (1, 'h2', 'base', 'font_family', 1, 'Open Sans'), (1, 'h2', 'base', 'font_family', 2, 'serif'),
+  (1, 'h2', 'base', 'font_weight', 1, 'bold'), (1, 'h2', 'base', 'font_size', 1, '20px'), (2, 'h1', '@media (max-width: 40em)', 'font_size', 1, '1'), (3, 'h2', '@media (max-width: 40em)', 'font_size', 1, '1'))
+SELECT t.*, (SELECT count(*) FROM decorated) AS n FROM t WHERE n > 0"""
+)
+def heading_order(spark, d):
+    return report.heading_report(tokens.heading_tokens(extract.css_rows(extract.css_sources(decorated(spark, d)))))
