@@ -59,6 +59,7 @@ def statistics(text: pa.Array) -> np.ndarray:
         same[1:] = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
     pair = np.zeros(len(codes), np.int64)
     pair[1:] = codes[:-1] * max(len(words), 1) + codes[1:] if len(codes) > 1 else 0
+    pair[starts[ends > starts]] = -1  # a first word follows none, whatever text stands before
 
     def distinct(values: np.ndarray) -> np.ndarray:
         order = np.lexsort((values, doc))
