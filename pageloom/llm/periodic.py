@@ -273,12 +273,13 @@ def with_repeats(documents: DataFrame) -> DataFrame:
     """``documents`` in which every tenth text, by crc32 of its doc_id, repeats its words from some word on.
 
     With h the hash, g = floor(h / 10) and n words, where h % 10 = 0 and n > 0 each word i >= a becomes the word
-    a + (i - a) % p, a = g % n, p = 1 + floor((n - a) / (3 + g % 8)). A null doc_id has no hash: its text stays.
+    a + (i - a) % p, a = g % n, p = 1 + floor((n - a) / (3 + g % 8)). A null doc_id has no hash: its text stays, as one
+    without words does (n is null then, so nothing is divided by 0).
     """
     h, words, g, n, a, p = (fresh_name(documents, f"_{x}") for x in ("h", "words", "g", "n", "a", "p"))
     out = documents.withColumn(h, F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")))
     out = out.withColumn(words, F.when(F.col(h) % 10 == 0, F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0))))
-    out = out.withColumn(n, F.size(words)).withColumn(g, F.floor(F.col(h) / 10)).withColumn(a, F.col(g) % F.col(n))
+    out = out.withColumn(n, F.nullif(F.size(words), F.lit(0))).withColumn(g, F.floor(F.col(h) / 10)).withColumn(a, F.col(g) % F.col(n))
     out = out.withColumn(p, 1 + F.floor((F.col(n) - F.col(a)) / (3 + F.col(g) % 8)))
     repeated = F.array_join(F.transform(words, lambda w, i: F.when(i < F.col(a), w).otherwise(F.get(words, (F.col(a) + (i - F.col(a)) % F.col(p)).cast("int")))), " ")
     return out.withColumn("text", F.when(F.coalesce(F.col(n) > 0, F.lit(False)), repeated).otherwise(F.col("text"))).select(*documents.columns)

@@ -98,6 +98,14 @@ def test_report_equals_plain(spark):
     assert P.with_repeats(extra).columns == extra.columns
 
 
+def test_hashed_texts_without_words(spark):
+    """A tenth of all texts is repeated, and some of these have no words."""
+    tenth = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0]
+    rows = [(k, ("", " \n\t", None)[i % 3]) for i, k in enumerate(tenth)] + [(None, ""), (1, "a b")]
+    assert len(tenth) > 10
+    assert rows_of(P.runs_report(spark.createDataFrame(rows, SCHEMA))) == sorted((plain_report(*r) for r in rows), key=repr)
+
+
 def test_long_and_empty(spark):
     assert P.runs_report(spark.createDataFrame([], SCHEMA)).count() == 0
     unit = [f"w{k * k % 997}" for k in range(3000)]
