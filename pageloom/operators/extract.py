@@ -62,10 +62,14 @@ def start_tags(pages: DataFrame) -> DataFrame:
 
 
 def titles(pages: DataFrame) -> DataFrame:
-    """HTM5: ``page_id, title`` (null if none or blank)."""
-    m = F.regexp_replace(F.col("html"), r"(?is)<!--.*?-->|<script\b.*?</script>", " ")
+def title_of(html: Column) -> Column:
+    m = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>", " ")
     title = normalize_text(unescaped(F.regexp_extract(m, r"(?is)<title\b[^>]*>(.*?)</title>", 1)))
-    return pages.select("page_id", F.when(title != "", title).alias("title"))
+    return F.when(title != "", title)
+
+
+    """HTM5: ``page_id, title`` (null if none or blank)."""
+    return pages.select("page_id", title_of(F.col("html")).alias("title"))
 
 
 def unique_limit(values: Column, limit: int) -> Column:
@@ -74,10 +78,14 @@ def unique_limit(values: Column, limit: int) -> Column:
 
 
 def headings(pages: DataFrame, limit: int = 6) -> DataFrame:
-    """HTM5: ``page_id, headings``: texts of h1 to h3 in order, each once."""
-    texts = F.regexp_extract_all(masked(F.col("html")), F.lit(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]>"), F.lit(1))
+def headings_of(html: Column, limit: int = 6) -> Column:
+    texts = F.regexp_extract_all(masked(html), F.lit(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]>"), F.lit(1))
     plain = F.transform(texts, lambda t: normalize_text(unescaped(F.regexp_replace(t, r"(?s)<[^>]*>", ""))))
-    return pages.select("page_id", unique_limit(plain, limit).alias("headings"))
+    return unique_limit(plain, limit)
+
+
+    """HTM5: ``page_id, headings``: texts of h1 to h3 in order, each once."""
+    return pages.select("page_id", headings_of(F.col("html"), limit).alias("headings"))
 
 
 def style_blocks(pages: DataFrame) -> DataFrame:

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_length
-from ..operators.extract import page_facts
+from ..operators.extract import headings_of, page_facts, title_of
+from ..sources.scratch import written
 
 TOTALS = ("html_bytes", "elements", "stylesheets", "inline_css_extracted", "images", "scripts")
 
 
-def page_context(pages: DataFrame) -> DataFrame:
+def page_context(pages: DataFrame, from_markup: bool = False) -> DataFrame:
     """REP6: one row per page (``page_id, url, path, depth, status, content_type, html``): title, headings, counts, sheets.
 
-    One pass over the documents: nothing is shuffled, and html itself goes no further than its parse.
+    One pass over the documents, which are dealt to tasks by page_id; html itself goes no further than its parse.
+    ``from_markup``: title and headings are those of ``extract.titles`` and ``extract.headings`` instead of the document's,
+    which reads references without a semicolon, as browsers do.
     """
     kept = ("url", "path", "depth", "status", "content_type", "html_bytes")
-    rows = page_facts(pages.withColumn("html_bytes", byte_length(F.col("html"))), kept)
+    pages = pages.withColumn("html_bytes", byte_length(F.col("html")))
+    if from_markup:
+        pages = pages.withColumn("markup_title", title_of(F.col("html"))).withColumn("markup_headings", headings_of(F.col("html")))
+    rows = page_facts(pages, (*kept, *(("markup_title", "markup_headings") if from_markup else ())))
+    if from_markup:
+        rows = rows.withColumn("title", F.col("markup_title")).withColumn("headings", F.col("markup_headings"))
     counts = {"n_elements": "elements", "n_images": "images", "n_scripts": "scripts", "n_stylesheets": "stylesheets"}
     out = rows.select("page_id", *kept[:5], "title", "headings", "html_bytes", *[F.col(c).alias(n) for c, n in counts.items()], "css_files")
     inline = F.filter("css_files", lambda c: c.contains("/assets/css/inline/"))
