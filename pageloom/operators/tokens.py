@@ -36,13 +36,56 @@ def media_tokens(css_rows: DataFrame) -> DataFrame:
 
 
 def count_tokens(tokens: DataFrame) -> DataFrame:
-    """AGG1 to AGG3: ``category, value, n``; one shuffle for all categories, counts combined before it.
+    """AGG1 to AGG3: ``category, value, n``; counts are combined before anything is shuffled.
 
-    Families are counted whatever their case, under the spelling that came first.
+    Families are counted whatever their case, under the spelling that came first. Rows are counted by spelling first, in
+    hash tables of numbers (a minimum of places as such would sort all rows of a task), and only spellings are compared.
     """
-    group = F.when(F.col("category") == "font_family", F.lower("key")).otherwise(F.col("key"))
+    family = F.col("category") == "font_family"
     n = F.sum("n") if "n" in tokens.columns else F.count(F.lit(1))
-    return tokens.groupBy("category", group.alias("_g")).agg(F.min_by("key", "place").alias("value"), n.cast("long").alias("n")).select("category", "value", "n")
+    near = F.when(family & _fits_number(), _place_number())
+    far = F.when(family & ~_fits_number(), F.struct(*[F.col(f"place.{c}").cast("long").alias(c) for c in _PLACE]))
+    spelled = tokens.select("category", "key", *[c for c in ("n",) if c in tokens.columns], near.alias("_near"), far.alias("_far"))
+    spelled = spelled.groupBy("category", "key", "_far").agg(F.min("_near").alias("_near"), n.cast("long").alias("n"))
+    group = F.when(family, F.lower("key")).otherwise(F.col("key"))
+    first = F.min_by("key", F.coalesce("_far", _place_of(F.col("_near"))))
+    grouped = spelled.groupBy("category", group.alias("_g")).agg(first.alias("_first"), F.sum("n").cast("long").alias("n"))
+    return grouped.select("category", F.when(family, F.col("_first")).otherwise(F.col("_g")).alias("value"), "n")
+
+
+#: Parts of a place in order, and the bits that each has in a place as one number; a page has any 64-bit number.
+_PLACE = {"page_id": None, "source_seq": 16, "rule_seq": 20, "decl_seq": 16, "token_seq": 10}
+_REST = 1 << 62
+
+
+def _fits_number() -> Column:
+    """Whether a place has no null and no part with more bits than it gets."""
+    fits = F.col("place.page_id").isNotNull()
+    for name, bits in _PLACE.items():
+        if bits:
+            fits = fits & F.coalesce(F.col(f"place.{name}").between(0, (1 << bits) - 1), F.lit(False))
+    return fits
+
+
+def _place_number() -> Column:
+    """A place as one decimal in the same order: 126 bits, which 38 digits hold."""
+    rest = F.lit(0).cast("long")
+    for name, bits in _PLACE.items():
+        if bits:
+            rest = F.shiftleft(rest, bits).bitwiseOR(F.col(f"place.{name}").cast("long"))
+    return (F.col("place.page_id").cast("decimal(19,0)") * F.lit(_REST).cast("decimal(19,0)") + rest.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _place_of(number: Column) -> Column:
+    """The place that a number stands for."""
+    rest = F.pmod(number, F.lit(_REST).cast("decimal(38,0)")).cast("long")
+    page = F.call_function("div", number - rest.cast("decimal(38,0)"), F.lit(_REST).cast("decimal(38,0)"))
+    parts, at = [], 62
+    for name, bits in _PLACE.items():
+        if bits:
+            at -= bits
+            parts.append(F.shiftright(rest, at).bitwiseAND(F.lit((1 << bits) - 1)).alias(name))
+    return F.struct(page.alias("page_id"), *parts)
 
 
 def ranked(counts: DataFrame) -> DataFrame:

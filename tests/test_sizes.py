@@ -35,3 +35,25 @@ def test_context_from_markup(spark):
     read = lambda **k: context.page_context(rows, **k).select("title", F.array_join("headings", "|")).first()
     assert tuple(read(from_markup=True)) == ("a &&amp", "b&amp")
     assert tuple(read()) == ("a &&", "b&")
+
+
+def test_the_first_spelling_of_any_place(spark):
+    rng = random.Random(3)
+    near = lambda: (rng.randrange(-2, 3), rng.randrange(2), rng.randrange(2), rng.randrange(2), rng.randrange(1000))
+    far = lambda: tuple(rng.choice([None, x, 2**31 - 1, -1]) for x in near()[1:])
+    ends = [(p, *near()[1:]) for p in (-(2**63), 2**63 - 1, 2**63 - 2)]
+    for _ in range(3):
+        spots = [near() for _ in range(60)] + [(rng.choice([None, 0, 1]), *far()) for _ in range(20)] + ends
+        rows = [("font_family", "".join(rng.choice([c, c.upper()]) for c in rng.choice(["ab", "xy", "é"])), p) for p in dict.fromkeys(spots)] + [("color_all", "AB", near()), ("color_all", "ab", near())]
+        first = {}
+        for c, key, at in sorted(rows, key=lambda r: [(x is not None, x or 0) for x in r[2]]):
+            first.setdefault((c, key.lower() if c == "font_family" else key), key)
+        found = tokens.count_tokens(spark.createDataFrame(rows, f"category string, key string, place {PLACE}"))
+        assert {(r.category, r.value) for r in found.collect()} == {(c, v) for (c, _), v in first.items()}
+        assert found.agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_tokens_are_counted_by_hash(spark):
+    found = plan(Q.length_tokens_synthetic(spark, SF))
+    lowest = [line for line in found.split("== Initial Plan ==")[0].splitlines() if "Aggregate(" in line][-1]
+    assert "HashAggregate(" in lowest and "hashpartitioning(p_partkey" in found
