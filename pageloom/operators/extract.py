@@ -13,6 +13,7 @@ from ..functions import css, dom
 from ..functions.text import normalize_text
 from ..functions.urls import absolute_url, is_http_url, is_skipped, normalize_url, resolved
 from ..sources.scratch import written
+from ..sources.slices import map_in_slices
 
 #: Parts of a page that hold no markup of their own.
 MASKED = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
@@ -61,13 +62,13 @@ def start_tags(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def titles(pages: DataFrame) -> DataFrame:
 def title_of(html: Column) -> Column:
     m = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>", " ")
     title = normalize_text(unescaped(F.regexp_extract(m, r"(?is)<title\b[^>]*>(.*?)</title>", 1)))
     return F.when(title != "", title)
 
 
+def titles(pages: DataFrame) -> DataFrame:
     """HTM5: ``page_id, title`` (null if none or blank)."""
     return pages.select("page_id", title_of(F.col("html")).alias("title"))
 
@@ -77,13 +78,13 @@ def unique_limit(values: Column, limit: int) -> Column:
     return F.slice(F.array_distinct(F.filter(values, lambda v: v != "")), 1, limit)
 
 
-def headings(pages: DataFrame, limit: int = 6) -> DataFrame:
 def headings_of(html: Column, limit: int = 6) -> Column:
     texts = F.regexp_extract_all(masked(html), F.lit(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]>"), F.lit(1))
     plain = F.transform(texts, lambda t: normalize_text(unescaped(F.regexp_replace(t, r"(?s)<[^>]*>", ""))))
     return unique_limit(plain, limit)
 
 
+def headings(pages: DataFrame, limit: int = 6) -> DataFrame:
     """HTM5: ``page_id, headings``: texts of h1 to h3 in order, each once."""
     return pages.select("page_id", headings_of(F.col("html"), limit).alias("headings"))
 
@@ -109,7 +110,7 @@ def srcset_urls(value: str) -> list[str]:
     return [c.split(None, 1)[0] for c in value.split(",") if c.strip()]
 
 
-def asset_references(document: dom.Node) -> list[str]:
+def asset_references(document: dom.Node | dom.Index) -> list[str]:
     """HTM2: references as written, in the order of the passes."""
     out: list[str | None] = []
 
@@ -151,7 +152,7 @@ def local_sheets(path: str, hrefs: list[str]) -> list[str]:
 
 
 def facts_of(page_id: int, url: str, html: str, path: str | None = None) -> dict:
-    d = dom.parse(html or "")
+    d = dom.Index(dom.parse(html or ""))
     title = d.first("title")
     heads = [collapse(n.text()) for n in d.select("h1, h2, h3")]
     sheets = d.select('link[rel~="stylesheet"][href]')
@@ -163,7 +164,7 @@ def facts_of(page_id: int, url: str, html: str, path: str | None = None) -> dict
         "title": (collapse(title.text()) or None) if title else None,
         "headings": list(dict.fromkeys(h for h in heads if h))[:6],
         "stylesheets": hrefs,
-        "n_elements": sum(1 for _ in d.elements()),
+        "n_elements": len(d.elements()),
         "n_external": len(sheets),
         "n_stylesheets": len(sheets) + len(styles),
         "n_images": len(d.select("img[src], picture source[srcset], svg image")),
@@ -181,10 +182,11 @@ def facts_of(page_id: int, url: str, html: str, path: str | None = None) -> dict
 def page_facts(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """HTM1, HTM2, HTM5 to HTM9 of parsed documents: one parse a page, one row a page (``FACTS``, and the columns ``carry``).
 
+    Pages are dealt to tasks by page_id first, since a table of pages may be one file, which would be one task.
     Where pages have a ``path``, ``css_files`` (HTM6) are the files of their sheets.
     """
     path = [F.col("path") if "path" in pages.columns else F.lit(None).cast("string")]
-    rows = pages.select("page_id", "url", "html", path[0].alias("_path"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    rows = pages.repartition("page_id").select("page_id", "url", "html", path[0].alias("_path"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
     names = [c.split()[0] for c in FACTS.split(", ")]
     kinds = "".join(f", {c} {pages.schema[c].dataType.simpleString()}" for c in carry)
 
@@ -193,7 +195,7 @@ def page_facts(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             found = pd.DataFrame([facts_of(*r) for r in part.iloc[:, :4].itertuples(index=False)], columns=names)
             yield found.assign(**{c: part[f"_{k}"].to_numpy() for k, c in enumerate(carry)})
 
-    return rows.mapInPandas(facts, FACTS + kinds)
+    return map_in_slices(rows, facts, FACTS + kinds)
 
 
 def asset_urls(pages: DataFrame) -> DataFrame:
@@ -224,7 +226,7 @@ def css_rows(sources: DataFrame) -> DataFrame:
             out = [(p, s, *row) for p, s, text in sheets.itertuples(index=False) for row in css.rows(text or "")]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CSS_ROWS.split(", ")]).astype({"rule_seq": "Int32", "decl_seq": "Int32"})
 
-    return sources.select("page_id", "source_seq", "css").mapInPandas(read, CSS_ROWS)
+    return map_in_slices(sources.select("page_id", "source_seq", "css"), read, CSS_ROWS)
 
 
 def css_references(sheets: DataFrame) -> DataFrame:
@@ -238,7 +240,7 @@ def css_references(sheets: DataFrame) -> DataFrame:
                     out += [(url, kind, k, r) for k, r in enumerate(dict.fromkeys(r for r in (resolved(x, url, skip_fragments=False) for x in refs) if r))]
             yield pd.DataFrame(out, columns=["sheet_url", "kind", "ref_seq", "url"])
 
-    return sheets.select("sheet_url", "css").mapInPandas(read, "sheet_url string, kind string, ref_seq int, url string")
+    return map_in_slices(sheets.select("sheet_url", "css"), read, "sheet_url string, kind string, ref_seq int, url string")
 
 
 def import_closure(roots: DataFrame, responses: DataFrame, max_assets: int = 500, max_depth: int = 5) -> DataFrame:

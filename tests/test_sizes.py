@@ -59,6 +59,29 @@ def test_tokens_are_counted_by_hash(spark):
     assert "HashAggregate(" in lowest and "hashpartitioning(p_partkey" in found
 
 
+def test_slices_are_small_and_exact(spark):
+    rows = spark.range(3000, numPartitions=1).selectExpr("if(id = 5, null, 9007199254740993 + id) as page_id", "array(named_struct('a', id, 'b', cast('x' as binary))) as known")
+
+    def make(parts):
+        for part in parts:
+            assert len(part) <= SLICE_ROWS
+            yield pd.DataFrame([(i, k[0]["a"], bytes(k[0]["b"])) for i, k in part.itertuples(index=False)], columns=["page_id", "a", "b"], dtype=object)
+
+    found = map_in_slices(rows, make, "page_id bigint, a bigint, b binary").collect()
+    assert sorted((r.a, r.page_id, r.b) for r in found) == [(k, None if k == 5 else 9007199254740993 + k, b"x") for k in range(3000)]
+
+
+def test_pages_are_dealt_and_sliced(spark):
+    """A table of pages in one file isn't one task."""
+    p = pages(spark)
+    known = spark.createDataFrame([("https://a.org/x.png", "x.png")], "norm_url string, path string")
+    for df in (extract.page_facts(p), rewrite.rewrite_pages(p.withColumn("path", F.lit("i.html")), known)):
+        assert "hashpartitioning(page_id" in plan(df) and "MapInArrow" in plan(df) and "MapInPandas" not in plan(df)
+    sheets = spark.createDataFrame([("https://a.org/s.css", "s.css", "a{background:url(x.png)}")], "url string, path string, css string")
+    made = rewrite.rewrite_sheets(sheets, known)
+    assert "REPARTITION_BY_COL" in plan(made) and made.first().css == "a{background:url(x.png)}"
+
+
 def test_links_are_not_broadcast(spark, monkeypatch):
     """What a handler returns comes from the links of the level alone, not from a join that could broadcast all links."""
     plans, write = [], crawl.written
@@ -66,3 +89,10 @@ def test_links_are_not_broadcast(spark, monkeypatch):
     Q.crawl_handled(spark, SF)
     handled = [text for what, text in plans if what == "handled"]
     assert handled and not any("customer.parquet" in text for text in handled)
+
+
+@pytest.mark.parametrize("selector", ["*", "a", "a[href]", ".c", "div .c", "#i, p", "[src], img", 'link[rel~="x"][href], p *', "ul li a"])
+def test_an_index_selects_like_its_document(selector):
+    d = dom.parse('<ul><li class=c><a href=1>x</a><p id=i><b>y</b><link rel="x z" href=2></ul><div><img src=1><p class="c d">z<a>w</a></div>')
+    assert dom.Index(d).select(selector) == d.select(selector)
+    assert dom.Index(d).elements() == list(d.elements())
