@@ -54,6 +54,7 @@ TABLES = (
 
 
 def register_tables(spark: SparkSession) -> None:
-    """Makes the table functions known to the session's SQL; rows cross to the workers in Arrow batches."""
+    """Makes the table functions known to the session's SQL. Rows cross to the workers pickled, many at once: an Arrow table
+    function makes a table of its own of each row's few results."""
     for name, function, columns in TABLES:
-        spark.udtf.register(name, udtf(function, returnType=columns, useArrow=True))
+        spark.udtf.register(name, udtf(function, returnType=columns, useArrow=False))

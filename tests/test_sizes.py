@@ -91,6 +91,12 @@ def test_links_are_not_broadcast(spark, monkeypatch):
     assert handled and not any("customer.parquet" in text for text in handled)
 
 
+def test_table_functions_are_plain(spark):
+    tables.register_tables(spark)
+    found = plan(Q.sheet_rows_by_lateral(spark, SF))
+    assert "BatchEvalPythonUDTF" in found and "hashpartitioning(p_partkey" in found
+
+
 @pytest.mark.parametrize("selector", ["*", "a", "a[href]", ".c", "div .c", "#i, p", "[src], img", 'link[rel~="x"][href], p *', "ul li a"])
 def test_an_index_selects_like_its_document(selector):
     d = dom.parse('<ul><li class=c><a href=1>x</a><p id=i><b>y</b><link rel="x z" href=2></ul><div><img src=1><p class="c d">z<a>w</a></div>')
