@@ -108,10 +108,9 @@ def totals(counts: DataFrame) -> DataFrame:
 
 def selector_stats(css_rows: DataFrame) -> DataFrame:
     """AGG5: one row of sums over rules and their selectors."""
-    rules = css_rows.where("kind = 'rule'").select(F.explode_outer(T.selectors(F.col("selector"))).alias("s"), "page_id", "source_seq", "rule_seq")
-    n_rules = css_rows.where("kind = 'rule'").agg(F.count(F.lit(1)).alias("style_rules"))
-    sums = rules.agg(F.count("s").alias("selectors"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in T.selector_features(F.col("s")).items()])
-    return n_rules.crossJoin(sums)  # one row each
+    rules = css_rows.where("kind = 'rule'").select(F.posexplode_outer(T.selectors(F.col("selector"))).alias("_i", "s"))
+    n_rules = F.count_if(F.coalesce(F.col("_i"), F.lit(0)) == 0).alias("style_rules")  # a rule has a first selector, or one row without
+    return rules.agg(n_rules, F.count("s").alias("selectors"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in T.selector_features(F.col("s")).items()])
 
 
 def heading_tokens(css_rows: DataFrame, strict: bool = False) -> DataFrame:
@@ -124,6 +123,7 @@ def heading_tokens(css_rows: DataFrame, strict: bool = False) -> DataFrame:
     tokens = F.filter(T.declaration_tokens(F.col("prop"), F.col("value"), strict), lambda t: t.category.isin("font_family", "font_size", "font_weight", "line_height"))
     rows = decls.select("heading", F.col("media").alias("breakpoint"), F.explode_outer(tokens).alias("t"))
     counted = rows.groupBy("heading", "breakpoint", F.col("t.category").alias("kind"), F.col("t.key").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counted = written(counted, "headings")  # read three times below
     full = counted.where("kind is not null").select("heading", "breakpoint").distinct()
     return counted.where("kind is not null").unionByName(counted.where("kind is null").join(full, ["heading", "breakpoint"], "left_anti"))
 

@@ -44,6 +44,7 @@ def context_order():
 
 def context_document(contexts: DataFrame, source_url: str, root_page: str, generated_at: str = "") -> dict:
     """REP7: totals and the pages of one site in order."""
+    contexts = written(contexts, "contexts")  # summed, sampled and sorted: pages are parsed once
     return {"generatedAt": generated_at, "sourceUrl": source_url, "rootPage": root_page, "totals": context_totals(contexts).first().asDict(), "pages": [r.asDict() for r in contexts.orderBy(*context_order()).toLocalIterator()]}
 
 

@@ -82,6 +82,16 @@ def test_pages_are_dealt_and_sliced(spark):
     assert "REPARTITION_BY_COL" in plan(made) and made.first().css == "a{background:url(x.png)}"
 
 
+def test_pages_are_parsed_once(spark):
+    p = pages(spark)
+    css = extract.css_rows(extract.css_sources(p))
+    assert passes(tokens.selector_stats(css)) == passes(css)
+    assert tuple(tokens.selector_stats(css).first())[:3] == (6, 9, 9)
+    assert tuple(tokens.selector_stats(css.limit(0)).first()) == (0,) * 7
+    assert passes(tokens.heading_tokens(css)) == 0
+    assert passes(Q.uncaptured_assets(spark, SF)) == passes(Q.css_imports_closure(spark, SF)) == 0
+
+
 def test_links_are_not_broadcast(spark, monkeypatch):
     """What a handler returns comes from the links of the level alone, not from a join that could broadcast all links."""
     plans, write = [], crawl.written
